@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from portfold.functions import text
 from portfold.operators.statements import calendar_columns
 from portfold.schemas import MONEY
+from portfold.sources.spread import spread
 
 BRANDS_ABROAD = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
 
@@ -22,33 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line with its order, customer and part."""
+    """Every order line with its order, customer and part.
+
+    What depends on an order or a part alone is derived before the join, once per order or part.
+    """
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "as_of_date", F.trunc(F.col("o_orderdate").cast("date"), "month"),
+    )
+    parts = table(spark, sf_dir, "part").withColumn("retail", F.col("p_retailprice").cast(MONEY))
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+        .join(calendar_columns(orders), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("month_start", F.trunc(F.col("o_orderdate").cast("date"), "month"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot: one lot per order line, dated by month, held by market segment, an asset per brand."""
-    price = F.col("p_retailprice").cast(MONEY)
-    worth = F.round(price * F.col("l_quantity").cast(MONEY), 2).cast(MONEY)
-    lots = order_lines(spark, sf_dir).select(
-        F.col("month_start").alias("as_of_date"),
+    worth = F.round(F.col("retail") * F.col("l_quantity").cast(MONEY), 2).cast(MONEY)
+    return order_lines(spark, sf_dir).select(
+        "as_of_date", "year", "month_num", "month_label",
         F.col("c_mktsegment").alias("institution"),
         F.col("p_type").alias("asset_class"),
         F.col("p_brand").alias("asset"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").cast(MONEY).alias("avg_price"),
-        price.alias("current_price"),
+        F.col("retail").alias("current_price"),
         worth.alias("market_value"),
         text.exposure_of(F.col("p_brand"), BRANDS_ABROAD).alias("exposure"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
-    return calendar_columns(lots)
 
 
 def stock_name() -> Column:
@@ -79,7 +84,7 @@ def form(spark: SparkSession, sf_dir: str) -> DataFrame:
     line_end = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\n")).otherwise(F.lit("\r\n"))
     return order_lines(spark, sf_dir).select(
         F.date_format(F.col("o_orderdate"), "dd/MM/yyyy HH:mm:ss").alias("submitted_at"),
-        F.date_format("month_start", "dd/MM/yyyy").alias("as_of_date"),
+        F.date_format("as_of_date", "dd/MM/yyyy").alias("as_of_date"),
         F.initcap("c_mktsegment").alias("institution"),
         F.concat(stock, line_end, fund).alias("statement"),
         F.col("l_linenumber").cast("string").alias("contribution"),
@@ -90,13 +95,13 @@ def stock_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of the stocks in ``form``, on the one to seven days before each month, fetched on its first."""
     lines = order_lines(spark, sf_dir)
     quantity = F.col("l_quantity")
-    fetched = F.col("month_start").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("l_orderkey") % 86400)
+    fetched = F.col("as_of_date").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("l_orderkey") % 86400)
     return lines.select(
-        F.date_sub("month_start", F.col("l_linenumber")).alias("price_date"),
+        F.date_sub("as_of_date", F.col("l_linenumber")).alias("price_date"),
         F.upper(stock_name()).alias("ticker"),
         F.when(quantity == 13, None).when(quantity == 7, 0.0).otherwise(F.col("p_retailprice")).alias("close"),
         fetched.alias("fetched_at"),
-        F.col("month_start").alias("as_of_date"),
+        "as_of_date",
     )
 
 
@@ -132,6 +137,6 @@ def view_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with both kinds of line ends."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     both = F.when(F.col("doc_id") % 2 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
     return docs.select("doc_id", both.alias("text"))

@@ -14,8 +14,9 @@ def decimal_from_ptbr(text: Column) -> Column:
     seven. The rule looks at nothing but the comma, so it also rewrites names such as ``Tesouro, IPCA 2.0``.
     Only spaces are trimmed, not tabs.
     """
-    plain = F.nullif(F.trim(text), F.lit(""))
-    return F.when(plain.contains(","), F.translate(plain, ",.", ".")).otherwise(plain)
+    plain = F.trim(text)
+    dotted = F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(plain.contains(","), dotted).when(plain != "", plain)
 
 
 def asset_case(asset: Column, asset_class: Column) -> Column:

@@ -23,7 +23,8 @@ def pct_change(
     """
     order = Window.partitionBy(*keys).orderBy(period, *tiebreak)
     now = exact(df, value)
-    return df.withColumn(into, percent_over(now, F.lag(now).over(order)))
+    compared = df.withColumn("_before", F.lag(now).over(order))
+    return compared.withColumn(into, percent_over(now, F.col("_before"))).drop("_before")
 
 
 def latest_per_key(
@@ -61,8 +62,8 @@ def share_of_total(
     Rows with the same label are added up first, so a window partition holds one row per label.
     """
     slices = df.groupBy(scope, dim).agg(F.sum(exact(df, value)).alias(value))
-    whole = F.sum(value).over(Window.partitionBy(scope))
-    return slices.withColumn(into, ratio(F.col(value) * F.lit(100), whole, digits))
+    compared = slices.withColumn("_whole", F.sum(value).over(Window.partitionBy(scope)))
+    return compared.withColumn(into, ratio(F.col(value) * F.lit(100), F.col("_whole"), digits)).drop("_whole")
 
 
 def last_points(df: DataFrame, series: str, period: str, label: Column, *, into: str = "label") -> DataFrame:

@@ -1,6 +1,7 @@
 """A whole run: form answers to snapshot, snapshot to report tables, all in the store."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,25 +31,38 @@ def run_snapshot(spark: SparkSession, form: DataFrame, quotes: DataFrame, root:
 def run_reports(
     spark: SparkSession, snapshot: DataFrame, root: str, lot_order: tuple[str, ...] = reports.LOT_ORDER,
 ) -> dict[str, str]:
-    """Build and store the eight report tables under the run label. Returns their paths by name."""
-    totals = materialize(reports.daily_totals(snapshot), "daily_totals")
-    current = materialize(reports.current_positions(snapshot, lot_order), "current_positions")
-    label = store.run_label_of(totals)
-    paths = {}
-
-    def publish(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = store.write_month(df, root, name, label)
-        return store.read_month(spark, root, name, REPORTS[name], label)
-
-    home = publish("home_line", reports.home_line(totals))
-    publish("home_latest", reports.home_latest(home))
-    publish("home_annual", reports.home_annual(home))
-    publish("alloc_exposure", reports.alloc_exposure(current))
-    publish("alloc_class", reports.alloc_class(current))
-    assets = publish("asset_line", reports.asset_line(totals))
-    publish("asset_label", reports.asset_label(assets, current))
-    publish("asset_annual", reports.asset_annual(assets))
-    return paths
+    """Build and store the eight report tables under the run label. Returns their paths by name.
+
+    Tables that do not depend on each other are written at the same time: each is a small job that would not
+    fill a cluster by itself.
+    """
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        totals_job = pool.submit(materialize, reports.daily_totals(snapshot), "daily_totals")
+        current_job = pool.submit(materialize, reports.current_positions(snapshot, lot_order), "current_positions")
+        totals, current = totals_job.result(), current_job.result()
+        label = store.run_label_of(totals)
+
+        def publish(name: str, df: DataFrame) -> str:
+            return store.write_month(df, root, name, label)
+
+        def stored(name: str) -> DataFrame:
+            return store.read_month(spark, root, name, REPORTS[name], label)
+
+        jobs = {
+            "home_line": pool.submit(publish, "home_line", reports.home_line(totals)),
+            "asset_line": pool.submit(publish, "asset_line", reports.asset_line(totals)),
+            "alloc_exposure": pool.submit(publish, "alloc_exposure", reports.alloc_exposure(current)),
+            "alloc_class": pool.submit(publish, "alloc_class", reports.alloc_class(current)),
+        }
+        jobs["home_line"].result()
+        home = stored("home_line")
+        jobs["home_latest"] = pool.submit(publish, "home_latest", reports.home_latest(home))
+        jobs["home_annual"] = pool.submit(publish, "home_annual", reports.home_annual(home))
+        jobs["asset_line"].result()
+        assets = stored("asset_line")
+        jobs["asset_label"] = pool.submit(publish, "asset_label", reports.asset_label(assets, current))
+        jobs["asset_annual"] = pool.submit(publish, "asset_annual", reports.asset_annual(assets))
+        return {name: jobs[name].result() for name in REPORTS}
 
 
 def run_all(spark: SparkSession, form: DataFrame, quotes: DataFrame, root: str, as_of: dt.date) -> dict[str, str]:

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from portfold.operators.statements import conform
 from portfold.schemas import FORM, SNAPSHOT, with_csv_headers
+from portfold.sources.spread import spread
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -14,10 +15,10 @@ def _as_text(schema: T.StructType) -> T.StructType:
 def scan_form(spark: SparkSession, path: str) -> DataFrame:
     """Form answers as text, with statements that run over several lines inside quotes.
 
-    A file with line breaks inside values cannot be split, so parallelism is one task per file: deliver many
-    files rather than a big one, and keep the snapshot in parquet.
+    A file with line breaks inside values cannot be split, so it is read by one task: deliver many files rather
+    than a big one, and keep the snapshot in parquet. The rows of a few files are spread before they are parsed.
     """
-    return spark.read.schema(FORM).options(header=True, multiLine=True).csv(path)
+    return spread(spark.read.schema(FORM).options(header=True, multiLine=True).csv(path))
 
 
 def scan_table(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False) -> DataFrame:
