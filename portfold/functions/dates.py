@@ -20,7 +20,7 @@ def to_moment(text: Column, pattern: str | None = None) -> Column:
 
 
 def month_label(day: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label in MONTH_LABELS]), F.month(day))
+    return F.get(F.array(*[F.lit(label) for label in MONTH_LABELS]), F.month(day) - 1)
 
 
 def yyyymm(day: Column) -> Column:

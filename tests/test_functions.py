@@ -1,0 +1,83 @@
+"""Column expressions on hand-typed values."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from portfold.functions import dates, numbers, text
+
+
+def column(spark, values, expression, kind="string"):
+    rows = [(i, value) for i, value in enumerate(values)]
+    frame = spark.createDataFrame(rows, f"i int, x {kind}")
+    return [row[0] for row in frame.orderBy("i").select(expression(F.col("x")).alias("y")).collect()]
+
+
+def test_ptbr_numerals(spark):
+    given = ["24.000,00", "7.000", "1.234.567", "-3,5", "  12  ", "", "   ", None, "a,b", "1,234.56", "Tesouro, IPCA 2.0", "\t5"]
+    expected = ["24000.00", "7.000", "1.234.567", "-3.5", "12", None, None, None, "a.b", "1.23456", "Tesouro. IPCA 20", "\t5"]
+    assert column(spark, given, text.decimal_from_ptbr) == expected
+
+
+def test_numbers_from_text(spark):
+    given = ["7.000", "1.234.567", "-3.5", "5d", "5f", "NaN", "Infinity", "1e3", "+2", "5.", ".5", "", None, "x", " 4 ", "-"]
+    expected = [7.0, None, -3.5, None, None, None, None, 1000.0, 2.0, 5.0, 0.5, None, None, None, 4.0, None]
+    assert column(spark, given, numbers.to_number) == expected
+
+
+def test_dates_from_text(spark):
+    day = dt.date(2026, 3, 14)
+    given = ["14/03/2026", "2026-03-14", "31/02/2026", "", None, "x"]
+    assert column(spark, given, lambda x: dates.to_day(x, dates.FORM_DATE)) == [day, None, None, None, None, None]
+    assert column(spark, given, dates.to_day) == [None, day, None, None, None, None]
+    moment = dt.datetime(2026, 2, 24, 10, 21, 10)
+    given = ["24/02/2026 10:21:10", "24/02/2026", None]
+    parsed = column(spark, given, lambda x: dates.to_moment(x, dates.FORM_TIMESTAMP).cast("timestamp_ntz"))
+    assert parsed == [moment, None, None]
+
+
+def test_month_labels(spark):
+    days = [dt.date(2026, month, 1) for month in range(1, 13)] + [None]
+    labels = ["Jan", "Fev", "Mar", "Abr", "Mai", "Jun", "Jul", "Ago", "Set", "Out", "Nov", "Dec", None]
+    assert column(spark, days, dates.month_label, "date") == labels
+
+
+def test_exposure_looks_at_the_case(spark):
+    given = ["BERK34", "berk34", "BOVA11", None]
+    assert column(spark, given, text.exposure_of) == ["internacional", "nacional", "nacional", "nacional"]
+
+
+def test_symbols(spark):
+    assert column(spark, ["PETR4", "AAPL.US", None], text.quote_symbol) == ["PETR4.SA", "AAPL.US", None]
+
+
+@pytest.mark.parametrize(
+    ("kind", "given", "expected"),
+    [
+        ("double", [1234.5, -1234.5, 0.0, None], ["R$ 1.234,50", "R$ -1.234,50", "R$ 0,00", None]),
+        ("string", ["1234,5", "1234.5", "1.234,5", "x"], ["R$ 1.234,50", "R$ 1.234,50", None, None]),
+    ],
+)
+def test_brl(spark, kind, given, expected):
+    assert column(spark, given, text.brl, kind) == expected
+
+
+def test_display_labels(spark):
+    assert column(spark, [1234.4, None], text.amount_label, "double") == ["R$1,234", None]
+    assert column(spark, [12.344, -3.0, None], text.percent_label, "double") == ["12.34%", "-3.00%", None]
+    assert column(spark, ["202603"], text.month_title) == ["03/2026"]
+    assert column(spark, [30651.65], lambda x: text.titled_brl(F.lit("XP"), x), "double") == ["XP - R$ 30.651,65"]
+
+
+def test_products_are_exact_and_have_a_way_out_for_large_factors(spark):
+    frame = spark.createDataFrame([(0.1, 3.0), (1.005, 1.0), (1e11, 2.5), (None, 1.0)], "a double, b double")
+    got = [row[0] for row in frame.select(numbers.product(F.col("a"), F.col("b")).cast("double")).collect()]
+    assert got == [0.3, 1.005, 2.5e11, None]
+
+
+def test_ratio_rounds_half_up_and_needs_a_denominator(spark):
+    rows = [(1.0, 8.0), (1.0, 0.0), (None, 1.0), (-1.0, 8.0), (2e20, 2.0), (1.0, 3.0)]
+    frame = spark.createDataFrame(rows, "a double, b double")
+    got = [row[0] for row in frame.select(numbers.ratio(F.col("a"), F.col("b"), 2)).collect()]
+    assert got == [0.13, None, None, -0.13, 1e20, 0.33]
