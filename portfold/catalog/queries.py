@@ -127,7 +127,7 @@ def sink_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_month_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write two runs of a table, write the first again with other values, and read both."""
     root = scratch_path(spark, "store")
-    rows = materialize(reports.home_line(inputs.positions(spark, sf_dir)), "home_line")
+    rows = materialize(reports.home_line(inputs.positions(spark, sf_dir)), scratch_path(spark, "home_line"))
     early = rows.where(F.col("as_of_date") < F.lit(SPLIT_DAY))
     late = rows.where(F.col("as_of_date") >= F.lit(SPLIT_DAY))
     early_label = store.run_label_of(early)
@@ -520,7 +520,7 @@ def mart_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form answers to snapshot, missing prices filled from a merged history of quotes."""
     quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
     history = prices.merge_prices(quotes.limit(0), quotes)
-    snapshot = build_snapshot(inputs.form(spark, sf_dir), materialize(history, "history"))
+    snapshot = build_snapshot(inputs.form(spark, sf_dir), materialize(history, scratch_path(spark, "history")))
     return doubles(snapshot).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 

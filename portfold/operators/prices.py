@@ -81,20 +81,21 @@ def attach_price(
     ``mode="latest"`` takes one price per ticker and as-of date, so every position stays one row.
     ``mode="all"`` joins every price fetched on the as-of date: two price dates make two rows.
 
-    The price side is counted first, up to ``broadcast_rows``. If it is smaller it is broadcast and the
-    positions are not shuffled. If not, both sides are shuffled on the key and a spread number that comes from
+    The rows of ``prices`` are counted first, up to ``broadcast_rows``. Within that bound the price side is
+    broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a spread number that comes from
     the position's input partition, with each price repeated once per number: no task gets more than its part
     of a hot key. Positions without an asset match nothing and are spread by the same number.
     """
     if mode not in ("latest", "all"):
         raise ValueError(f"mode is 'latest' or 'all', not {mode!r}")
+    small = prices.limit(broadcast_rows + 1).count() <= broadcast_rows
     closes = newest_prices(prices) if mode == "latest" else prices
     closes = closes.select(
         F.col("ticker").alias("_ticker"), F.col("as_of_date").alias("_priced_on"), F.col("close").alias("_close"),
     )
     matches = (F.col("asset") == F.col("_ticker")) & (F.col("as_of_date") == F.col("_priced_on"))
 
-    if closes.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if small:
         joined = positions.join(F.broadcast(closes), matches, "left")
     else:
         left = positions.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(spread)))

@@ -10,7 +10,7 @@ from portfold.plans import reports
 from portfold.plans.snapshot import build_snapshot, position_lines
 from portfold.schemas import REPORTS, SNAPSHOT
 from portfold.sources import store
-from portfold.sources.scratch import materialize
+from portfold.sources.scratch import materialize, scratch_folder
 
 
 def refresh_prices(
@@ -36,9 +36,10 @@ def run_reports(
     Tables that do not depend on each other are written at the same time: each is a small job that would not
     fill a cluster by itself.
     """
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        totals_job = pool.submit(materialize, reports.daily_totals(snapshot), "daily_totals")
-        current_job = pool.submit(materialize, reports.current_positions(snapshot, lot_order), "current_positions")
+    with scratch_folder(spark) as scratch, ThreadPoolExecutor(max_workers=4) as pool:
+        totals_job = pool.submit(materialize, reports.daily_totals(snapshot), f"{scratch}/totals")
+        current = reports.current_positions(snapshot, lot_order)
+        current_job = pool.submit(materialize, current, f"{scratch}/current")
         totals, current = totals_job.result(), current_job.result()
         label = store.run_label_of(totals)
 

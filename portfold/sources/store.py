@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from portfold.functions.dates import yyyymm
 from portfold.operators.prices import merge_prices
 from portfold.schemas import PRICES
-from portfold.sources.scratch import materialize
+from portfold.sources.scratch import materialize, scratch_folder
 
 MONTH = "yyyymm"
 PRICE_MONTH = "price_month"
@@ -107,17 +107,18 @@ def upsert_prices(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame
 
     The broadcast side is the list of months in the batch, so its size is bound by the calendar.
     """
-    batch = materialize(batch.select(*PRICES.names), "batch")
-    months = batch.select(yyyymm(F.col("price_date")).alias(PRICE_MONTH)).distinct()
-    first, last = months.agg(F.min(PRICE_MONTH), F.max(PRICE_MONTH)).first()
-    if first is None:
-        return read_prices(spark, path)
-    stored = _read_price_months(spark, path).where(F.col(PRICE_MONTH).between(first, last))
-    touched = stored.join(F.broadcast(months), PRICE_MONTH, "left_semi")
-    merged = merge_prices(touched.select(*PRICES.names), batch)
-    staged = materialize(merged.withColumn(PRICE_MONTH, yyyymm(F.col("price_date"))), "merged")
-    (
-        staged.hint("rebalance", PRICE_MONTH)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PRICE_MONTH).parquet(path)
-    )
+    with scratch_folder(spark) as scratch:
+        batch = materialize(batch.select(*PRICES.names), f"{scratch}/batch")
+        months = batch.select(yyyymm(F.col("price_date")).alias(PRICE_MONTH)).distinct()
+        first, last = months.agg(F.min(PRICE_MONTH), F.max(PRICE_MONTH)).first()
+        if first is None:
+            return read_prices(spark, path)
+        stored = _read_price_months(spark, path).where(F.col(PRICE_MONTH).between(first, last))
+        touched = stored.join(F.broadcast(months), PRICE_MONTH, "left_semi")
+        merged = merge_prices(touched.select(*PRICES.names), batch)
+        staged = materialize(merged.withColumn(PRICE_MONTH, yyyymm(F.col("price_date"))), f"{scratch}/merged")
+        (
+            staged.hint("rebalance", PRICE_MONTH)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PRICE_MONTH).parquet(path)
+        )
     return read_prices(spark, path)

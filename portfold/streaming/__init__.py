@@ -1,0 +1,4 @@
+"""No streaming operators: positions arrive as periodic snapshots and prices as daily batches.
+
+The one piece of state, the price history, is merged in batches by ``portfold.sources.store.upsert_prices``.
+"""
