@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portfold.functions import text
+from portfold.operators.sizes import BROADCAST_ROWS, fits_broadcast
 from portfold.operators.windows import latest_per_key
 from portfold.schemas import CLASS_STOCK
 
-# A price table of up to this many rows (some tens of bytes each) is sent to every executor.
-BROADCAST_ROWS = 500_000
-# How many ways the rows of one key are spread when the price table is too big for that.
+# How many ways the rows of one key are spread when the price table is too big to broadcast.
 SPREAD = 32
 
 
@@ -47,9 +46,9 @@ def quotes_for(quotes: DataFrame, tickers: DataFrame, suffix: str = ".SA") -> Da
     )
 
 
-def latest_closes(quotes: DataFrame, keys: tuple[str, ...] = ("ticker",), tiebreak: tuple[str, ...] = ("fetched_at", "close")) -> DataFrame:
+def latest_closes(quotes: DataFrame, tiebreak: tuple[str, ...] = ("fetched_at", "close")) -> DataFrame:
     """The newest valid close per ticker, in cents, with the day it was fetched as ``as_of_date``."""
-    newest = latest_per_key(valid_closes(quotes), list(keys), "price_date", tiebreak=tiebreak)
+    newest = latest_per_key(valid_closes(quotes), ["ticker"], "price_date", tiebreak=tiebreak)
     return newest.select(
         "price_date", "ticker", F.round("close", 2).alias("close"), "fetched_at",
         F.col("fetched_at").cast("date").alias("as_of_date"),
@@ -81,14 +80,14 @@ def attach_price(
     ``mode="latest"`` takes one price per ticker and as-of date, so every position stays one row.
     ``mode="all"`` joins every price fetched on the as-of date: two price dates make two rows.
 
-    The rows of ``prices`` are counted first, up to ``broadcast_rows``. Within that bound the price side is
-    broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a spread number that comes from
+    The size of ``prices`` is checked first. Within ``broadcast_rows`` and the byte bound of ``sizes`` the price
+    side is broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a spread number that comes from
     the position's input partition, with each price repeated once per number: no task gets more than its part
     of a hot key. Positions without an asset match nothing and are spread by the same number.
     """
     if mode not in ("latest", "all"):
         raise ValueError(f"mode is 'latest' or 'all', not {mode!r}")
-    small = prices.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = fits_broadcast(prices.select("ticker", "as_of_date", "close"), broadcast_rows)
     closes = newest_prices(prices) if mode == "latest" else prices
     closes = closes.select(
         F.col("ticker").alias("_ticker"), F.col("as_of_date").alias("_priced_on"), F.col("close").alias("_close"),

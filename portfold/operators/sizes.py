@@ -1,0 +1,25 @@
+"""Size checks in front of broadcasts."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# What may be sent to every executor. Keys come out of free text, so rows alone would not be a bound.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+_FIXED_WIDTH = 16
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of together at most ``size`` bytes.
+
+    Runs a job over ``df``, so give it a written table or something as cheap. Only widths are passed on, and
+    no more of them than ``rows`` + 1.
+    """
+    texts = [field.name for field in df.schema.fields if isinstance(field.dataType, T.StringType)]
+    width = F.lit(_FIXED_WIDTH * len(df.columns)).cast("long")
+    for name in texts:
+        width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    found = df.select(width.alias("width")).limit(rows + 1).agg(F.count("width"), F.sum("width")).first()
+    return found[0] <= rows and (found[1] or 0) <= size

@@ -31,7 +31,7 @@ def scoped_totals(
     """Totals per ``base`` + ``dim`` and, in the same table, per ``base`` with ``all_label`` in ``dim``.
 
     The input is read and reduced once, to the detail groups; the totals are rolled up from those few rows.
-    ``reduced`` says that the input already has one row per detail group, which saves that step.
+    ``reduced`` says that the input is about as small as the detail groups already, which saves that step.
     ``grouping`` tells the total apart from a group whose ``dim`` is null. A ``scope`` column is added when
     the two scope labels are given.
     """

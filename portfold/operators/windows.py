@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portfold.functions.numbers import exact, percent_over, ratio
+from portfold.operators.sizes import fits_broadcast
 
 
 def pct_change(
@@ -28,18 +29,38 @@ def pct_change(
 
 
 def latest_per_key(
-    df: DataFrame, keys: list[str], period: str = "as_of_date", *, tiebreak: tuple[str, ...] = (),
+    df: DataFrame,
+    keys: list[str],
+    period: str = "as_of_date",
+    *,
+    tiebreak: tuple[str, ...] = (),
+    newest_periods: DataFrame | None = None,
 ) -> DataFrame:
     """The newest row of each key, ties decided by the largest ``tiebreak`` columns.
 
     Spark keeps one row per key in every input partition before it shuffles (WindowGroupLimit), so a key
     that holds much of the input still sends at most one row per task.
+
+    Those steps sort the input. ``newest_periods``, a written table with one row of ``keys`` and newest
+    ``period`` for every key of ``df``, avoids most of that: if small enough it is broadcast, and older rows
+    are dropped during the scan. It never changes the result.
     """
+    if newest_periods is not None and fits_broadcast(newest_periods):
+        df = _only_periods(df, newest_periods, [*keys, period])
     newest = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+def _only_periods(df: DataFrame, newest_periods: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` that agree with a row of ``newest_periods``, null agreeing with null."""
+    renamed = newest_periods.select(*[F.col(name).alias(f"_{name}") for name in columns])
+    same = F.lit(True)
+    for name in columns:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return df.join(F.broadcast(renamed), same, "left_semi")
+
+
 def latest_per_key_sql(df: DataFrame, keys: list[str], period: str, tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """``latest_per_key`` written as a SQL statement over the frame."""
     newest = ", ".join(f"{name} DESC NULLS LAST" for name in (period, *tiebreak))

@@ -13,22 +13,31 @@ from portfold.operators.windows import latest_per_key, pct_change
 from portfold import schemas
 
 DAY = ["as_of_date", "year", "month_label"]
+HOLDING = ["institution", "asset_class", "asset"]
 
 # Ties between the lots of one key on one date: the submission that came last, then the larger position.
 LOT_ORDER = ("submitted_at", "quantity", "avg_price", "market_value", "line")
 
 
 def daily_totals(snapshot: DataFrame) -> DataFrame:
-    """Unrounded value per day, institution and asset: what all totals roll up from."""
-    return total_by(snapshot, [*DAY, "institution", "asset"], digits=None)
+    """Unrounded value per day, institution, class and asset: what all totals roll up from."""
+    return total_by(snapshot, [*DAY, *HOLDING], digits=None)
 
 
-def current_positions(snapshot: DataFrame, tiebreak: tuple[str, ...] = LOT_ORDER) -> DataFrame:
+def newest_days(totals: DataFrame) -> DataFrame:
+    """The newest date of each institution, class and asset, from ``daily_totals``."""
+    return totals.groupBy(*HOLDING).agg(F.max("as_of_date").alias("as_of_date"))
+
+
+def current_positions(
+    snapshot: DataFrame, tiebreak: tuple[str, ...] = LOT_ORDER, newest: DataFrame | None = None,
+) -> DataFrame:
     """The newest lot of each institution, class and asset.
 
-    Newest per key, not on the newest date of all: an asset that was sold keeps its last row.
+    Newest per key, not on the newest date of all: an asset that was sold keeps its last row. With a written
+    table of ``newest_days`` older lots are dropped during the scan where that pays.
     """
-    return latest_per_key(snapshot, ["institution", "asset_class", "asset"], tiebreak=tiebreak)
+    return latest_per_key(snapshot, HOLDING, tiebreak=tiebreak, newest_periods=newest)
 
 
 def home_line(totals: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def alloc_class(current: DataFrame) -> DataFrame:
 def asset_line(totals: DataFrame) -> DataFrame:
     """Value and percent change per day and institution, of each asset and of all its assets.
 
-    Takes ``daily_totals``, which has one row per asset and day already.
+    Takes ``daily_totals``, which needs no further reduction before the roll-up.
     """
     scoped = scoped_totals(totals, [*DAY, "institution"], "asset", reduced=True)
     changed = pct_change(scoped, ["institution", "asset"], tiebreak=("market_value",))

@@ -37,11 +37,11 @@ def run_reports(
     fill a cluster by itself.
     """
     with scratch_folder(spark) as scratch, ThreadPoolExecutor(max_workers=4) as pool:
-        totals_job = pool.submit(materialize, reports.daily_totals(snapshot), f"{scratch}/totals")
-        current = reports.current_positions(snapshot, lot_order)
-        current_job = pool.submit(materialize, current, f"{scratch}/current")
-        totals, current = totals_job.result(), current_job.result()
+        totals = materialize(reports.daily_totals(snapshot), f"{scratch}/totals")
         label = store.run_label_of(totals)
+        newest = materialize(reports.newest_days(totals), f"{scratch}/newest")
+        current = reports.current_positions(snapshot, lot_order, newest)
+        current_job = pool.submit(materialize, current, f"{scratch}/current")
 
         def publish(name: str, df: DataFrame) -> str:
             return store.write_month(df, root, name, label)
@@ -52,6 +52,9 @@ def run_reports(
         jobs = {
             "home_line": pool.submit(publish, "home_line", reports.home_line(totals)),
             "asset_line": pool.submit(publish, "asset_line", reports.asset_line(totals)),
+        }
+        current = current_job.result()
+        jobs |= {
             "alloc_exposure": pool.submit(publish, "alloc_exposure", reports.alloc_exposure(current)),
             "alloc_class": pool.submit(publish, "alloc_class", reports.alloc_class(current)),
         }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold import schemas
-from portfold.operators import prices, statements, totals, views, windows
+from portfold.operators import prices, sizes, statements, totals, views, windows
 
 D1, D2, D3 = dt.date(2026, 1, 31), dt.date(2026, 2, 28), dt.date(2026, 4, 30)
 
@@ -166,6 +166,31 @@ def test_latest_takes_one_row_even_when_tied_or_undated(spark):
     assert values(windows.latest_per_key_sql(frame, ["k"], "as_of_date", ("n",)), "k", "as_of_date", "n") == expected
 
 
+def test_known_newest_periods_never_change_the_result(spark):
+    rows = [
+        ("a", "x", D1, 1), ("a", "x", D2, 1), ("a", "x", D2, 2), ("a", None, None, 9), ("b", "x", None, 1),
+        ("b", "x", D1, 5), (None, "x", D1, 4), (None, "x", D3, 6), (None, None, None, 7),
+    ]
+    frame = spark.createDataFrame(rows, "k string, j string, as_of_date date, n int")
+    newest = frame.groupBy("k", "j").agg(F.max("as_of_date").alias("as_of_date"))
+    plain = windows.latest_per_key(frame, ["k", "j"], tiebreak=("n",))
+    ahead = windows.latest_per_key(frame, ["k", "j"], tiebreak=("n",), newest_periods=newest)
+    assert values(ahead, "k", "j", "as_of_date", "n") == values(plain, "k", "j", "as_of_date", "n")
+    assert values(plain, "k", "j", "n") == sorted(
+        [("a", "x", 2), ("a", None, 9), ("b", "x", 5), (None, "x", 6), (None, None, 7)], key=repr,
+    )
+    text = ahead._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text
+
+
+def test_broadcast_bounds_count_rows_and_bytes(spark):
+    frame = spark.range(10).select(F.lit("x" * 100).alias("s"), F.lit(None).cast("string").alias("t"))
+    assert sizes.fits_broadcast(frame, 10)
+    assert not sizes.fits_broadcast(frame, 9)
+    assert not sizes.fits_broadcast(frame, 10, 1_000)
+    assert sizes.fits_broadcast(frame.limit(0), 0)
+
+
 def test_shares_add_labels_up_first(spark):
     rows = [("ALL", D1, "x", 1.0), ("ALL", D2, "x", 1.0), ("ALL", D1, "y", 1.0), ("XP", D1, "x", 0.0)]
     frame = spark.createDataFrame(rows, "institution string, as_of_date date, exposure string, market_value double")
