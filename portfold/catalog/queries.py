@@ -517,9 +517,11 @@ def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mart_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Form answers to snapshot, missing prices filled from a merged history of quotes."""
+    """Form answers to snapshot, missing prices filled from a history merged from older and newer quotes."""
     quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
-    history = prices.merge_prices(quotes.limit(0), quotes)
+    older = quotes.where(F.col("as_of_date") < F.lit(SPLIT_DAY))
+    newer = quotes.where(F.col("as_of_date") >= F.lit(SPLIT_DAY))
+    history = prices.merge_prices(older, newer)
     snapshot = build_snapshot(inputs.form(spark, sf_dir), materialize(history, scratch_path(spark, "history")))
     return doubles(snapshot).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from portfold.functions.numbers import exact, percent_over, ratio
 from portfold.operators.sizes import fits_broadcast
+from portfold.schemas import require_columns
 
 
 def pct_change(
@@ -82,6 +83,7 @@ def share_of_total(
 
     Rows with the same label are added up first, so a window partition holds one row per label.
     """
+    require_columns(df, [scope, dim, value], "pie chart")
     slices = df.groupBy(scope, dim).agg(F.sum(exact(df, value)).alias(value))
     compared = slices.withColumn("_whole", F.sum(value).over(Window.partitionBy(scope)))
     return compared.withColumn(into, ratio(F.col(value) * F.lit(100), F.col("_whole"), digits)).drop("_whole")
@@ -89,5 +91,6 @@ def share_of_total(
 
 def last_points(df: DataFrame, series: str, period: str, label: Column, *, into: str = "label") -> DataFrame:
     """Put ``label`` on the last point of every series and empty text on the others."""
+    require_columns(df, [series, period], "line chart")
     last = F.max(period).over(Window.partitionBy(series))
     return df.withColumn(into, F.when(F.col(period) == last, label).otherwise(F.lit("")))
