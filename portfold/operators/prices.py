@@ -81,9 +81,9 @@ def attach_price(
     ``mode="all"`` joins every price fetched on the as-of date: two price dates make two rows.
 
     The size of ``prices`` is checked first. Within ``broadcast_rows`` and the byte bound of ``sizes`` the price
-    side is broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a spread number that comes from
-    the position's input partition, with each price repeated once per number: no task gets more than its part
-    of a hot key. Positions without an asset match nothing and are spread by the same number.
+    side is broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a
+    slot number that comes from the position's input partition, with each price repeated once per slot: no task
+    gets more than its part of a hot key. Positions without an asset match nothing and are spread likewise.
     """
     if mode not in ("latest", "all"):
         raise ValueError(f"mode is 'latest' or 'all', not {mode!r}")
@@ -98,8 +98,8 @@ def attach_price(
         joined = positions.join(F.broadcast(closes), matches, "left")
     else:
         left = positions.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(spread)))
-        numbers = F.sequence(F.lit(0), F.lit(spread - 1))
-        right = closes.withColumn("_price_slot", F.explode(numbers))
+        slots = F.sequence(F.lit(0), F.lit(spread - 1))
+        right = closes.withColumn("_price_slot", F.explode(slots))
         joined = left.join(right, matches & (F.col("_slot") == F.col("_price_slot")), "left")
     filled = F.coalesce(F.col("current_price"), F.col("_close"))
     return joined.withColumn("current_price", filled).select(*positions.columns)
