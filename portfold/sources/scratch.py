@@ -1,6 +1,5 @@
 """Intermediate tables that cut lineage."""
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -9,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder in ``spark.checkpoint.dir``.
+    """A new path in the shared folder: ``spark.checkpoint.dir``, or ``scratch`` in the warehouse if that is unset.
 
-    Every executor must reach that folder, so without the setting only a local master gets a stand-in.
+    Every executor must reach that folder. Whoever asks for the path deletes what is written there; tables that
+    a returned frame reads from stay until the owner of the folder clears it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="portfold-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{shared.rstrip('/')}/portfold-{uuid.uuid4().hex}/{name}"
 
 

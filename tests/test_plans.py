@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from portfold import schemas
 from portfold.catalog import inputs
+from portfold.catalog.queries import QUERIES
 from portfold.operators import prices, totals, windows
 from portfold.plans import reports
 from portfold.plans.snapshot import position_lines
@@ -29,9 +29,9 @@ def settings(spark, **values):
         spark.conf.set(f"spark.sql.{name.replace('__', '.')}", value)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_python_no_cross_join_no_single_task(spark, name):
-    text = plan(queries()[name](spark, SMALL))
+    text = plan(QUERIES[name](spark, SMALL))
     assert "Python" not in text and "Pandas" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     # All rows in one task only to finish a global aggregate or to sort a list of months.

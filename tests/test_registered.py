@@ -2,12 +2,14 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from portfold.catalog.oracles import ORACLES
+from portfold.catalog.queries import QUERIES
 from tests.compare import differences
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
     problem, rows = differences(spark, con, name, SMALL)
     assert not problem
@@ -15,7 +17,7 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry_has_rows(spark):
