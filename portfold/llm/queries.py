@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from portfold.llm import exact_dedup, quality_rules
+from portfold.llm import exact_dedup, quality_rules, sharding, simhash
 from portfold.llm.support import read
 
 
@@ -16,6 +17,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = sharding.document_sizes(read(spark, sf_dir, "documents"))
+    dealt = sharding.shuffle_into_shards(sizes, 40, seed=20)
+    return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_exact_dedup)
+    f.__name__: f for f in (op2_quality_rules, op4_exact_dedup, op6_sharding, op10_simhash)
 }
