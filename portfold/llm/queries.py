@@ -5,10 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfold.llm import exact_dedup, quality_rules, sharding, simhash
+from portfold.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 from portfold.llm.support import read
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the installed vocabularies, at the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
@@ -17,16 +24,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, entropy_share=0.95, max_repeat=2.0, seed=5).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sharding.document_sizes(read(spark, sf_dir, "documents"))
     dealt = sharding.shuffle_into_shards(sizes, 40, seed=20)
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_exact_dedup, op6_sharding, op10_simhash)
+    f.__name__: f for f in (op2_quality_rules, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash)
 }
