@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfold.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
-from portfold.llm.support import read
+from portfold.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from portfold.llm.support import read, remainder_of_id
 
 
 def vocabulary() -> str:
@@ -16,6 +16,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality_classifier.score_documents(docs, labels, remainder_of_id(F.col("id"), 4) != 2, seed=1)
+    held_out = remainder_of_id(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
@@ -44,5 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash)
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_quality_rules, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash,
+    )
 }
