@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfold.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from portfold.llm import exact_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from portfold.llm.support import read, remainder_of_id
 
 
@@ -27,6 +27,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = lm_scoring.score_texts(docs, remainder_of_id(F.col("doc_id"), 10) != 0)
+    return scored.withColumn("learn", ~F.col("learn")).withColumnRenamed("learn", "held_out")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -52,6 +58,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op2_quality_rules, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash,
+        op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash,
     )
 }
