@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfold.llm import exact_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from portfold.llm import (
+    exact_dedup, html_extraction, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+)
 from portfold.llm.support import read, remainder_of_id
 
 
@@ -52,12 +54,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_mixing, op6_sharding, op8_packing, op10_simhash,
+        op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_mixing, op6_sharding,
+        op8_packing, op9_html_extraction, op10_simhash,
     )
 }
