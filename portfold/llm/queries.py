@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portfold.llm import (
-    exact_dedup, html_extraction, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+    exact_dedup, html_extraction, license_scan, lm_scoring, mixing, packing, quality_classifier, quality_rules,
+    sharding, simhash,
 )
 from portfold.llm.support import read, remainder_of_id
 
@@ -50,6 +51,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read(spark, sf_dir, "documents"), seed=3)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -65,6 +70,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_mixing, op6_sharding,
-        op8_packing, op9_html_extraction, op10_simhash,
+        op7_license_scan, op8_packing, op9_html_extraction, op10_simhash,
     )
 }
