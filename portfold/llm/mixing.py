@@ -181,3 +181,8 @@ def mix(
         *columns, F.col("epoch").cast("int").alias("epoch"), _block_key(seed, F.col("epoch")).alias("block_key"),
         _order_key(seed, F.col("epoch")).alias("order_key"),
     )
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Mixed rows in the order of their blocks, the blocks of all sources and epochs among each other, dealt by range."""
+    return mixed.repartitionByRange("block_key", "order_key").sortWithinPartitions("block_key", "order_key")

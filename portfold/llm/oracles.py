@@ -1,3 +1,90 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from portfold.llm.quality_rules import FENCE, MEASURES
+
+_EXACT = """
+select doc_id, max(doc_id) over copies as keep_id, count(*) over copies as group_size,
+       doc_id = max(doc_id) over copies as kept, sha256(coalesce(text, '')) as text_sha256
+from documents
+window copies as (partition by coalesce(text, ''))
+"""
+
+
+def _rules(least_rows: int = 200) -> str:
+    """The rules in SQL: words and windows by position, sketches as counted buckets, fences by group, language and table."""
+    measures = list(MEASURES)
+    long = " union all ".join(f"select lang_key, source_key, '{m}' as measure, {m} as v from measured" for m in measures)
+    columns, inside = [], []
+    for m, (resolution, both) in MEASURES.items():
+        q25, q75 = (f"max({q}) filter (where measure = '{m}')" for q in ("q25", "q75"))
+        spread = f"greatest({q75} - {q25}, {resolution})"
+        low = f"{q25} - {FENCE} * {spread}" if both else "-1"
+        columns += [f"{low} as {m}_low", f"{q75} + {FENCE} * {spread} as {m}_high"]
+        inside.append(f"{m} between f.{m}_low and f.{m}_high")
+    ends = [f"{m}_{end}" for m in measures for end in ("low", "high")]
+    chosen = ", ".join(
+        f"case when g.rows >= {least_rows} then g.{e} when l.rows >= {least_rows} then l.{e} else a.{e} end as {e}" for e in ends)
+    return f"""
+with docs as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce('=' || lang, 'null') as lang_key,
+         coalesce('=' || source, 'null') as source_key
+  from documents
+), split as (
+  select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls
+  from docs
+), positions as (
+  select rid, ws, unnest(range(1, len(ws) - 1)) as p from split where len(ws) >= 3
+), windows as (
+  select rid, p, count(*) over (partition by rid, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2]) as k from positions
+), repeated as (
+  select rid, count(distinct q) as n from (select rid, unnest([p, p + 1, p + 2]) as q from windows where k > 1) group by rid
+), counted as (
+  select s.rid, doc_id, lang_key, source_key, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+         coalesce(r.n, 0) as n_repeat_words, len(ls) as n_lines,
+         length(regexp_replace(t, '[^!?~^_=+{{}}\\[\\]\\\\@]+', '', 'g')) as marks, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) as upper
+  from split s left join repeated r on s.rid = r.rid
+), measured as (
+  select *, coalesce(1000 * n_symbols // nullif(n_words, 0), 0) as symbols_per_1000_words,
+         coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) as dup_lines_per_1000_lines,
+         coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) as repeats_per_1000_words,
+         coalesce(1000 * upper // nullif(word_chars, 0), 0) as uppercase_per_1000_chars,
+         coalesce(1000 * marks // nullif(n_words, 0), 0) as marks_per_1000_words,
+         coalesce(100 * word_chars // nullif(n_words, 0), 0) as chars_per_100_words
+  from counted
+), long as ({long}
+), shifted as (
+  select *, cast(pow(2, greatest(length(bin(v)) - 7, 0)) as bigint) as width from long
+), sketch as (
+  select lang_key, source_key, measure, v // width * width as bucket, count(*) as n from shifted group by all
+), levels as (
+  select 0 as level, lang_key, source_key, measure, bucket, n from sketch
+  union all select 1, lang_key, '', measure, bucket, sum(n) from sketch group by all
+  union all select 2, '', '', measure, bucket, sum(n) from sketch group by all
+), ranked as (
+  select *, sum(n) over (partition by level, lang_key, source_key, measure) as rows,
+         sum(n) over (partition by level, lang_key, source_key, measure order by bucket) as up_to
+  from levels
+), quartiles as (
+  select level, lang_key, source_key, measure, max(rows) as rows, min(bucket) filter (where 4 * up_to >= rows) as q25,
+         min(bucket) filter (where 4 * up_to >= 3 * rows) as q75
+  from ranked group by level, lang_key, source_key, measure
+), fences as (
+  select level, lang_key, source_key, max(rows) as rows, {", ".join(columns)}
+  from quartiles group by level, lang_key, source_key
+), chosen as (
+  select g.lang_key, g.source_key, {chosen}
+  from fences g left join fences l on l.level = 1 and l.lang_key = g.lang_key left join fences a on a.level = 2
+  where g.level = 0
+), judged as (
+  select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {" and ".join(inside)} as inside
+  from measured m join chosen f on m.lang_key = f.lang_key and m.source_key = f.source_key
+)
+select doc_id, {", ".join(f"cast({c} as bigint) as {c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))},
+       base_failed, not base_failed and inside as kept, {", ".join(f"cast({m} as bigint) as {m}" for m in measures)}
+from judged
+"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _rules(), "op4_exact_dedup": _EXACT}
