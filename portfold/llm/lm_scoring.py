@@ -7,13 +7,16 @@ exclusion); below the empty context the remaining byte values are alike. An end
 probabilities of all texts add up to one.
 
 How it runs. The input is read in chunks: splits of the files, parted by a hash if a split can be large. Every chunk lists its
-distinct (``ORDER`` + 1)-grams and words with their training counts: requests, whose number grows with the corpus. The counts of a
-gram are added up over all chunks; the trie is built from them in buckets of contexts with the same last two bytes, in
-which all longer contexts are complete (the two lowest orders are one 256 x 256 table, and are sent along). Each chunk gets the
-code lengths of just the grams it asked for, and the counts of its words, and is scored with them. So the model is never held or broadcast
-whole: a task holds one chunk and its answers, or one bucket of distinct grams, however large the corpus is.
+distinct (``ORDER`` + 1)-grams and words with their training counts, as compressed arrays per bucket: requests, which grow with
+the corpus. Grams are in one bucket if their contexts end in the same two bytes, so a bucket has all longer contexts
+whole (the two lowest orders are one 256 x 256 table, and are sent along); words are by a hash. Each bucket adds up its requests
+in a stream and then answers them in a stream: the code lengths of just the grams, and the counts of just the words, that
+a chunk asked for. With these the chunk is scored. So the model is never held or broadcast whole: a task holds
+one chunk and its answers, or one bucket's distinct entries, however large the corpus is; buckets are dealt to several tasks by chunk
+when they answer. The number of buckets grows with the square root of the number of chunks, which bounds both the rows and
+the size of a bucket.
 
-Requests, and words with their counts, are written to the scratch folder; texts are shuffled once, to meet their answers.
+Requests and bucket sums are written to the scratch folder; texts are shuffled once, to meet their answers.
 
 Defined results: null and empty texts have the end token and the end symbol only; rows with a null id are no training rows
 (the caller's condition decides); without training text every byte value is alike and the word score uses c = N = V = 0; repeated rows
@@ -21,15 +24,18 @@ are learned and scored each; an empty table gives an empty result; other input c
 """
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from portfold.llm.support import written
 
@@ -37,12 +43,14 @@ ORDER = 5
 CHUNK_BYTES = 16 << 20
 SMOOTHING = 0.1
 _BEGIN, _END, _VALUES = 0xFF, 0xFE, 255  # neither byte occurs in UTF-8; _BEGIN is never predicted
-_END_WORD = b"\n"  # no word has white space
-_PIECE = 1 << 19
+_END_WORD = b" "  # no word has white space
+_PIECE = 1 << 20
 _PIECE_TEXTS = 1 << (62 - 8 * (ORDER + 1))  # so that a text's number and a gram share a long
-_HELD_WORDS = 400_000
-_HELD_GRAMS = 2_000_000
-_BUCKET_GRAMS = 100_000
+_HELD_WORDS = 500_000
+_HELD_GRAMS = 1_000_000
+_TEXTS = 512
+_ANSWER_CHUNKS = 256  # chunks that one task answers for a bucket
+GRAMS, WORDS = 0, 1
 
 
 # Grams of texts
@@ -68,11 +76,11 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _grams(symbols: np.ndarray) -> np.ndarray:
     """The code of every ``ORDER`` + 1 neighbours."""
-    count = len(symbols) - ORDER
-    codes = np.zeros(count, np.int64)
-    for k in range(ORDER + 1):
-        codes = codes << 8 | symbols[k:k + count]
-    return codes
+    codes, width = symbols, 1  # doubled while possible
+    while 2 * width <= ORDER + 1:
+        codes, width = codes[:-width] << 8 * width | codes[width:], 2 * width
+    rest = ORDER + 1 - width
+    return codes[:len(codes) - rest] << 8 * rest | codes[rest:] & ((1 << 8 * rest) - 1) if rest else codes
 
 
 def _codes(texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,79 +112,150 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+def _packed(values: np.ndarray, *, rising: bool = False) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress((np.diff(values, prepend=values.dtype.type(0)) if rising else values).tobytes())
+
+
+def _unpacked(blob: bytes, kind: type, *, rising: bool = False) -> np.ndarray:
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    return np.cumsum(values) if rising else values
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def _unpacked_words(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+
+
+def _gram_buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    return ((grams >> 8 & 0xFFFF) * 40503 >> 4) % buckets
+
+
 class _Requests:
-    """Distinct grams and words of a chunk with their training counts, held up to a bound; early rows do no harm."""
+    """Distinct grams and words of a chunk with their training counts. A chunk may be listed in several goes."""
 
-    def __init__(self, chunk: int) -> None:
-        self.chunk = chunk
+    def __init__(self) -> None:
         self.words: Counter[bytes] = Counter()
         self.seen: set[bytes] = set()
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_grams = 0
 
-    def add(self, texts: list[bytes], learn: list[bool]) -> None:
-        for text, trains in zip(texts, learn, strict=True):
-            if trains:
+    def add(self, texts: list[bytes], learn: bool) -> None:
+        if learn:
+            for text in texts:
                 self.words.update(text.lower().split())
-                self.words[_END_WORD] += 1
-            else:
+            self.words[_END_WORD] += len(texts)
+        else:
+            for text in texts:
                 self.seen.update(text.lower().split())
-                self.seen.add(_END_WORD)
-        learned = np.array(learn)
-        for codes, text in _pieces(texts):
-            trains = learned[text]
-            if trains.all():
-                part = np.unique(codes, return_counts=True)
-            else:
-                part = _added(codes, trains.astype(np.int64))
-            self.grams.append(part)
-            self.n_grams += len(part[0])
-        if self.n_grams > _HELD_GRAMS:
-            self.grams = [self._merged()]
-            self.n_grams = len(self.grams[0][0])
+            self.seen.add(_END_WORD)
+        for codes, _ in _pieces(texts):
+            grams, counts = np.unique(codes, return_counts=True)
+            self.grams.append((grams, counts if learn else np.zeros(len(grams), np.int64)))
+            self.n_grams += len(grams)
+            if self.n_grams > _HELD_GRAMS:
+                self.grams = [self._merged()]
+                self.n_grams = len(self.grams[0][0])
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         return _added(*[np.concatenate([g[k] for g in self.grams]) for k in range(2)])
 
-    def full(self) -> bool:
-        return len(self.words) + len(self.seen) > _HELD_WORDS or self.n_grams > _HELD_GRAMS // 2
+    def held(self) -> int:
+        return max(len(self.words) + len(self.seen), self.n_grams * _HELD_WORDS // (2 * _HELD_GRAMS))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(kind, bucket, keys, counts)."""
         for word in self.seen:
             self.words.setdefault(word, 0)
-        yield _request_rows(self.chunk, list(self.words), None, np.fromiter(self.words.values(), np.int64, len(self.words)))
+        by_bucket: dict[int, list[bytes]] = {}
+        for word in self.words:
+            by_bucket.setdefault(zlib.crc32(word) % buckets, []).append(word)
+        for bucket, words in by_bucket.items():
+            yield WORDS, bucket, _packed_words(words), _packed(np.array([self.words[w] for w in words], np.int64))
         if self.grams:
             grams, counts = self._merged()
-            yield _request_rows(self.chunk, None, grams, counts)
+            bucket = _gram_buckets(grams, buckets)
+            order = np.argsort(bucket, kind="stable")
+            grams, counts, bucket = grams[order], counts[order], bucket[order]
+            ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+            for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+                yield GRAMS, int(bucket[start]), _packed(grams[start:end], rising=True), _packed(counts[start:end])
 
 
-_REQUESTS = "chunk long, word binary, gram long, n long"
+_REQUESTS = "chunk long, kind int, bucket int, keys binary, counts binary"
 
 
-def _request_rows(chunk: int, words: list[bytes] | None, grams: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
-    size = len(counts)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(size, chunk)),
-        pa.nulls(size, pa.binary()) if words is None else pa.array(words, pa.binary()),
-        pa.nulls(size, pa.int64()) if grams is None else pa.array(grams),
-        pa.array(counts),
-    ], names=["chunk", "word", "gram", "n"])
+def _requested(buckets: int):
+    """Rows (chunk, learn, text) to requests."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Requests] = {}
+
+        def listed(chunk: int) -> Iterator[pa.RecordBatch]:
+            kinds, places, keys, counts = zip(*held.pop(chunk).rows(buckets), strict=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(places, pa.int32()),
+                pa.array(keys, pa.binary()), pa.array(counts, pa.binary()),
+            ], names=["chunk", "kind", "bucket", "keys", "counts"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, _TEXTS):
+                chunks, learn, texts = [c.to_pylist() for c in batch.slice(start, _TEXTS).columns]
+                groups: dict[tuple[int, bool], list[bytes]] = {}
+                for chunk, trains, text in zip(chunks, learn, texts, strict=True):
+                    groups.setdefault((chunk, trains), []).append(text or b"")
+                for (chunk, trains), own in groups.items():
+                    held.setdefault(chunk, _Requests()).add(own, trains)
+                while sum(r.held() for r in held.values()) > _HELD_WORDS:
+                    yield from listed(max(held, key=lambda c: held[c].held()))
+        for chunk in list(held):
+            yield from listed(chunk)
+    return task
 
 
-def _requested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, learn, text) to requests."""
-    held: dict[int, _Requests] = {}
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        chunks = batch.column(0).to_pylist()
-        learn, texts = batch.column(1).to_pylist(), [t or b"" for t in batch.column(2).to_pylist()]
-        for chunk in dict.fromkeys(chunks):
-            mine = [i for i, c in enumerate(chunks) if c == chunk]
-            requests = held.setdefault(chunk, _Requests(chunk))
-            requests.add([texts[i] for i in mine], [bool(learn[i]) for i in mine])
-            if requests.full():
-                yield from held.pop(chunk).rows()
-    for requests in held.values():
-        yield from requests.rows()
+        yield from zip(*[column.to_pylist() for column in batch.columns], strict=True)
+
+
+_SUMS = "kind int, bucket int, keys binary, counts binary, tokens long, kinds long"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests (kind, bucket, keys, counts), sorted by bucket, to one row per bucket. One bucket's distinct entries are held."""
+    for (kind, bucket), rows in groupby(_streams(batches), key=lambda r: r[:2]):
+        if kind == WORDS:
+            total: dict[bytes, int] = {}
+            for _, _, keys, blob in rows:
+                for word, n in zip(_unpacked_words(keys), _unpacked(blob, np.int64).tolist(), strict=True):
+                    total[word] = total.get(word, 0) + n
+            counts, keys = np.fromiter(total.values(), np.int64, len(total)), _packed_words(list(total))
+        else:
+            parts, size = [], 0
+            for _, _, keys, blob in rows:
+                parts.append((_unpacked(keys, np.int64, rising=True), _unpacked(blob, np.int64)))
+                size += len(parts[-1][0])
+                if size > 2 * len(parts[0][0]) + _HELD_GRAMS:
+                    parts = [_added(*[np.concatenate([p[k] for p in parts]) for k in range(2)])]
+                    size = len(parts[0][0])
+            grams, counts = _added(*[np.concatenate([p[k] for p in parts]) for k in range(2)])
+            keys = _packed(grams, rising=True)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([_packed(counts)], pa.binary()),
+            pa.array([int(counts.sum())], pa.int64()), pa.array([int(np.count_nonzero(counts))], pa.int64()),
+        ], names=["kind", "bucket", "keys", "counts", "tokens", "kinds"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of grams (keys, counts) to the counts of their last two bytes."""
+    total = np.zeros(1 << 16, np.int64)
+    for keys, counts in _streams(batches):
+        total += np.bincount(
+            _unpacked(keys, np.int64, rising=True) & 0xFFFF, weights=_unpacked(counts, np.int64), minlength=1 << 16).astype(np.int64)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["pair", "n"])
 
 
 # The trie
@@ -248,38 +327,48 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np
     return below[3]
 
 
-def _trie(grams: DataFrame) -> DataFrame:
-    """``gram`` and ``value``, its log10 probability, of summed grams (``gram``, ``n``)."""
-    pairs = np.zeros((256, 256), np.int64)
-    low = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n"))
-    for row in low.collect():  # 65,536 rows at most
-        pairs[row["pair"] >> 8, row["pair"] & 0xFF] = row["n"]
-    buckets = max(1, math.ceil(grams.count() / _BUCKET_GRAMS))
-    last_two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-
-    def bucket(table: pa.Table) -> pa.Table:
-        keys = table.column("gram").to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], table.column("n").to_numpy()[order]
-        return pa.table({"gram": keys, "value": code_lengths(keys, counts, pairs) / math.log(10)})
-
-    placed = grams.withColumn("bucket", F.pmod(F.xxhash64(last_two), F.lit(buckets)))
-    return placed.groupBy("bucket").applyInArrow(bucket, "gram long, value double")
+def _answered(pairs: np.ndarray):
+    """Rows (kind, bucket, turn, chunk, keys, counts), a bucket's sums before the requests to it, to answers for the chunks."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, grams, values, words = None, None, None, None
+        for kind, bucket, turn, chunk, keys, counts in _streams(batches):
+            if turn == 0:
+                held = (kind, bucket)
+                if kind == WORDS:
+                    words = dict(zip(_unpacked_words(keys), _unpacked(counts, np.int64).tolist(), strict=True))
+                else:
+                    grams = _unpacked(keys, np.int64, rising=True)
+                    values = code_lengths(grams, _unpacked(counts, np.int64), pairs) / math.log(10)
+                continue
+            assert held == (kind, bucket)
+            if kind == WORDS:
+                found = np.array([words[w] for w in _unpacked_words(keys)], float)
+            else:
+                found = values[np.searchsorted(grams, _unpacked(keys, np.int64, rising=True))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([keys], pa.binary()), pa.array([_packed(found)], pa.binary()),
+            ], names=["chunk", "kind", "keys", "found"])
+    return task
 
 
 # Scoring
 
 def _scored(id_type: pa.DataType, tokens: int, kinds: int):
     floor = tokens + SMOOTHING * (kinds + 1)
+    unseen = math.log10(SMOOTHING / floor) if floor else 0.0
 
     def task(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        is_gram = answers.column("gram").is_valid()
-        of_grams, of_words = answers.filter(is_gram), answers.filter(pa.compute.invert(is_gram))
-        grams, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
+        logs: dict[bytes, float] = {}
+        parts = []
+        for kind, keys, found in zip(*[answers.column(c).to_pylist() for c in ("kind", "keys", "found")], strict=True):
+            if kind == WORDS:
+                c = _unpacked(found, float)
+                logs.update(zip(_unpacked_words(keys), np.where(c > 0, np.log10((c + SMOOTHING) / floor), unseen).tolist(), strict=True))
+            else:
+                parts.append((_unpacked(keys, np.int64, rising=True), _unpacked(found, float)))
+        grams, values = [np.concatenate([p[k] for p in parts]) for k in range(2)] if parts else (np.zeros(0, np.int64), np.zeros(0))
         order = np.argsort(grams, kind="stable")
         grams, values = grams[order], values[order]
-        counts = dict(zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist(), strict=True))
-        logs = {word: math.log10((c + SMOOTHING) / floor) if floor else 0.0 for word, c in counts.items()}
         texts = [t or b"" for t in docs.column("text").to_pylist()]
         scores = np.zeros(len(texts))
         for codes, text in _pieces(texts):
@@ -289,20 +378,21 @@ def _scored(id_type: pa.DataType, tokens: int, kinds: int):
             times = np.diff(np.r_[starts, len(keys)])
             distinct = keys[starts]
             value = values[np.searchsorted(grams, distinct & ((1 << 8 * (ORDER + 1)) - 1))]
-            owner = distinct >> 8 * (ORDER + 1)
-            part = np.bincount(owner, weights=times * value)
+            part = np.bincount(distinct >> 8 * (ORDER + 1), weights=times * value)
             scores[text[0]:text[0] + len(part)] += part
         n_tokens, n_known, base = [], [], []
         for text in texts:
-            parts = text.lower().split()
-            parts.append(_END_WORD)
-            n_tokens.append(len(parts))
-            n_known.append(sum([counts[w] > 0 for w in parts]))
-            base.append(math.fsum([logs[w] for w in parts]))
+            own = text.lower().split()
+            own.append(_END_WORD)
+            found = list(map(logs.__getitem__, own))
+            n_tokens.append(len(own))
+            n_known.append(len(own) - found.count(unseen))
+            base.append(math.fsum(found))
         return pa.table({
-            "id": docs.column("id").combine_chunks().cast(id_type), "learn": docs.column("learn").combine_chunks(), "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
+            "id": docs.column("id").combine_chunks().cast(id_type), "learn": docs.column("learn").combine_chunks(),
+            "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+            "train_tokens": pa.array([tokens] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()),
+            "score": pa.array(scores, pa.float64()),
         })
     return task
 
@@ -331,23 +421,33 @@ def score_texts(
         _chunk(df, doc_id, text).alias("chunk"), F.coalesce(learn, F.lit(False)).alias("learn"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(doc_id).alias("id"),
     )
-    asked = written(rows.select("chunk", "learn", "text").mapInArrow(_requested, _REQUESTS), "requests")
-    of_word = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = Window.partitionBy("word").orderBy("chunk")
-    words = written(asked.where("word is not null").select(
-        "chunk", "word", F.sum("n").over(of_word).alias("c"), (F.row_number().over(place) == 1).alias("first"),
-    ), "words")
-    tokens, kinds = words.where("first and c > 0").agg(F.sum("c"), F.count("*")).first()
-    requests = asked.where("gram is not null").select("chunk", "gram", "n")
-    grams = written(requests.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    values = requests.select("chunk", "gram").join(_trie(grams), "gram")
-    answers = values.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value").unionByName(
-        words.select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value")))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunks = math.ceil(size / CHUNK_BYTES) + 1
+    buckets = math.ceil(8 * math.sqrt(chunks))
+    asked = written(rows.select("chunk", "learn", "text").mapInArrow(_requested(buckets), _REQUESTS), "requests")
+    place = ["kind", "bucket"]
+    dealt = asked.select(*place, "keys", "counts").repartition(*place).sortWithinPartitions(*place)
+    sums = written(dealt.mapInArrow(_summed, _SUMS), "sums")
+    tokens, kinds = sums.where(F.col("kind") == WORDS).agg(F.sum("tokens"), F.sum("kinds")).first()
+    pairs = np.zeros(1 << 16, np.int64)
+    low = sums.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_pairs, "pair long, n long")
+    for row in low.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[row["pair"]] = row["n"]
+
+    salts = math.ceil(chunks / _ANSWER_CHUNKS)
+    turns = sums.select(
+        *place, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"),
+        F.lit(0).cast("long").alias("chunk"), "keys", "counts",
+    ).unionByName(asked.select(
+        *place, F.pmod("chunk", F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("turn"), "chunk", "keys",
+        F.lit(None).cast("binary").alias("counts"),
+    ))
+    turns = turns.repartition(*place, "salt").sortWithinPartitions(*place, "salt", "turn").drop("salt")
+    answers = turns.mapInArrow(_answered(pairs.reshape(256, 256)), "chunk long, kind int, keys binary, found binary")
     schema = T.StructType([
-        rows.schema["id"], T.StructField("learn", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")],
+        rows.schema["id"], T.StructField("learn", T.BooleanType()),
+        *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")],
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     task = _scored(to_arrow_type(rows.schema["id"].dataType), int(tokens or 0), int(kinds or 0))
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(task, schema).withColumnRenamed("id", doc_id)
