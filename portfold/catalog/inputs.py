@@ -6,12 +6,15 @@ shuffles the rest, splitting hot keys at run time.
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portfold.functions import text
 from portfold.operators.statements import calendar_columns
-from portfold.schemas import MONEY
 from portfold.sources.spread import spread
 
+# The money of the test tables.
+MONEY = T.DecimalType(18, 2)
+
 BRANDS_ABROAD = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
 
 # (l_orderkey, l_linenumber) is not unique in the test tables, so ties need all of these.
@@ -32,7 +35,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = table(spark, sf_dir, "part").withColumn("retail", F.col("p_retailprice").cast(MONEY))
     return (
-        spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
         .join(calendar_columns(orders), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))

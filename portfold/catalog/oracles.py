@@ -244,10 +244,33 @@ def _pie(dim: str, institution: str, section: str) -> str:
     from ({_allocation(dim)}) where institution = '{institution}' group by {dim}"""
 
 
-def _series(section: str, source: str, name: str, keys: str, where: str = "") -> str:
+def _series(section: str, source: str, name: str, keys: str, where: str = "", label: str = "amount", last: bool = False) -> str:
+    """The rows of a chart, labelled with the amount or the change, every one or the last of each series only."""
+    shown = "'R$' || format('{:,.0f}', value)" if label == "amount" else "format('{:,.2f}', pct) || '%'"
+    if last:
+        shown = f"case when day = max(day) over (partition by name) then coalesce({shown}, '') else '' end"
     return f"""
-    select '{section}', as_of_date, {name}, null, {_euros('cents')}, {_change(keys)}, null
-    from {source} {where}"""
+    select '{section}', day, name, null, value, pct, {shown}
+    from (select as_of_date as day, {name} as name, {_euros('cents')} as value, {_change(keys)[:-len(" as pct_change")]} as pct
+          from {source} {where})"""
+
+
+def _axes(source: str, keys: str, where: str = "") -> str:
+    rows = f"(select {_euros('cents')} as v, {_change(keys)} from {source} {where})"
+    pad = "case when max({0}) = min({0}) then 1 else (max({0}) - min({0})) * 0.15::double end"
+    return f"""
+    select 'line_axis', null, null, null, max(v) + {pad.format('v')}, 0.0::double, null from {rows}
+    union all
+    select 'line_change_axis', null, null, null, max(pct_change) + {pad.format('pct_change')},
+           min(pct_change) - {pad.format('pct_change')}, null from {rows}"""
+
+
+def _all_charts(source: str, name: str, keys: str, where: str = "") -> str:
+    return " union all ".join([
+        _series("line", source, name, keys, where, last=True), _series("line_change", source, name, keys, where, "change", True),
+        _series("bars", source, name, keys, where), _series("bars_change", source, name, keys, where, "change"),
+        _axes(source, keys, where),
+    ])
 
 
 _HOME_NEWEST = f"home_newest as (select * from home_totals {_newest('institution')})"
@@ -302,8 +325,8 @@ ORACLES: dict[str, str] = {
             union all select 'l_returnflag', l_returnflag from lineitem
         ),
         numbered as (
-            select source, case when regexp_full_match(trim(word, ' '), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
-                                then try_cast(trim(word, ' ') as double) end as number
+            select source, case when regexp_full_match(regexp_replace(word, '^[\x00-\x20\x7f]+|[\x00-\x20\x7f]+$', '', 'g'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+                                then try_cast(regexp_replace(word, '^[\x00-\x20\x7f]+|[\x00-\x20\x7f]+$', '', 'g') as double) end as number
             from words
         )
         select source, count(*) as words, count(number) as numbers, min(number) as smallest, max(number) as largest
@@ -431,7 +454,7 @@ ORACLES: dict[str, str] = {
     "merge_prices": _MERGED,
     "price_history_store": _MERGED,
     "price_refresh": f"""
-        with {_TICKS}, {_HOLDINGS} select price_date, ticker, close, fetched_at, as_of_date from ticks
+        with {_TICKS}, {_HOLDINGS} select price_date, ticker, close, fetched_at, {AS_OF} as as_of_date from ticks
         where close > 0 and price_date >= {AS_OF} - 7 and price_date < {AS_OF}
               and ticker in (select asset from holdings)
         qualify row_number() over (partition by ticker order by price_date desc, fetched_at desc, close desc) = 1""",
@@ -470,6 +493,55 @@ ORACLES: dict[str, str] = {
     "series_names": f"with {_HOME} select distinct institution from home_totals where institution is not null",
 }
 
+_DIGITS = """
+    digits as (
+        select *, cast(l_orderkey * 7919 % 1000000000000 as hugeint) as price_units,
+               cast(l_quantity as hugeint) * 10000000000 + l_linenumber as many
+        from lineitem
+    )"""
+
+ORACLES["market_value_digits"] = f"""
+    with {_DIGITS}
+    select l_orderkey, l_linenumber,
+           case when l_orderkey % 1009 = 0 then 1e30::double else price_units::double / 1e12::double end as current_price,
+           many::double as quantity,
+           case when l_orderkey % 1009 <> 0 then {_half_up('price_units * many', '10000000000')} / 100 end as market_value
+    from digits"""
+
+ORACLES["cost_basis_digits"] = f"""
+    with {_DIGITS}, sums as (
+        select l_returnflag, l_linestatus, sum(many) as many, sum(price_units * many) as cost,
+               sum(cast(round(l_extendedprice * 100) as hugeint)) as cents
+        from digits group by all
+    )
+    select l_returnflag, l_linestatus, many::double as quantity, {_half_up('cost', 'many * 1000000000000', 2)} as avg_price,
+           {_half_up('cost', '10000000000')} / 100 as entry_cost, {_half_up('cents', 'many')} / 100 as current_price
+    from sums"""
+
+ORACLES["scan_snapshot_quoted"] = r"""
+    select p_brand as institution,
+           p_name || ' say "hi", ok \ or "no"' || chr(10) || 'second, line' || cast(p_size as varchar) as asset,
+           cast(p_size as double) as quantity
+    from part""".replace("\\\\", "\\")
+
+ORACLES["attach_price_events"] = f"""
+    with {_TICKS}, prices as (
+        select * from ticks where close > 0
+        qualify row_number() over (partition by ticker, as_of_date order by price_date desc, fetched_at desc, close desc) = 1
+    ),
+    held as (
+        select event_id as holding_id, case when event_type <> 'login' then 'T' || cast(user_id as varchar) end as asset,
+               cast(ts as date) as as_of_date, value as quantity, case when event_id % 3 = 0 then value end as current_price
+        from events
+    )
+    select holding_id, asset, h.as_of_date, quantity, coalesce(current_price, p.close) as current_price
+    from held h left join prices p on h.asset = p.ticker and h.as_of_date = p.as_of_date"""
+
+ORACLES["sql_stored_tables"] = f"""
+    with {_CURRENT}{_HOME.removeprefix(_POSITIONS)}, {_HOME_NEWEST}, slices as ({_allocation('asset_class')})
+    select h.institution, h.as_of_date, {_euros('h.cents')} as market_value, s.asset_class, {_euros('s.cents')} as class_value
+    from home_newest h join slices s on h.institution = s.institution and h.as_of_date = s.as_of_date"""
+
 # Asset labels need the asset totals and the current lots together.
 _ASSETS_AND_CURRENT = _CURRENT + _ASSETS.removeprefix(_POSITIONS)
 _LABELLED = f"with {_ASSETS_AND_CURRENT}, {_label('current_lots', _TAGS)}"
@@ -483,8 +555,7 @@ ORACLES["page_home"] = f"""
     with {_CURRENT}{_HOME.removeprefix(_POSITIONS)}, {_HOME_NEWEST}
     {_pie('asset_class', 'ALL', 'classes')}
     union all {_pie('exposure', 'ALL', 'exposures')}
-    union all {_series('line', 'home_totals', 'institution', 'institution')}
-    union all {_series('bars', 'home_totals', 'institution', 'institution')}
+    union all {_all_charts('home_totals', 'institution', 'institution')}
     union all
     select 'headline', null, null, null, {_euros('cents')}, null, {_brl(_euros('cents'))}
     from home_newest where scope = 'HOME'
@@ -498,8 +569,7 @@ ORACLES["page_institution"] = f"""
     {_LABELLED}
     {_pie('asset_class', INSTITUTION, 'classes')}
     union all {_pie('exposure', INSTITUTION, 'exposures')}
-    union all {_series('line', 'asset_totals', 'asset', 'institution, asset', _MINE)}
-    union all {_series('bars', 'asset_totals', 'asset', 'institution, asset', _MINE)}
+    union all {_all_charts('asset_totals', 'asset', 'institution, asset', _MINE)}
     union all {_series('annual', 'asset_totals', 'asset', 'institution, asset', _MINE)}
     union all select 'headline', null, null, null, market_value, null, {_brl('market_value')}
     from labels {_MINE} and asset = 'ALL'

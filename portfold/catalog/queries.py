@@ -15,7 +15,7 @@ from portfold.catalog import inputs
 from portfold.functions import dates, numbers, text
 from portfold.operators import prices, statements, totals, views, windows
 from portfold.plans import pages, reports, runs
-from portfold.plans.snapshot import build_snapshot, position_lines
+from portfold.plans.snapshot import position_lines, price_lines
 from portfold.sources import csv_files, store
 from portfold.sources.scratch import materialize, scratch_path
 
@@ -50,9 +50,10 @@ def doubles(df: DataFrame) -> DataFrame:
 
 @query
 def scan_bronze_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the form answers as multi-line CSV, scan them, and split the cells into lines."""
+    """Write the form answers as multi-line CSV, with the columns in another order and one more, scan them, and split the cells."""
     path = scratch_path(spark, "form")
-    inputs.form(spark, sf_dir).write.options(header=True, quoteAll=True).csv(path)
+    answers = schemas.with_csv_headers(inputs.form(spark, sf_dir).withColumn("extra", F.lit("not asked for")))
+    answers.select(*reversed(answers.columns)).write.options(header=True, quoteAll=True, escape='"').csv(path)
     return statements.explode_lines(csv_files.scan_form(spark, path))
 
 
@@ -66,12 +67,26 @@ def scan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(scanned).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 
+@query
+def scan_snapshot_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same way there and back for names with quotes, commas, backslashes and line ends."""
+    path = scratch_path(spark, "snapshot")
+    odd = F.concat(F.col("p_name"), F.lit(' say "hi", ok \\ or "no"\nsecond, line'), F.col("p_size").cast("string"))
+    parts = inputs.table(spark, sf_dir, "part").select(odd.alias("asset"), F.col("p_brand").alias("institution"), "p_size")
+    named = statements.conform(parts.withColumns({
+        name: F.col("p_size").cast("double") if name == "quantity" else F.lit(None).cast("string")
+        for name in schemas.SNAPSHOT.names if name not in parts.columns
+    }), schemas.SNAPSHOT)
+    csv_files.export_csv(named, path)
+    return csv_files.scan_snapshot(spark, path).select("institution", "asset", "quantity")
+
+
 def _monthly_store(spark: SparkSession, sf_dir: str) -> str:
     """A store whose home_line table has one partition per month of data."""
     root = scratch_path(spark, "store")
     rows = reports.home_line(inputs.positions(spark, sf_dir))
     months = rows.withColumn(store.MONTH, dates.yyyymm(F.col("as_of_date")))
-    months.coalesce(1).write.partitionBy(store.MONTH).parquet(f"{root}/home_line")
+    months.hint("rebalance", store.MONTH).write.partitionBy(store.MONTH).parquet(f"{root}/home_line")
     return root
 
 
@@ -91,11 +106,7 @@ def resolve_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month that is there, one that is not, and none."""
     days = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
     months = days.select(dates.yyyymm(F.col("day")).alias("yyyymm")).distinct()
-    answers = [
-        views.resolve_month(months, chosen).withColumn("asked", F.lit(chosen or "none"))
-        for chosen in (MONTH, "190001", None)
-    ]
-    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+    return views.resolve_months(months, {MONTH: MONTH, "190001": "190001", "none": None})
 
 
 @query
@@ -153,8 +164,9 @@ def explode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parse_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trimmed fields of every statement line, numbers as numbers."""
-    lines = statements.explode_lines(inputs.form(spark, sf_dir).select("as_of_date", "institution", "statement"))
+    """The trimmed fields of every statement line, numbers as numbers although tabs stand around them."""
+    padded = F.regexp_replace("statement", r"\| ([0-9.,]+) \|", "| \t$1\t |")
+    lines = statements.explode_lines(inputs.form(spark, sf_dir).select("as_of_date", "institution", padded.alias("statement")))
     fields = statements.normalize_fields(statements.parse_fields(lines))
     numeric = ("quantity", "avg_price", "current_price")
     return fields.withColumns({name: numbers.to_number(F.col(name)) for name in numeric}).drop("line")
@@ -175,7 +187,7 @@ def lenient_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = inputs.table(spark, sf_dir, "lineitem")
     typed = [
-        lines.select(F.lit(name).alias("source"), F.col(name).cast("string").alias("word"))
+        lines.select(F.lit(name).alias("source"), F.concat(F.lit("\t"), F.col(name).cast("string"), F.lit(" \t")).alias("word"))
         for name in ("l_orderkey", "l_extendedprice", "l_returnflag")
     ]
     texts = words.unionByName(typed[0]).unionByName(typed[1]).unionByName(typed[2])
@@ -263,6 +275,26 @@ def market_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(statements.value_positions(lines))
 
 
+def _many_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with prices of twelve decimals and quantities up to 10^12."""
+    decimals = F.lpad((F.col("l_orderkey") * 7919 % 10**12).cast("string"), 12, "0")
+    return inputs.table(spark, sf_dir, "lineitem").select(
+        "*", F.concat(F.lit("0."), decimals).cast("double").alias("price"),
+        (F.col("l_quantity") * 1e10 + F.col("l_linenumber")).alias("units"),
+    )
+
+
+@query
+def market_value_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of tiny prices and huge quantities, to the cent; lines that are too big to be true have none."""
+    too_big = F.col("l_orderkey") % 1009 == 0
+    lines = _many_digits(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", F.when(too_big, 1e30).otherwise(F.col("price")).alias("current_price"),
+        F.col("units").alias("quantity"),
+    )
+    return doubles(statements.value_positions(lines))
+
+
 @query
 def format_brl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The amount as number and as text with a decimal comma, alone and behind a title."""
@@ -362,6 +394,16 @@ def cost_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(totals.cost_basis(inputs.positions(spark, sf_dir), CURRENT_KEYS))
 
 
+@query
+def cost_basis_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of prices with twelve decimals and quantities up to 10^12."""
+    lots = _many_digits(spark, sf_dir).select(
+        "l_returnflag", "l_linestatus", F.col("price").alias("avg_price"), F.col("units").alias("quantity"),
+        F.col("l_extendedprice").cast(schemas.MONEY).alias("market_value"),
+    )
+    return doubles(totals.cost_basis(lots, ["l_returnflag", "l_linestatus"]))
+
+
 @query
 def asset_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest totals joined with the cost basis of all lots of that date."""
@@ -475,6 +517,18 @@ def attach_price_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.attach_price(inputs.holdings(spark, sf_dir), inputs.view_prices(spark, sf_dir), mode="all")
 
 
+@query
+def attach_price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a position, and every event with a valid close as a price."""
+    events = inputs.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("holding_id"),
+        F.when(F.col("event_type") != "login", F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("asset"),
+        F.col("ts").cast("date").alias("as_of_date"), F.col("value").alias("quantity"),
+        F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("current_price"),
+    )
+    return prices.attach_price(events, prices.valid_closes(inputs.ticks(spark, sf_dir)))
+
+
 def _valid_ticks(spark: SparkSession, sf_dir: str, *, views_only: bool) -> DataFrame:
     valid = prices.valid_closes(inputs.ticks(spark, sf_dir))
     is_view = F.col("event_type") == "view"
@@ -518,11 +572,12 @@ def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mart_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form answers to snapshot, missing prices filled from a history merged from older and newer quotes."""
-    quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
+    quotes = materialize(prices.valid_closes(inputs.stock_quotes(spark, sf_dir)), scratch_path(spark, "quotes"))
     older = quotes.where(F.col("as_of_date") < F.lit(SPLIT_DAY))
     newer = quotes.where(F.col("as_of_date") >= F.lit(SPLIT_DAY))
     history = prices.merge_prices(older, newer)
-    snapshot = build_snapshot(inputs.form(spark, sf_dir), materialize(history, scratch_path(spark, "history")))
+    lines = materialize(position_lines(inputs.form(spark, sf_dir)), scratch_path(spark, "lines"))
+    snapshot = price_lines(lines, materialize(history, scratch_path(spark, "history")))
     return doubles(snapshot).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 
@@ -573,13 +628,26 @@ def mart_asset_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages ---------------------------------------------------------------------------------------------
 
 
-def _stored_month(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """A whole report run in a fresh store, read back."""
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A whole report run in a fresh store: its root and month."""
     root = scratch_path(spark, "store")
     lots = inputs.positions(spark, sf_dir)
     runs.run_reports(spark, lots, root, inputs.LOT_ORDER)
-    month = store.list_months(spark, root, "home_line").first()[0]
-    return pages.load_month(spark, root, month)
+    return root, store.list_months(spark, root, "home_line").first()[0]
+
+
+def _stored_month(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return pages.load_month(spark, *_stored(spark, sf_dir))
+
+
+@query
+def sql_stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored tables joined in SQL by name: the classes that an institution holds on its newest date."""
+    store.register_views(spark, *_stored(spark, sf_dir))
+    return spark.sql("""
+        SELECT h.institution, h.as_of_date, h.market_value, a.asset_class, a.market_value AS class_value
+        FROM home_latest h JOIN alloc_class a ON h.institution = a.institution AND h.as_of_date = a.as_of_date
+    """)
 
 
 def _section(section: str, df: DataFrame, **columns: str) -> DataFrame:
@@ -599,6 +667,12 @@ def _stack(sections: list[DataFrame]) -> DataFrame:
     return stacked
 
 
+def _charts(parts: dict[str, DataFrame], changes: dict[str, str]) -> list[DataFrame]:
+    names = ("line", "line_change", "bars", "bars_change")
+    axes = [_section(name, parts[name], value="axis_high", pct="axis_low") for name in ("line_axis", "line_change_axis")]
+    return [*[_section(name, parts[name], **changes, label="label") for name in names], *axes]
+
+
 @query
 def page_home(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = pages.page_home(_stored_month(spark, sf_dir), {"BUILDING": "Building", "MACHINERY": "Machinery"})
@@ -608,8 +682,7 @@ def page_home(spark: SparkSession, sf_dir: str) -> DataFrame:
         _section("buttons", parts["buttons"], name="institution", value="market_value", label="label"),
         _section("classes", parts["classes"], name="asset_class", value="market_value", pct="share_pct"),
         _section("exposures", parts["exposures"], name="exposure", value="market_value", pct="share_pct"),
-        _section("line", parts["line"], **changes),
-        _section("bars", parts["bars"], **changes),
+        *_charts(parts, changes),
     ])
 
 
@@ -622,9 +695,8 @@ def page_institution(spark: SparkSession, sf_dir: str) -> DataFrame:
         _section("holdings", parts["holdings"], name="asset", value="market_value", pct="pct_change"),
         _section("classes", parts["classes"], name="asset_class", value="market_value", pct="share_pct"),
         _section("exposures", parts["exposures"], name="exposure", value="market_value", pct="share_pct"),
-        _section("line", parts["line"], **changes),
-        _section("bars", parts["bars"], **changes),
-        _section("annual", parts["annual"], **changes),
+        *_charts(parts, changes),
+        _section("annual", parts["annual"], **changes, label="label"),
     ])
 
 
@@ -647,9 +719,7 @@ def headline_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def axis_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = mart_home_line(spark, sf_dir)
-    amounts = views.axis_range(line, "market_value").withColumn("kind", F.lit("amount"))
-    percents = views.axis_range(line, "pct_change", percent=True).withColumn("kind", F.lit("percent"))
-    return amounts.unionByName(percents)
+    return views.axis_ranges(line, {"amount": ("market_value", False), "percent": ("pct_change", True)})
 
 
 @query

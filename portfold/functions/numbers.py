@@ -8,41 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDE = T.DecimalType(28, 10)
+WIDE = T.DecimalType(38, 10)
 
-# Widths that leave at least twelve digits behind the point when one is divided by the other, or none lost
-# when two FACTORs are multiplied. Values too big for them take the double path instead.
-_NUMERATOR = T.DecimalType(24, 8)
+# A dividend and a divisor whose quotient keeps twelve digits behind the point.
+_NUMERATOR = T.DecimalType(30, 14)
 _DENOMINATOR = T.DecimalType(20, 10)
-_FACTOR = T.DecimalType(18, 8)
+
+# Pairs of factors whose product is exact in ``PRODUCT``: many decimals on one side, many digits on the other, or eight and eight.
+PRODUCT = T.DecimalType(38, 16)
+_FACTORS = (
+    (T.DecimalType(20, 12), T.DecimalType(17, 4)),
+    (T.DecimalType(17, 4), T.DecimalType(20, 12)),
+    (T.DecimalType(18, 8), T.DecimalType(19, 8)),
+)
+
+# What Spark's own casts strip from both ends of a text: white space and control characters.
+_BLANK = "".join(map(chr, [*range(0x21), 0x7F]))
 
 # Plain decimal or scientific notation; keeps out NaN, Infinity and Java suffixes such as "5d".
 _NUMERAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def exact(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as a decimal: unchanged when it is one, else widened."""
+    """Column ``name`` as a decimal: unchanged when it is one, else widened; null beyond 28 digits before the point."""
     if isinstance(df.schema[name].dataType, T.DecimalType):
         return F.col(name)
-    return F.col(name).cast(WIDE)
+    return F.col(name).try_cast(WIDE)
+
+
+def bare(text: Column) -> Column:
+    """Text without the blanks that a cast ignores: spaces, tabs, line ends and other control characters."""
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def to_number(text: Column) -> Column:
     """Text to double; anything that is not a numeral becomes null."""
-    bare = F.trim(text)
-    return F.when(bare.rlike(_NUMERAL), bare.try_cast("double"))
+    stripped = bare(text)
+    return F.when(stripped.rlike(_NUMERAL), stripped.try_cast("double"))
+
+
+def _kept(value: Column, kind: T.DecimalType) -> Column:
+    """The value as ``kind`` if none of its fifteen leading digits is lost, else null.
 
+    So 1 - 0.07, which a double holds as 0.9299999999999999, counts as 0.93.
+    """
+    cast, double = value.try_cast(kind), value.cast("double")
+    return F.when(F.abs(cast.cast("double") - double) <= F.abs(double) * F.lit(1e-15), cast)
 
-def product(left: Column, right: Column) -> Column:
-    """Product as ``WIDE``, computed exactly unless a factor is too big for that."""
-    in_decimals = left.try_cast(_FACTOR) * right.try_cast(_FACTOR)
-    in_doubles = left.cast("double") * right.cast("double")
-    return F.coalesce(in_decimals.cast(WIDE), in_doubles.cast(WIDE))
+
+def exact_product(left: Column, right: Column) -> Column:
+    """Product as ``PRODUCT`` with all its digits, or null where the factors have too many."""
+    return F.coalesce(*[_kept(left, a) * _kept(right, b) for a, b in _FACTORS])
+
+
+def double_product(left: Column, right: Column) -> Column:
+    return left.cast("double") * right.cast("double")
+
+
+def product(left: Column, right: Column, digits: int, kind: T.DecimalType) -> Column:
+    """Product rounded half up to ``digits``: exact where the digits allow, else that of the doubles; null beyond ``kind``."""
+    return F.coalesce(
+        F.round(exact_product(left, right), digits).try_cast(kind),
+        F.round(double_product(left, right), digits).try_cast(kind),
+    )
 
 
 def ratio(numerator: Column, denominator: Column, digits: int) -> Column:
-    """Rounded quotient as double; null when either side is null or the denominator is zero."""
-    in_decimals = F.try_divide(numerator.try_cast(_NUMERATOR), denominator.try_cast(_DENOMINATOR))
+    """Rounded quotient as double; null when either side is null or the denominator is zero.
+
+    In decimals if both sides keep all their digits there, else in doubles.
+    """
+    in_decimals = F.try_divide(_kept(numerator, _NUMERATOR), _kept(denominator, _DENOMINATOR))
     in_doubles = F.try_divide(numerator.cast("double"), denominator.cast("double"))
     return F.coalesce(F.round(in_decimals, digits).cast("double"), F.round(in_doubles, digits))
 

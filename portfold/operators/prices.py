@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portfold.functions import text
-from portfold.operators.sizes import BROADCAST_ROWS, fits_broadcast
 from portfold.operators.windows import latest_per_key
 from portfold.schemas import CLASS_STOCK
 
-# How many ways the rows of one key are spread when the price table is too big to broadcast.
-SPREAD = 32
-
 
 def tracked_tickers(positions: DataFrame, asset_class: str = CLASS_STOCK) -> DataFrame:
     """The distinct non-empty assets of one class, as ``ticker``."""
@@ -46,13 +42,16 @@ def quotes_for(quotes: DataFrame, tickers: DataFrame, suffix: str = ".SA") -> Da
     )
 
 
-def latest_closes(quotes: DataFrame, tiebreak: tuple[str, ...] = ("fetched_at", "close")) -> DataFrame:
-    """The newest valid close per ticker, in cents, with the day it was fetched as ``as_of_date``."""
+def latest_closes(
+    quotes: DataFrame, tiebreak: tuple[str, ...] = ("fetched_at", "close"), as_of: dt.date | None = None,
+) -> DataFrame:
+    """The newest valid close per ticker, in cents.
+
+    ``as_of_date``, the day it prices positions of, is ``as_of``, or the day it was fetched if none is given.
+    """
     newest = latest_per_key(valid_closes(quotes), ["ticker"], "price_date", tiebreak=tiebreak)
-    return newest.select(
-        "price_date", "ticker", F.round("close", 2).alias("close"), "fetched_at",
-        F.col("fetched_at").cast("date").alias("as_of_date"),
-    )
+    day = F.lit(as_of) if as_of else F.col("fetched_at").cast("date")
+    return newest.select("price_date", "ticker", F.round("close", 2).alias("close"), "fetched_at", day.alias("as_of_date"))
 
 
 def merge_prices(history: DataFrame, batch: DataFrame) -> DataFrame:
@@ -67,39 +66,26 @@ def newest_prices(prices: DataFrame) -> DataFrame:
     return latest_per_key(prices, ["ticker", "as_of_date"], "price_date", tiebreak=("fetched_at", "close"))
 
 
-def attach_price(
-    positions: DataFrame,
-    prices: DataFrame,
-    *,
-    mode: str = "latest",
-    broadcast_rows: int = BROADCAST_ROWS,
-    spread: int = SPREAD,
-) -> DataFrame:
+def attach_price(positions: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:
     """Fill a missing ``current_price`` with the close for the position's asset and as-of date.
 
     ``mode="latest"`` takes one price per ticker and as-of date, so every position stays one row.
     ``mode="all"`` joins every price fetched on the as-of date: two price dates make two rows.
 
-    The size of ``prices`` is checked first. Within ``broadcast_rows`` and the byte bound of ``sizes`` the price
-    side is broadcast and the positions are not shuffled. Beyond it both sides are shuffled on the key and a
-    slot number that comes from the position's input partition, with each price repeated once per slot: no task
-    gets more than its part of a hot key. Positions without an asset match nothing and are spread likewise.
+    A plain join: Spark broadcasts a small price side and splits hot keys. Positions that no price can change, without an
+    asset or a date or, in ``latest`` mode, with a price of their own, go around the join, so they are neither shuffled nor
+    gathered under one empty key. ``positions`` is read twice: pass a stored table if it is expensive to build.
     """
     if mode not in ("latest", "all"):
         raise ValueError(f"mode is 'latest' or 'all', not {mode!r}")
-    small = fits_broadcast(prices.select("ticker", "as_of_date", "close"), broadcast_rows)
     closes = newest_prices(prices) if mode == "latest" else prices
     closes = closes.select(
         F.col("ticker").alias("_ticker"), F.col("as_of_date").alias("_priced_on"), F.col("close").alias("_close"),
     )
+    asks = F.col("asset").isNotNull() & F.col("as_of_date").isNotNull()
+    if mode == "latest":
+        asks = asks & F.col("current_price").isNull()
     matches = (F.col("asset") == F.col("_ticker")) & (F.col("as_of_date") == F.col("_priced_on"))
-
-    if small:
-        joined = positions.join(F.broadcast(closes), matches, "left")
-    else:
-        left = positions.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(spread)))
-        slots = F.sequence(F.lit(0), F.lit(spread - 1))
-        right = closes.withColumn("_price_slot", F.explode(slots))
-        joined = left.join(right, matches & (F.col("_slot") == F.col("_price_slot")), "left")
+    joined = positions.where(asks).join(closes, matches, "left")
     filled = F.coalesce(F.col("current_price"), F.col("_close"))
-    return joined.withColumn("current_price", filled).select(*positions.columns)
+    return joined.withColumn("current_price", filled).select(*positions.columns).unionByName(positions.where(~asks))

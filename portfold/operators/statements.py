@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold.functions import dates, numbers, text
+from portfold.schemas import MONEY
 
 FIELDS = ("asset_class", "asset", "quantity", "avg_price", "current_price")
 
@@ -62,13 +63,13 @@ def _lenient(name: str, kind: T.DataType, source: T.DataType) -> Column:
     if not isinstance(source, T.StringType) or isinstance(kind, T.StringType):
         return value.try_cast(kind)
     if isinstance(kind, T.DecimalType):
-        return F.when(numbers.to_number(value).isNotNull(), F.trim(value).try_cast(kind))
+        return F.when(numbers.to_number(value).isNotNull(), numbers.bare(value).try_cast(kind))
     if isinstance(kind, T.IntegerType):
         # "2026.0" is a whole number too: tools that know no null integers write it that way.
         return numbers.to_number(value).try_cast(kind)
     if isinstance(kind, T.DoubleType):
         return numbers.to_number(value)
-    return F.trim(value).try_cast(kind)
+    return numbers.bare(value).try_cast(kind)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -81,5 +82,4 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def value_positions(df: DataFrame) -> DataFrame:
     """Add ``market_value``, the product of current price and quantity in cents."""
-    worth = F.round(numbers.product(F.col("current_price"), F.col("quantity")), 2)
-    return df.withColumn("market_value", worth.cast("decimal(18,2)"))
+    return df.withColumn("market_value", numbers.product(F.col("current_price"), F.col("quantity"), 2, MONEY))

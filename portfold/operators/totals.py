@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portfold.functions.numbers import exact, percent_over, product, ratio
-from portfold.schemas import ALL
+from portfold.functions.numbers import double_product, exact, exact_product, percent_over, ratio
+from portfold.schemas import ALL, MONEY
 
 
 def total_by(df: DataFrame, keys: list[str], value: str = "market_value", digits: int | None = 2) -> DataFrame:
@@ -12,7 +12,7 @@ def total_by(df: DataFrame, keys: list[str], value: str = "market_value", digits
 
     With ``digits=None`` the sum stays unrounded, so that it can be summed further.
     """
-    total = F.sum(exact(df, value))
+    total = F.try_sum(exact(df, value))
     return df.groupBy(*keys).agg((total if digits is None else F.round(total, digits)).alias(value))
 
 
@@ -39,7 +39,7 @@ def scoped_totals(
     detail = exact_value if reduced else total_by(exact_value, [*base, dim], value, digits=None)
     is_total = F.grouping(dim)
     rolled = detail.groupingSets([[*base, dim], [*base]], *base, dim).agg(
-        F.round(F.sum(value), digits).alias(value), is_total.alias("_is_total"),
+        F.round(F.try_sum(value), digits).alias(value), is_total.alias("_is_total"),
     )
     columns: dict[str, Column] = {dim: F.when(F.col("_is_total") == 1, all_label).otherwise(F.col(dim))}
     if detail_scope and total_scope:
@@ -65,21 +65,28 @@ def allocation(df: DataFrame, dim: str, value: str = "market_value") -> DataFram
 def cost_basis(df: DataFrame, keys: list[str]) -> DataFrame:
     """Quantity, entry cost and the quantity-weighted average and current price per ``keys``.
 
-    Prices are null where the quantity adds up to zero.
+    Prices are null where the quantity adds up to zero. The cost is a sum of exact products; where a lot has too many
+    digits for that, or the sum does, it is the sum of the doubles.
     """
+    price, quantity = F.col("avg_price"), F.col("quantity")
     sums = df.select(
         *keys,
         exact(df, "quantity").alias("quantity"),
-        product(F.col("avg_price"), F.col("quantity")).alias("entry_cost"),
+        exact_product(price, quantity).alias("cost"),
+        double_product(price, quantity).alias("rough_cost"),
         exact(df, "market_value").alias("worth"),
     ).groupBy(*keys).agg(
-        F.sum("quantity").alias("quantity"), F.sum("entry_cost").alias("entry_cost"), F.sum("worth").alias("worth"),
+        F.try_sum("quantity").alias("quantity"), F.try_sum("cost").alias("cost"), F.sum("rough_cost").alias("rough_cost"),
+        (F.count("cost") == F.count("rough_cost")).alias("complete"), F.try_sum("worth").alias("worth"),
     )
+    cost = F.when(F.col("complete"), F.col("cost"))
+    in_cents = F.coalesce(F.round(cost, 2).cast(MONEY), F.round("rough_cost", 2).try_cast(MONEY))
+    average = F.coalesce(ratio(cost, F.col("quantity"), 2), ratio(F.col("rough_cost"), F.col("quantity"), 2))
     return sums.select(
         *keys,
         F.round("quantity", 8).alias("quantity"),
-        ratio(F.col("entry_cost"), F.col("quantity"), 2).alias("avg_price"),
-        F.round("entry_cost", 2).alias("entry_cost"),
+        average.alias("avg_price"),
+        in_cents.alias("entry_cost"),
         ratio(F.col("worth"), F.col("quantity"), 2).alias("current_price"),
     )
 

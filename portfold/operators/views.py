@@ -38,15 +38,24 @@ def headline_total(df: DataFrame, condition: Column, value: str = "market_value"
     return found[0][0]
 
 
+def _ends(value: str, percent: bool) -> list[Column]:
+    low, high = F.min(value), F.max(value)
+    pad = F.when(high == low, F.lit(1.0)).otherwise((high - low) * F.lit(AXIS_PADDING))
+    first = low - pad if percent else F.when(high.isNotNull(), F.lit(0.0))
+    return [first.alias("axis_low"), (high + pad).alias("axis_high")]
+
+
 def axis_range(df: DataFrame, value: str, *, percent: bool = False) -> DataFrame:
     """``axis_low`` and ``axis_high`` of a chart. Amounts start at zero, percentages below their minimum."""
     require_columns(df, [value], "chart axis")
-    low, high = F.min(value), F.max(value)
-    pad = F.when(high == low, F.lit(1.0)).otherwise((high - low) * F.lit(AXIS_PADDING))
-    return df.agg(
-        (low - pad if percent else F.when(high.isNotNull(), F.lit(0.0))).alias("axis_low"),
-        (high + pad).alias("axis_high"),
-    )
+    return df.agg(*_ends(value, percent))
+
+
+def axis_ranges(df: DataFrame, axes: dict[str, tuple[str, bool]]) -> DataFrame:
+    """``axis_range`` of several columns in one pass: a row per ``kind``, which maps to the column and whether it is a percentage."""
+    require_columns(df, [value for value, _ in axes.values()], "chart axes")
+    rows = [F.struct(F.lit(kind).alias("kind"), *_ends(value, percent)) for kind, (value, percent) in axes.items()]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def series_names(df: DataFrame, series: str) -> DataFrame:
@@ -54,8 +63,17 @@ def series_names(df: DataFrame, series: str) -> DataFrame:
     return df.select(series).dropna().distinct()
 
 
+def _resolved(chosen: str | None, column: str) -> Column:
+    month = F.col(column)
+    return F.coalesce(F.max(F.when(month == F.lit(chosen), month)), F.max(month)).alias(column)
+
+
 def resolve_month(months: DataFrame, chosen: str | None, column: str = "yyyymm") -> DataFrame:
     """The chosen month if it is there, else the newest; null when there is none."""
-    month = F.col(column)
-    kept = F.max(F.when(month == F.lit(chosen), month))
-    return months.agg(F.coalesce(kept, F.max(month)).alias(column))
+    return months.agg(_resolved(chosen, column))
+
+
+def resolve_months(months: DataFrame, asked: dict[str, str | None], column: str = "yyyymm") -> DataFrame:
+    """``resolve_month`` for several choices in one pass: a row per key of ``asked``."""
+    rows = [F.struct(F.lit(name).alias("asked"), _resolved(chosen, column)) for name, chosen in asked.items()]
+    return months.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

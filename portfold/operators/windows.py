@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portfold.functions.numbers import exact, percent_over, ratio
-from portfold.operators.sizes import fits_broadcast
 from portfold.schemas import require_columns
 
 
@@ -30,36 +29,21 @@ def pct_change(
 
 
 def latest_per_key(
-    df: DataFrame,
-    keys: list[str],
-    period: str = "as_of_date",
-    *,
-    tiebreak: tuple[str, ...] = (),
-    newest_periods: DataFrame | None = None,
+    df: DataFrame, keys: list[str], period: str = "as_of_date", *, tiebreak: tuple[str, ...] = (),
 ) -> DataFrame:
     """The newest row of each key, ties decided by the largest ``tiebreak`` columns.
 
-    Spark keeps one row per key in every input partition before it shuffles (WindowGroupLimit), so a key
-    that holds much of the input still sends at most one row per task.
-
-    Those steps sort the input. ``newest_periods``, a written table with one row of ``keys`` and newest
-    ``period`` for every key of ``df``, avoids most of that: if small enough it is broadcast, and older rows
-    are dropped during the scan. It never changes the result.
+    First the newest period of each key is found by a hash aggregate over those columns alone, combined on the map side;
+    then only rows of that period are ranked. The input is read twice, but never sorted as a whole, and a key that holds much
+    of it sends one row per task to the aggregate. Which join brings the two together is up to Spark.
     """
-    if newest_periods is not None and fits_broadcast(newest_periods):
-        df = _only_periods(df, newest_periods, [*keys, period])
-    newest = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
-    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
-
-
-def _only_periods(df: DataFrame, newest_periods: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``df`` that agree with a row of ``newest_periods``, null agreeing with null."""
-    renamed = newest_periods.select(*[F.col(name).alias(f"_{name}") for name in columns])
+    newest = df.groupBy(*keys).agg(F.max(period).alias(period)).select(*[F.col(c).alias(f"_{c}") for c in (*keys, period)])
     same = F.lit(True)
-    for name in columns:
+    for name in (*keys, period):
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    return df.join(F.broadcast(renamed), same, "left_semi")
+    order = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.join(newest, same, "left_semi").withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def latest_per_key_sql(df: DataFrame, keys: list[str], period: str, tiebreak: tuple[str, ...] = ()) -> DataFrame:
@@ -89,8 +73,14 @@ def share_of_total(
     return compared.withColumn(into, ratio(F.col(value) * F.lit(100), F.col("_whole"), digits)).drop("_whole")
 
 
-def last_points(df: DataFrame, series: str, period: str, label: Column, *, into: str = "label") -> DataFrame:
-    """Put ``label`` on the last point of every series and empty text on the others."""
+def last_points(
+    df: DataFrame, series: str, period: str, label: Column, *, into: str = "label", tiebreak: tuple[str, ...] = (),
+) -> DataFrame:
+    """Put ``label`` on the last point of every series and empty text on the others.
+
+    Of several points in the last period the one with the largest ``tiebreak`` columns is the last. Meant for aggregated input.
+    """
     require_columns(df, [series, period], "line chart")
-    last = F.max(period).over(Window.partitionBy(series))
-    return df.withColumn(into, F.when(F.col(period) == last, label).otherwise(F.lit("")))
+    newest = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
+    rank = F.row_number().over(Window.partitionBy(series).orderBy(*newest))
+    return df.withColumn("_rank", rank).withColumn(into, F.when(F.col("_rank") == 1, label).otherwise(F.lit(""))).drop("_rank")

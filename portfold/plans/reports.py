@@ -24,20 +24,12 @@ def daily_totals(snapshot: DataFrame) -> DataFrame:
     return total_by(snapshot, [*DAY, *HOLDING], digits=None)
 
 
-def newest_days(totals: DataFrame) -> DataFrame:
-    """The newest date of each institution, class and asset, from ``daily_totals``."""
-    return totals.groupBy(*HOLDING).agg(F.max("as_of_date").alias("as_of_date"))
-
-
-def current_positions(
-    snapshot: DataFrame, tiebreak: tuple[str, ...] = LOT_ORDER, newest: DataFrame | None = None,
-) -> DataFrame:
+def current_positions(snapshot: DataFrame, tiebreak: tuple[str, ...] = LOT_ORDER) -> DataFrame:
     """The newest lot of each institution, class and asset.
 
-    Newest per key, not on the newest date of all: an asset that was sold keeps its last row. With a written
-    table of ``newest_days`` older lots are dropped during the scan where that pays.
+    Newest per key, not on the newest date of all: an asset that was sold keeps its last row.
     """
-    return latest_per_key(snapshot, HOLDING, tiebreak=tiebreak, newest_periods=newest)
+    return latest_per_key(snapshot, HOLDING, tiebreak=tiebreak)
 
 
 def home_line(totals: DataFrame) -> DataFrame:

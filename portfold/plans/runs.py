@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from portfold.operators import prices as price_ops
 from portfold.plans import reports
-from portfold.plans.snapshot import build_snapshot, position_lines
+from portfold.plans.snapshot import position_lines, price_lines
 from portfold.schemas import REPORTS, SNAPSHOT
 from portfold.sources import store
 from portfold.sources.scratch import materialize, scratch_folder
@@ -16,16 +16,24 @@ from portfold.sources.scratch import materialize, scratch_folder
 def refresh_prices(
     spark: SparkSession, path: str, quotes: DataFrame, positions: DataFrame, as_of: dt.date, lookback_days: int = 7,
 ) -> DataFrame:
-    """Add the newest valid close of every tracked ticker to the price history and return the history."""
+    """Add the newest valid close of every tracked ticker to the price history and return the history.
+
+    The prices are those of ``as_of``, whenever they were fetched, so a past month can be rebuilt.
+    """
     window = price_ops.price_window(quotes, as_of, lookback_days)
     wanted = price_ops.quotes_for(window, price_ops.tracked_tickers(positions))
-    return store.upsert_prices(spark, path, price_ops.latest_closes(wanted))
+    return store.upsert_prices(spark, path, price_ops.latest_closes(wanted, as_of=as_of))
 
 
 def run_snapshot(spark: SparkSession, form: DataFrame, quotes: DataFrame, root: str, as_of: dt.date) -> str:
-    """Refresh the price history, then rebuild ``<root>/snapshot``. Returns its path."""
-    history = refresh_prices(spark, f"{root}/prices", quotes, position_lines(form), as_of)
-    return store.write_full(build_snapshot(form, history), f"{root}/snapshot")
+    """Refresh the price history, then rebuild ``<root>/snapshot``. Returns the path of its new version.
+
+    The form is scanned and parsed once; the parsed lines serve the tickers and the snapshot.
+    """
+    with scratch_folder(spark) as scratch:
+        lines = materialize(position_lines(form), f"{scratch}/lines")
+        history = refresh_prices(spark, f"{root}/prices", quotes, lines, as_of)
+        return store.write_full(price_lines(lines, history), f"{root}/snapshot")
 
 
 def run_reports(
@@ -39,8 +47,7 @@ def run_reports(
     with scratch_folder(spark) as scratch, ThreadPoolExecutor(max_workers=4) as pool:
         totals = materialize(reports.daily_totals(snapshot), f"{scratch}/totals")
         label = store.run_label_of(totals)
-        newest = materialize(reports.newest_days(totals), f"{scratch}/newest")
-        current = reports.current_positions(snapshot, lot_order, newest)
+        current = reports.current_positions(snapshot, lot_order)
         current_job = pool.submit(materialize, current, f"{scratch}/current")
 
         def publish(name: str, df: DataFrame) -> str:

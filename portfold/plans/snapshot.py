@@ -26,7 +26,15 @@ def position_lines(form: DataFrame) -> DataFrame:
     return dated.select(*[name for name in SNAPSHOT.names if name != "market_value"])
 
 
-def build_snapshot(form: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:
-    """Position lines with missing prices filled from the price history, and their market value."""
-    priced = attach_price(position_lines(form), prices, mode=mode)
+def price_lines(lines: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:
+    """Position lines with missing prices filled from the price history, and their market value.
+
+    ``lines`` is read twice: store it first where parsing costs something.
+    """
+    priced = attach_price(lines, prices, mode=mode)
     return statements.value_positions(priced).select(*SNAPSHOT.names)
+
+
+def build_snapshot(form: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:
+    """The snapshot of form answers."""
+    return price_lines(position_lines(form), prices, mode=mode)

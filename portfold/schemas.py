@@ -22,8 +22,8 @@ ASSETS_ABROAD = (
     "GOGL34", "AMZO34", "TSLA34", "META34", "MELI34",
 )
 
-# Money that has been rounded to cents. Sums of it are exact.
-MONEY = T.DecimalType(18, 2)
+# Money that has been rounded to cents. Sums of it are exact; wide enough for any line that is mistyped.
+MONEY = T.DecimalType(38, 2)
 
 
 def _table(*fields: tuple[str, T.DataType]) -> T.StructType:

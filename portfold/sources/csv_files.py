@@ -1,15 +1,29 @@
-"""CSV scans and exports. Columns are taken by position, so any header language will do."""
+"""CSV scans and exports. Columns are found by header, in any order, ours or the Portuguese one."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold.operators.statements import conform
-from portfold.schemas import FORM, SNAPSHOT, with_csv_headers
+from portfold.schemas import CSV_HEADERS, FORM, SNAPSHOT, require_columns, with_csv_headers
 from portfold.sources.spread import spread
 
 
-def _as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+def _named(read: DataFrame, schema: T.StructType, what: str) -> DataFrame:
+    """The columns of ``schema`` under our names; ``ValueError`` if the file lacks one. Further columns are left out."""
+    have = {name.strip().lower(): name for name in read.columns}
+    found = {}
+    for name in schema.names:
+        header = next((h for h in (name, CSV_HEADERS.get(name, name)) if h in have), None)
+        if header:
+            found[name] = F.col(f"`{have[header]}`").cast("string").alias(name)
+    require_columns(read.select(*found.values()) if found else read.select(), schema.names, what)
+    return read.select(*[found[name] for name in schema.names])
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text; quotes inside a quoted value are doubled, and values may hold line ends."""
+    return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
 
 
 def scan_form(spark: SparkSession, path: str) -> DataFrame:
@@ -18,13 +32,12 @@ def scan_form(spark: SparkSession, path: str) -> DataFrame:
     A file with line breaks inside values cannot be split, so it is read by one task: deliver many files rather
     than a big one, and keep the snapshot in parquet. The rows of a few files are spread before they are parsed.
     """
-    return spread(spark.read.schema(FORM).options(header=True, multiLine=True).csv(path))
+    return spread(_named(_scan(spark, path), FORM, "form"))
 
 
-def scan_table(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False) -> DataFrame:
+def scan_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A typed CSV table; a value that does not fit its type becomes null, the row stays."""
-    text = spark.read.schema(_as_text(schema)).options(header=True, multiLine=multi_line).csv(path)
-    return conform(text, schema)
+    return conform(_named(_scan(spark, path), schema, "table"), schema)
 
 
 def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +45,7 @@ def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, *, portuguese: bool = False) -> None:
-    """Write a table as CSV, on request under the Portuguese headers. Text keeps its outer spaces."""
+    """Write a table as CSV, on request under the Portuguese headers. Text keeps its outer spaces and line ends."""
     rows = with_csv_headers(df) if portuguese else df
     rows.write.mode("overwrite").options(
         header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"',

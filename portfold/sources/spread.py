@@ -2,14 +2,15 @@
 
 from pyspark.sql import DataFrame
 
+# Inputs in at least as many files are never dealt out: they have enough splits.
+FEW_FILES = 64
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows out if the input has fewer partitions than the session has task slots.
+    """Have Spark deal the rows of an input in few files out by size (a rebalance, sized at run time).
 
-    For single files that Spark cannot split, such as CSV with line breaks inside values, or parquet with one
-    row group: all narrow work that follows would be one task. An input with enough partitions, which is any
-    large one, is returned as it is and not shuffled. Rows are dealt by the hash of ``keys``, or evenly, which
-    costs a local sort, if none are given.
+    For files that Spark cannot split, such as CSV with line breaks inside values, or parquet with one row group:
+    all narrow work that follows would be one task. ``keys`` should be those of the next join. An input in many
+    files, as any large table is, is returned as it is and not shuffled.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+    return df.hint("rebalance", *keys) if len(df.inputFiles()) < FEW_FILES else df

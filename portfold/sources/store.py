@@ -1,17 +1,20 @@
 """The store: one folder per table, report tables partitioned by the month of their run.
 
-    <root>/snapshot/                      full refresh
+    <root>/snapshot/v<time>/              full refresh, the newest complete version counts
     <root>/prices/price_month=YYYYMM/     merged, only the months a batch touches are rewritten
     <root>/<report>/yyyymm=YYYYMM/        one run; other months stay untouched
 """
 
+import re
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold.functions.dates import yyyymm
 from portfold.operators.prices import merge_prices
-from portfold.schemas import PRICES
+from portfold.schemas import PRICES, REPORTS, SNAPSHOT
 from portfold.sources.scratch import materialize, scratch_folder
 
 MONTH = "yyyymm"
@@ -36,23 +39,51 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under ``path``, by metadata alone."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = _files(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(hadoop_path) if f.isDirectory())
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions of a table, oldest first. A version counts from the moment its success mark is there."""
+    names = [name for name in _folders(spark, path) if name.startswith("v")]
+    return [f"{path}/{name}" for name in names if _exists(spark, f"{path}/{name}/_SUCCESS")]
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    """Where the current version of a fully refreshed table is. ``FileNotFoundError`` if there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no complete version of a table under {path}")
+    return versions[-1]
+
+
 def write_full(df: DataFrame, path: str) -> str:
-    """Full refresh. The new table is complete before it takes the place of the old one.
+    """Full refresh: write a new version of the table under ``path`` and return where it is.
 
-    The swap is two renames, so a job that fails leaves the old table, and ``df`` may read from ``path``.
+    Nothing is renamed. The new version takes over when Spark puts its success mark, the last step of the write, so a
+    job that fails or dies at any point leaves the old version in force, and ``df`` may read from it. The version before stays
+    for readers that still have it open; older ones, and what failed writes left behind, are deleted.
     """
     spark = df.sparkSession
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(hadoop(old), True)
-    if files.exists(hadoop(path)):
-        files.rename(hadoop(path), hadoop(old))
-    if not files.rename(hadoop(new), hadoop(path)):
-        raise OSError(f"could not move {new} to {path}")
-    files.delete(hadoop(old), True)
-    return path
+    before = _versions(spark, path)
+    new = f"{path}/v{time.time_ns():020d}"
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(new)
+    if not _exists(spark, f"{new}/_SUCCESS"):
+        raise OSError(f"{new} was written without a success mark")
+    for name in _folders(spark, path):
+        old = f"{path}/{name}"
+        if old != new and old not in before[-1:] and not _files(spark, old).delete(spark._jvm.org.apache.hadoop.fs.Path(old), True):
+            raise OSError(f"could not delete {old}")
+    return new
 
 
 def write_month(df: DataFrame, root: str, table: str | None, label: str) -> str:
@@ -83,9 +114,28 @@ def read_month(spark: SparkSession, root: str, table: str, schema: T.StructType,
 
 
 def list_months(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The six-digit months of a report table, newest first. No column data is read."""
-    months = read_table(spark, root, table, T.StructType([])).select(MONTH).distinct()
-    return months.where(F.col(MONTH).rlike("^[0-9]{6}$")).orderBy(F.desc(MONTH))
+    """The six-digit months of a report table, newest first. Folders are listed, no file is opened."""
+    found = [name.removeprefix(f"{MONTH}=") for name in _folders(spark, f"{root}/{table}") if name.startswith(f"{MONTH}=")]
+    months = sorted((m for m in found if re.fullmatch("[0-9]{6}", m)), reverse=True)
+    return spark.createDataFrame([(m,) for m in months], f"{MONTH} string")
+
+
+def register_views(spark: SparkSession, root: str, month: str | None = None) -> list[str]:
+    """Make the report tables, and the snapshot and the price history if they are stored, temporary views for SQL.
+
+    Report tables show ``month`` only, or all months with a month column. Returns the names of the views.
+    """
+    views = {
+        name: read_month(spark, root, name, schema, month) if month else read_table(spark, root, name, schema)
+        for name, schema in REPORTS.items()
+    }
+    if _versions(spark, f"{root}/snapshot"):
+        views["snapshot"] = spark.read.schema(SNAPSHOT).parquet(full_path(spark, f"{root}/snapshot"))
+    if _exists(spark, f"{root}/prices"):
+        views["prices"] = read_prices(spark, f"{root}/prices")
+    for name, table in views.items():
+        table.createOrReplaceTempView(name)
+    return list(views)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +154,6 @@ def upsert_prices(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame
     Only the price months found in the batch are read and rewritten. The merged months are first written to
     the shared scratch folder: the step that replaces them does not read what it replaces, and can be run
     again after a failure. Merging the same batch twice changes nothing.
-
-    The broadcast side is the list of months in the batch, so its size is bound by the calendar.
     """
     with scratch_folder(spark) as scratch:
         batch = materialize(batch.select(*PRICES.names), f"{scratch}/batch")
@@ -114,7 +162,7 @@ def upsert_prices(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame
         if first is None:
             return read_prices(spark, path)
         stored = _read_price_months(spark, path).where(F.col(PRICE_MONTH).between(first, last))
-        touched = stored.join(F.broadcast(months), PRICE_MONTH, "left_semi")
+        touched = stored.join(months, PRICE_MONTH, "left_semi")
         merged = merge_prices(touched.select(*PRICES.names), batch)
         staged = materialize(merged.withColumn(PRICE_MONTH, yyyymm(F.col("price_date"))), f"{scratch}/merged")
         (

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from portfold import schemas
 from portfold.functions import dates, numbers, text
 
 
@@ -71,9 +72,19 @@ def test_display_labels(spark):
 
 
 def test_products_are_exact_and_have_a_way_out_for_large_factors(spark):
-    frame = spark.createDataFrame([(0.1, 3.0), (1.005, 1.0), (1e11, 2.5), (None, 1.0)], "a double, b double")
-    got = [row[0] for row in frame.select(numbers.product(F.col("a"), F.col("b")).cast("double")).collect()]
-    assert got == [0.3, 1.005, 2.5e11, None]
+    rows = [
+        (0.1, 3.0, 0.3), (1.005, 1.0, 1.01), (1e11, 2.5, 2.5e11), (None, 1.0, None), (0.000008912, 5e7, 445.6), (4.9e-9, 1e9, 4.9),
+        (1e9, 4.9e-9, 4.9), (0.123456789012, 1e12, 123456789012.0), (1 - 0.07, 69174.5, 64332.29), (1e-15, 1e17, 100.0), (1e30, 1e12, None),
+        (float("nan"), 1.0, None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "a double, b double")
+    product = numbers.product(F.col("a"), F.col("b"), 2, schemas.MONEY).cast("double")
+    assert [row[0] for row in frame.select(product).collect()] == [r[2] for r in rows]
+
+
+def test_numbers_may_stand_between_blanks(spark):
+    given = ["\t24000.00", " 5 \n", "\r\x0b\x0c-1e3\x00", "\t", "1 2", None]
+    assert column(spark, given, numbers.to_number) == [24000.0, 5.0, -1000.0, None, None, None]
 
 
 def test_ratio_rounds_half_up_and_needs_a_denominator(spark):

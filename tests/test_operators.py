@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold import schemas
-from portfold.operators import prices, sizes, statements, totals, views, windows
+from portfold.operators import prices, statements, totals, views, windows
 
 D1, D2, D3 = dt.date(2026, 1, 31), dt.date(2026, 2, 28), dt.date(2026, 4, 30)
 
@@ -166,29 +166,31 @@ def test_latest_takes_one_row_even_when_tied_or_undated(spark):
     assert values(windows.latest_per_key_sql(frame, ["k"], "as_of_date", ("n",)), "k", "as_of_date", "n") == expected
 
 
-def test_known_newest_periods_never_change_the_result(spark):
+def test_latest_with_nulls_in_every_column(spark):
     rows = [
         ("a", "x", D1, 1), ("a", "x", D2, 1), ("a", "x", D2, 2), ("a", None, None, 9), ("b", "x", None, 1),
-        ("b", "x", D1, 5), (None, "x", D1, 4), (None, "x", D3, 6), (None, None, None, 7),
+        ("b", "x", D1, 5), (None, "x", D1, 4), (None, "x", D3, 6), (None, None, None, 7), (None, None, None, None),
     ]
     frame = spark.createDataFrame(rows, "k string, j string, as_of_date date, n int")
-    newest = frame.groupBy("k", "j").agg(F.max("as_of_date").alias("as_of_date"))
-    plain = windows.latest_per_key(frame, ["k", "j"], tiebreak=("n",))
-    ahead = windows.latest_per_key(frame, ["k", "j"], tiebreak=("n",), newest_periods=newest)
-    assert values(ahead, "k", "j", "as_of_date", "n") == values(plain, "k", "j", "as_of_date", "n")
-    assert values(plain, "k", "j", "n") == sorted(
+    latest = windows.latest_per_key(frame, ["k", "j"], tiebreak=("n",))
+    assert values(latest, "k", "j", "n") == sorted(
         [("a", "x", 2), ("a", None, 9), ("b", "x", 5), (None, "x", 6), (None, None, 7)], key=repr,
     )
-    text = ahead._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in text and "NestedLoop" not in text
+    assert "NestedLoop" not in latest._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_bounds_count_rows_and_bytes(spark):
-    frame = spark.range(10).select(F.lit("x" * 100).alias("s"), F.lit(None).cast("string").alias("t"))
-    assert sizes.fits_broadcast(frame, 10)
-    assert not sizes.fits_broadcast(frame, 9)
-    assert not sizes.fits_broadcast(frame, 10, 1_000)
-    assert sizes.fits_broadcast(frame.limit(0), 0)
+def test_last_point_is_one_row_even_when_tied(spark):
+    frame = spark.createDataFrame([("s", D1, 1.0), ("s", D2, 2.0), ("s", D2, 3.0), ("t", D1, 4.0)], "s string, d date, v double")
+    labelled = windows.last_points(frame, "s", "d", F.col("v").cast("string"), tiebreak=("v",))
+    assert values(labelled, "s", "v", "label") == [("s", 1.0, ""), ("s", 2.0, ""), ("s", 3.0, "3.0"), ("t", 4.0, "4.0")]
+
+
+def test_cost_of_many_digits_and_of_too_many(spark):
+    rows = [("a", 0.000008912, 5e7, 1.0), ("a", 4.9e-9, 1e9, 1.0), ("b", 1e20, 1e15, 1.0), ("c", 1 / 3, 3.0, 1.0), ("d", None, 2.0, None)]
+    frame = spark.createDataFrame(rows, "k string, avg_price double, quantity double, market_value double")
+    basis = totals.cost_basis(frame, ["k"])
+    got = {r["k"]: (float(r["entry_cost"]) if r["entry_cost"] is not None else None, r["avg_price"]) for r in basis.collect()}
+    assert got == {"a": (450.5, 0.0), "b": (1e35, 1e20), "c": (1.0, 0.33), "d": (None, None)}
 
 
 def test_shares_add_labels_up_first(spark):
@@ -272,12 +274,11 @@ def priced(spark):
     return positions, history
 
 
-@pytest.mark.parametrize("limit", [1_000, 0])
-def test_attach_price_fills_only_what_is_missing(priced, limit):
+def test_attach_price_fills_only_what_is_missing(priced):
     positions, history = priced
-    filled = prices.attach_price(positions, history, broadcast_rows=limit, spread=3)
+    filled = prices.attach_price(positions, history)
     assert values(filled, "id", "current_price") == [(1, 1.0), (2, 7.0), (3, None), (4, None), (5, None)]
-    every = prices.attach_price(positions, history, mode="all", broadcast_rows=limit, spread=3)
+    every = prices.attach_price(positions, history, mode="all")
     assert values(every, "id", "current_price") == sorted(
         [(1, 1.0), (1, 2.0), (2, 7.0), (2, 7.0), (3, None), (4, None), (5, None)], key=repr,
     )

@@ -15,7 +15,7 @@ from portfold.plans.snapshot import position_lines
 from tests.conftest import SMALL
 
 EAGER = {  # these write files when called, so their plan says little about the query
-    "scan_bronze_csv", "scan_snapshot", "list_months", "read_month", "sink_full_refresh", "sink_month_overwrite",
+    "scan_bronze_csv", "scan_snapshot", "scan_snapshot_quoted", "sql_stored_tables", "list_months", "read_month", "sink_full_refresh", "sink_month_overwrite",
     "price_history_store", "price_refresh", "mart_snapshot", "page_home", "page_institution",
 }
 
@@ -39,18 +39,18 @@ def test_no_python_no_cross_join_no_single_task(spark, name):
         assert "Aggregate" in single
 
 
-def test_latest_rows_are_cut_before_the_shuffle(spark):
+def test_latest_rows_are_found_without_sorting_the_input(spark):
+    """The newest date comes from a hash aggregate; only what is left after the join back is sorted and ranked."""
     text = plan(reports.current_positions(inputs.positions(spark, SMALL), inputs.LOT_ORDER))
-    partial = text.index("Partial")
-    assert "WindowGroupLimit" in text
-    assert text.index("Final") < text.index("Exchange hashpartitioning(institution") < partial
+    assert "partial_max(as_of_date" in text and "SortAggregate" not in text
+    assert text.index("WindowGroupLimit") < text.index("LeftSemi") < text.index("partial_max(as_of_date")
 
 
 def test_totals_read_once_and_combine_first(spark):
     lots = inputs.positions(spark, SMALL)
     text = plan(totals.scoped_totals(lots, ["as_of_date"], "institution"))
     assert text.count("lineitem.parquet") == 1
-    assert "partial_sum(market_value" in text
+    assert "partial_try_sum(market_value" in text
     columns = re.findall(r"lineitem.parquet.*?ReadSchema: struct<([^>]*)>", text)[0]
     assert "l_extendedprice" not in columns and "l_quantity" in columns
 
@@ -60,6 +60,56 @@ def test_parsing_needs_no_shuffle(spark):
     assert "Exchange" not in plan(position_lines(form))
 
 
+def test_no_job_runs_while_a_join_is_planned(spark):
+    tracker = spark.sparkContext.statusTracker()
+    holdings, quotes = inputs.holdings(spark, SMALL), inputs.view_prices(spark, SMALL)
+    before = set(tracker.getJobIdsForGroup(None))
+    prices.attach_price(holdings, quotes)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_a_run_scans_the_form_once(spark, tmp_path):
+    """Every scan of the form runs this counter once per row."""
+    from portfold.plans import runs
+
+    seen = spark.sparkContext.accumulator(0)
+    path = str(tmp_path / "form")
+    inputs.form(spark, SMALL).limit(300).write.parquet(path)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    stored = spark.read.parquet(path)
+    quotes = inputs.stock_quotes(spark, SMALL).drop("as_of_date").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    runs.run_snapshot(spark, stored.mapInArrow(counted, stored.schema), quotes, str(tmp_path / "store"), dt.date(1998, 3, 1))
+    assert seen.value == 300
+
+
+WRITTEN = ["scan_bronze_csv", "list_months", "read_month", "mart_snapshot", "page_home"]
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_plans_of_written_tables(spark, name, monkeypatch):
+    """The plans of what eager queries write: no Python, no cross join, and no stage in a single task but to end a sum."""
+    from pyspark.sql import DataFrameWriter
+
+    plans = []
+    for kind in ("parquet", "csv"):
+        original = getattr(DataFrameWriter, kind)
+
+        def noted(self, *args, original=original, **options):
+            plans.append(plan(self._df))
+            return original(self, *args, **options)
+        monkeypatch.setattr(DataFrameWriter, kind, noted)
+    QUERIES[name](spark, SMALL)
+    assert plans
+    for text in plans:
+        assert "Python" not in text and "CartesianProduct" not in text and "Coalesce 1" not in text
+        for single in re.findall(r".*\n.*Exchange SinglePartition.*\n.*", text):
+            assert "Aggregate" in single
+
+
 def test_small_prices_are_broadcast_and_positions_stay_where_they_are(spark):
     text = plan(prices.attach_price(inputs.holdings(spark, SMALL), inputs.view_prices(spark, SMALL)))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
@@ -72,30 +122,36 @@ def hot_positions(spark):
     i = F.col("id")
     asset = F.when(i % 3 < 2, "HOT").when(i % 9 == 2, None).otherwise(F.concat(F.lit("A"), (i % 50).cast("string")))
     return spark.range(0, 60_000, 1, 48).select(
-        asset.alias("asset"), day.alias("as_of_date"), F.lit(None).cast("double").alias("current_price"),
+        asset.alias("asset"), day.alias("as_of_date"), F.lit(None).cast("double").alias("current_price"), F.xxhash64("id").alias("lot"),
     )
 
 
-def test_large_prices_spread_a_hot_key(spark, hot_positions):
+def test_a_hot_key_is_split_by_adaptive_execution(spark, hot_positions):
     day = dt.date(2026, 3, 14)
     moment = dt.datetime(2026, 3, 14, 9)
     rows = [(day, name, 5.0, moment, day) for name in ["HOT", *[f"A{i}" for i in range(50)]]]
     history = spark.createDataFrame(rows, schemas.PRICES)
-    settings(spark, adaptive__coalescePartitions__enabled=False, autoBroadcastJoinThreshold=-1, shuffle__partitions=16)
+    settings(
+        spark, adaptive__coalescePartitions__enabled=False, autoBroadcastJoinThreshold=-1, shuffle__partitions=16,
+        adaptive__advisoryPartitionSizeInBytes="16k", adaptive__skewJoin__skewedPartitionThresholdInBytes="16k",
+    )
     try:
-        filled = prices.attach_price(hot_positions, history, broadcast_rows=10, spread=16)
+        filled = prices.attach_price(hot_positions, history)
         assert "SortMergeJoin" in plan(filled)
         tasks = filled.groupBy(F.spark_partition_id().alias("task")).count().collect()
         asked = hot_positions.where("asset is not null").count()
         assert filled.where("current_price = 5.0").count() == asked and filled.count() == 60_000
-        # Without spreading one task would hold 40,000 of the 60,000 rows.
+        # In one task the hot key would be 40,000 rows, and those without an asset another 6,700.
         assert max(row["count"] for row in tasks) < 20_000
     finally:
-        settings(spark, adaptive__coalescePartitions__enabled=True, autoBroadcastJoinThreshold="10MB", shuffle__partitions=8)
+        settings(
+            spark, adaptive__coalescePartitions__enabled=True, autoBroadcastJoinThreshold="10MB", shuffle__partitions=8,
+            adaptive__advisoryPartitionSizeInBytes="64MB", adaptive__skewJoin__skewedPartitionThresholdInBytes="256MB",
+        )
 
 
 def test_a_hot_key_sends_one_row_per_task_to_the_window(spark):
-    """99 % of the rows share a key and a date; the shuffle before the window sees next to none of them."""
+    """99 % of the rows share a key and a date; the shuffle before the window sees one of them per task."""
     i = F.col("id")
     rows = spark.range(0, 100_000, 1, 8).select(
         F.when(i % 100 < 99, 0).otherwise(i).alias("k"), F.lit(dt.date(2026, 1, 1)).alias("as_of_date"), i.alias("n"),
@@ -118,4 +174,4 @@ def test_a_hot_institution_is_combined_before_the_shuffle(spark):
     got = {row["institution"]: int(row["market_value"]) for row in scoped.collect()}
     assert got["ALL"] == 100_000 and got["HOT"] == 66_666
     text = scoped._jdf.queryExecution().executedPlan().toString()
-    assert text.rindex("partial_sum") > text.rindex("Exchange hashpartitioning")
+    assert text.rindex("partial_try_sum") > text.rindex("Exchange hashpartitioning")

@@ -60,12 +60,20 @@ def test_run_label(spark):
         store.write_month(both, "/nowhere", None, "202604")
 
 
+def current(spark, path):
+    return spark.read.parquet(store.full_path(spark, path))
+
+
 def test_full_refresh_may_read_what_it_replaces(spark, tmp_path):
     path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        store.full_path(spark, path)
     store.write_full(spark.range(10), path)
-    store.write_full(spark.read.parquet(path).where("id > 6"), path)
-    assert sorted(row.id for row in spark.read.parquet(path).collect()) == [7, 8, 9]
-    assert os.listdir(tmp_path) == ["table"]
+    assert store.write_full(current(spark, path).where("id > 6"), path) == store.full_path(spark, path)
+    assert sorted(row.id for row in current(spark, path).collect()) == [7, 8, 9]
+    store.write_full(current(spark, path).where("id > 8"), path)
+    assert len(os.listdir(path)) == 2  # the version before stays for those who still read it
+    assert [row.id for row in current(spark, path).collect()] == [9]
 
 
 def test_full_refresh_that_fails_keeps_the_old_table(spark, tmp_path):
@@ -74,7 +82,44 @@ def test_full_refresh_that_fails_keeps_the_old_table(spark, tmp_path):
     broken = spark.range(3).select(F.raise_error(F.lit("boom")).alias("id"))
     with pytest.raises(Exception, match="boom"):
         store.write_full(broken, path)
-    assert spark.read.parquet(path).count() == 3
+    assert current(spark, path).count() == 3
+
+
+def test_a_crash_at_any_step_leaves_a_readable_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store.write_full(spark.range(3), path)
+    spark.range(9).write.parquet(f"{path}/v99999999999999999999")
+    os.remove(f"{path}/v99999999999999999999/_SUCCESS")  # died before the end of the write
+    assert current(spark, path).count() == 3
+    store.write_full(spark.range(4), path)
+    assert current(spark, path).count() == 4
+    assert len(os.listdir(path)) == 2
+
+
+def test_a_write_without_success_mark_is_an_error(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    store.write_full(spark.range(3), path)
+    there = store._exists
+    monkeypatch.setattr(store, "_exists", lambda s, p: there(s, p) and path + "/v" in p and len(os.listdir(path)) < 2)
+    with pytest.raises(OSError, match="success"):
+        store.write_full(spark.range(4), path)
+
+
+def test_listing_months_opens_no_file(spark, tmp_path):
+    store.write_month(line_rows(spark, MARCH, 1.0), str(tmp_path), "home_line", "202603")
+    plan = store.list_months(spark, str(tmp_path), "home_line")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange" not in plan
+
+
+def test_views_by_table_name(spark, tmp_path):
+    root = str(tmp_path)
+    store.write_month(line_rows(spark, MARCH, 1.0), root, "home_line", "202603")
+    store.write_month(line_rows(spark, APRIL, 2.0), root, "home_line", "202604")
+    store.write_full(spark.createDataFrame([], schemas.SNAPSHOT), f"{root}/snapshot")
+    assert set(store.register_views(spark, root, "202604")) == {*schemas.REPORTS, "snapshot"}
+    assert [r[0] for r in spark.sql("select market_value from home_line").collect()] == [2.0]
+    store.register_views(spark, root)
+    assert spark.sql("select count(distinct yyyymm) from home_line").first()[0] == 2
 
 
 def prices_of(spark, rows):
@@ -113,24 +158,36 @@ def test_csv_export_under_portuguese_headers(spark, tmp_path):
     assert back.collect() == line_rows(spark, MARCH, 47259.95).collect()
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
-    class Cluster:
-        conf = {}
+def test_columns_are_found_by_header(spark, tmp_path):
+    path = tmp_path / "form.csv"
+    path.write_text('instituicao_fin,note,timestamp,resumo,aporte,data_apuracao\nXP,n,t,"a ""b"", c\nd",0,14/03/2026\n')
+    row = csv_files.scan_form(spark, str(path)).first()
+    assert (row["institution"], row["as_of_date"], row["statement"]) == ("XP", "14/03/2026", 'a "b", c\nd')
+    path.write_text("instituicao_fin,timestamp,resumo,aporte\nXP,t,a,0\n")
+    with pytest.raises(ValueError, match="as_of_date"):
+        csv_files.scan_form(spark, str(path))
 
-        class sparkContext:  # noqa: N801
-            master = "yarn"
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_path(Cluster, "x")
+def test_scratch_is_in_a_shared_folder(spark):
     first, second = scratch.scratch_path(spark, "x"), scratch.scratch_path(spark, "x")
     assert first != second
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        assert first.startswith(shared)
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Unset:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "s3a://bucket/warehouse"}.get(name, default)
+
+    assert scratch.scratch_path(Unset, "x").startswith("s3a://bucket/warehouse/scratch/portfold-")
+
 
+def test_spread_deals_few_files_out_and_leaves_many_alone(spark, tmp_path):
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    spark.range(0, 100, 1, 2).write.parquet(few)
+    spark.range(0, 1000, 1, spread.FEW_FILES).write.parquet(many)
 
-def test_spread_leaves_large_inputs_alone(spark):
-    few, many = spark.range(0, 100, 1, 2), spark.range(0, 100, 1, 64)
-    assert spread.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread.spread(many).rdd.getNumPartitions() == 64
-    assert spread.spread(few, "id").count() == 100
+    def shuffled(df):
+        return "REBALANCE" in df._jdf.queryExecution().executedPlan().toString()
+    assert shuffled(spread.spread(spark.read.parquet(few))) and not shuffled(spread.spread(spark.read.parquet(many)))
+    assert spread.spread(spark.read.parquet(few), "id").count() == 100
