@@ -1,0 +1,110 @@
+"""SimHash fingerprints, BK-trees and components (10)."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from portfold.llm import simhash
+from portfold.llm.components import components
+
+
+def fingerprint_by_hand(text):
+    ws = (text or "").encode().lower().split()
+    grams = [b" ".join(ws[i:i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [b" ".join(ws)] if ws else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes_by_hand(points):
+    """Smallest position reachable over pairs of two or fewer differing bits."""
+    label = list(range(len(points)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for i in range(len(points)):
+        for j in range(i):
+            if bin(points[i] ^ points[j]).count("1") <= 2:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(points))]
+
+
+def test_query_by_brute_force(small_docs, odd_docs):
+    for frame in (small_docs, odd_docs):
+        rows = frame.select("doc_id", "text").collect()
+        points = [fingerprint_by_hand(r["text"]) if len(r["text"] or "") < 10**5 else simhash.fingerprint(r["text"].encode()) for r in rows]
+        roots = classes_by_hand(points)
+        least = {}
+        for root, r in zip(roots, rows, strict=True):
+            if r["doc_id"] is not None:
+                least[root] = min(least.get(root, r["doc_id"]), r["doc_id"])
+        expected = Counter((r["doc_id"], f"{p:016x}", least.get(root)) for r, p, root in zip(rows, points, roots, strict=True))
+        got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(frame).collect())
+        assert got == expected
+
+
+def test_long_text_in_parts():
+    text = " ".join(f"w{i % 501} {i % 7}" for i in range(40_000))
+    assert simhash.fingerprint(text.encode()) == fingerprint_by_hand(text)
+
+
+def cluster(seed, size, flips):
+    rng = random.Random(seed)
+    points, base = set(), rng.getrandbits(64)
+    while len(points) < size:
+        p = base
+        for _ in range(rng.randrange(flips + 1)):
+            p ^= 1 << rng.randrange(64)
+        points.add(p)
+        if rng.random() < 0.02:
+            base = rng.getrandbits(64)
+    return sorted(points)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 400), st.integers(1, 9))
+def test_tree_finds_the_components(seed, size, flips):
+    points = cluster(seed, size, flips)
+    first = simhash.linked(np.array(points, dtype=np.uint64))
+    by_hand = classes_by_hand(points)
+    assert {frozenset(np.flatnonzero(first == f)) for f in set(first)} == {
+        frozenset(i for i, r in enumerate(by_hand) if r == root) for root in set(by_hand)}
+
+
+def test_tree_follows_few_edges():
+    points = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
+    tree = simhash.BKTree(points)
+    reached = sum(len(own) * len(asked) for own, asked, _ in tree.matches(np.arange(50), 2))
+    assert reached < 0.2 * 50 * len(points)
+
+
+def test_shards_lose_no_link_even_when_split(spark):
+    points = cluster(5, 1500, 6)
+    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in points], "fp long")
+    by_hand = classes_by_hand(points)
+    for bound in (4096, 10):
+        found = {r["node"]: r["root"] for r in components(simhash.links(frame, bound)).collect()}
+        labels = [found.get(int(np.uint64(p).astype(np.int64)), int(np.uint64(p).astype(np.int64))) for p in points]
+        assert len(set(zip(labels, by_hand, strict=True))) == len(set(labels)) == len(set(by_hand))
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(300)] + [(7, 7)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {found[i] for i in range(61)} == {0} and {found[2000 + i] for i in range(300)} == {1000}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_of_each_class_stays(odd_docs, small_docs, no_docs):
+    for frame in (odd_docs, small_docs):
+        left = simhash.drop_near_duplicates(frame)
+        assert left.columns == frame.columns
+        classes = {r["component_id"] for r in simhash.near_duplicates(frame).collect()}
+        assert Counter(r["doc_id"] for r in left.collect()) == Counter(classes)
+    assert simhash.drop_near_duplicates(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0

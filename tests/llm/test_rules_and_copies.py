@@ -1,0 +1,134 @@
+"""Quality rules (2) and exact deduplication (4)."""
+
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from portfold.llm import exact_dedup, oracles, quality_rules, queries
+from tests.compare import rows_of
+from tests.conftest import SMALL
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def words_of(text):
+    out, held = [], ""
+    for c in text or "":
+        if c in WHITE:
+            out, held = (out + [held] if held else out), ""
+        else:
+            held += c
+    return out + [held] if held else out
+
+
+def counts_of(text):
+    ws = words_of(text)
+    grams = Counter(zip(ws, ws[1:], ws[2:], strict=False))
+    covered = {p + k for p in range(len(ws) - 2) for k in range(3) if grams[tuple(ws[p:p + 3])] > 1}
+    lines = [line for line in (text or "").split("\n") if words_of(line)]
+    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_query_agrees_with_sql(spark, con, name):
+    frame = queries.QUERIES[name](spark, SMALL)
+    cursor = con.execute(oracles.ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(frame.columns)
+    assert rows_of(frame.columns, frame.collect()) == rows_of(names, cursor.fetchall())
+
+
+def test_counts_of_odd_texts(odd_docs):
+    got = Counter((r["doc_id"], *[r[c] for c in quality_rules.COUNTS]) for r in quality_rules.apply_rules(odd_docs).collect())
+    expected = Counter((r["doc_id"], *counts_of(r["text"])) for r in odd_docs.collect())
+    assert got == expected
+
+
+def test_base_rules_and_verdict(odd_docs):
+    for r in quality_rules.apply_rules(odd_docs).collect():
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_rules_reject_outliers_of_their_group_only(spark):
+    plain = " ".join(f"word{i}" for i in range(80))
+    loud = " ".join(f"word{i}###" for i in range(80))
+    rows = [(i, f"{plain} tail{i}", "en", "quiet") for i in range(300)] + [(1000 + i, f"{loud} tail{i}", "en", "loud") for i in range(300)]
+    rows += [(5000, loud, "en", "quiet"), (5001, loud, "xx", "tiny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(frame).collect()}
+    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
+    assert not kept[5000]
+    assert kept[5001]  # too small a group: the whole table's fences, where half the rows are loud
+
+
+def test_sketches_merge(spark, small_docs):
+    """The sketch of a language is the sum of the sketches of its sources."""
+    rows = quality_rules.measured(small_docs.select("doc_id", "lang", "source", "text"))
+    by = defaultdict(Counter)
+    for r in quality_rules.sketches(rows).collect():
+        by[r["level"]][(r["lang_key"] if r["level"] < 2 else "", r["measure"], r["bucket"])] += r["n"]
+    assert by[0] == by[1]
+    whole = Counter()
+    for (_, measure, bucket), n in by[0].items():
+        whole[("", measure, bucket)] += n
+    assert whole == by[2]
+
+
+def test_buckets(spark):
+    values = [0, 1, 127, 128, 129, 255, 256, 1000, 10**6 + 1, 2**40 + 5]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bucket(F.col("v"))).collect()]
+    for v, b in zip(values, got, strict=True):
+        assert b <= v and v - b <= v / 64 and (v >= 128 or b == v)
+
+
+def test_keep_good_returns_the_kept_rows(small_docs, odd_docs, no_docs):
+    for frame in (small_docs, odd_docs):
+        kept = Counter(r["doc_id"] for r in quality_rules.apply_rules(frame).where("kept").collect())
+        got = quality_rules.keep_good(frame)
+        assert got.columns == frame.columns
+        assert Counter(r["doc_id"] for r in got.collect()) == kept
+    assert quality_rules.keep_good(no_docs).count() == 0 and quality_rules.apply_rules(no_docs).count() == 0
+
+
+def copies_by_hand(rows, keep):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["text"] or ""].append(r["doc_id"])
+    # A null id is smaller than any other.
+    order = lambda i: (i is not None, i or 0)
+    stays = {t: (max if keep == "largest" else min)(ids, key=order) for t, ids in groups.items()}
+    out = Counter()
+    for text, ids in groups.items():
+        for i, n in Counter(ids).items():
+            for k in range(n):
+                out[(i, stays[text], len(ids), i == stays[text] and k == 0)] += 1
+    return out
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_copies_by_hand(odd_docs, small_docs, keep, weak):
+    """Also with a hash that collides all the time: the bytes decide."""
+    options = {"content_hash": lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 3), 4, "0"))} if weak else {}
+    for frame in (odd_docs, small_docs):
+        rows = frame.select("doc_id", "text").collect()
+        got = exact_dedup.mark_copies(frame, keep=keep, **options)
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()) == copies_by_hand(rows, keep)
+        left = exact_dedup.drop_copies(frame, keep=keep, **options)
+        assert left.columns == frame.columns
+        assert Counter(r["text"] or "" for r in left.collect()) == Counter({r["text"] or "" for r in rows})
+        assert Counter(r["doc_id"] for r in left.collect()) == Counter(k[0] for k in copies_by_hand(rows, keep).elements() if k[3])
+
+
+def test_no_copies_of_nothing(no_docs):
+    assert exact_dedup.mark_copies(no_docs).count() == 0 and exact_dedup.drop_copies(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.mark_copies(no_docs, keep="first")
+
+
+def test_native_operators_run_no_python(spark):
+    for name in ("op2_quality_rules", "op4_exact_dedup"):
+        plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian"))
