@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portfold.functions import text
@@ -66,6 +66,11 @@ def newest_prices(prices: DataFrame) -> DataFrame:
     return latest_per_key(prices, ["ticker", "as_of_date"], "price_date", tiebreak=("fetched_at", "close"))
 
 
+def _price_key(name: str) -> Column:
+    """Day and name as one text; null if either is."""
+    return F.concat(F.col("as_of_date").cast("string"), F.lit("|"), F.col(name))
+
+
 def attach_price(positions: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:
     """Fill a missing ``current_price`` with the close for the position's asset and as-of date.
 
@@ -79,13 +84,12 @@ def attach_price(positions: DataFrame, prices: DataFrame, *, mode: str = "latest
     if mode not in ("latest", "all"):
         raise ValueError(f"mode is 'latest' or 'all', not {mode!r}")
     closes = newest_prices(prices) if mode == "latest" else prices
-    closes = closes.select(
-        F.col("ticker").alias("_ticker"), F.col("as_of_date").alias("_priced_on"), F.col("close").alias("_close"),
-    )
+    # One text as the join key: the partitioning that the choice of newest prices left behind is then not reused, and Spark
+    # shuffles both sides for the join, which is what lets it split a hot key.
+    closes = closes.select(_price_key("ticker").alias("_priced"), F.col("close").alias("_close"))
     asks = F.col("asset").isNotNull() & F.col("as_of_date").isNotNull()
     if mode == "latest":
         asks = asks & F.col("current_price").isNull()
-    matches = (F.col("asset") == F.col("_ticker")) & (F.col("as_of_date") == F.col("_priced_on"))
-    joined = positions.where(asks).join(closes, matches, "left")
+    joined = positions.where(asks).join(closes, _price_key("asset") == F.col("_priced"), "left")
     filled = F.coalesce(F.col("current_price"), F.col("_close"))
     return joined.withColumn("current_price", filled).select(*positions.columns).unionByName(positions.where(~asks))
