@@ -15,7 +15,7 @@ Only table rows of one boundary block, and one row per block, ever meet in a win
 decision; a hot source is one side of a plain join whose other side has one row per source.
 
 Defined results: tokens are words; null sources are a source of their own; documents without words weigh nothing and
-come along with their block; equal rows have equal keys, and are taken or left together; an empty table gives an
+come along with their block; a source without words has no weight and goes; equal rows have equal keys, and are taken or left together; an empty table gives an
 empty result; input columns named like a result column are replaced.
 """
 
@@ -168,13 +168,14 @@ def mix(
     """The rows of ``df``, each once per epoch that takes it, with ``epoch`` (int, from 0), ``block_key`` and ``order_key``."""
     sources = plan(df, doc_id, source, text, budget=budget, entropy_share=entropy_share, max_repeat=max_repeat, seed=seed)
     columns = [f"`{c}`" for c in without(df, RESULT).columns]
-    decided = sources.select("_source", "_blocks", "epochs", "cut_key", "cut_block", "cut_order")
+    decided = sources.select("_source", "_blocks", "epochs", "rest", "cut_key", "cut_block", "cut_order")
     rows = _keyed(df, doc_id, source, text, seed).select(*columns, "_source", "_key").join(decided, "_source")
     rows = rows.withColumn("block", _block(seed)).withColumn("_last", _block_key(seed, F.col("epochs")))
     cut, at = F.col("cut_key"), F.col("_last")
     earlier = cut.isNull() | (at < cut) | ((at == cut) & (F.col("block") < F.col("cut_block")))
     partly = (F.col("block") == F.col("cut_block")) & (_order_key(seed, F.col("epochs")) <= F.col("cut_order"))
-    times = F.col("epochs") + F.when(cut.isNotNull() & (earlier | F.coalesce(partly, F.lit(False))), 1).otherwise(0)
+    begun = (F.col("rest") > 0) & cut.isNotNull()
+    times = F.col("epochs") + F.when(begun & (earlier | F.coalesce(partly, F.lit(False))), 1).otherwise(0)
     taken = rows.withColumn("_times", times).where("_times > 0").withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
     return taken.select(
