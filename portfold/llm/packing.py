@@ -20,6 +20,7 @@ result.
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,22 @@ END = 1
 WINDOW_TOKENS = 1 << 21
 LINEAR = 1.0
 QUADRATIC = 1.0 / 8192
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 2_000_000
 _KNOWN_LENGTH = 64
 _SLICE_CHARS = 1 << 20
-_BARE_SPACE = re.compile(r" \s|\s ")
+# White space other than the plain space and the line end, ASCII and all.
+_OTHER_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _plainly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line ends, no space next to another of them."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _OTHER_ASCII_SPACE) if text.isascii() else not _OTHER_SPACE.search(text)
+
+
 def cost(tokens: np.ndarray) -> np.ndarray:
     return LINEAR * tokens + QUADRATIC * tokens * tokens
 
@@ -58,12 +68,7 @@ class Encoder:
 
     def _encoded(self, units: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _units(self, text: str) -> list[str]:
-        """Words with the space before them: pieces that are encoded alike alone and in the text."""
-        parts = _PLAIN_SPACE.split(text) if _BARE_SPACE.search(text) else text.split(" ")
-        return [parts[0], *[" " + part for part in parts[1:]]]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, text: str) -> bytes:
         if len(text) <= _SLICE_CHARS:
@@ -78,19 +83,21 @@ class Encoder:
         return b"".join([*ids, self._slice(text[start:])])
 
     def _slice(self, text: str) -> bytes:
-        units = self._units(text)
-        try:
-            return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            pass
-        missing = list(dict.fromkeys([u for u in units if u not in self.known]))
-        found = dict(zip(missing, self._encoded(missing), strict=True))
-        for unit, ids in found.items():
-            if self.room > 0 and len(unit) <= _KNOWN_LENGTH:
-                self.known[unit] = ids
+        """Words with the space before them are encoded alike alone and in the text; they are known by the word."""
+        parts = text.split(" ") if _plainly_spaced(text) else _PLAIN_SPACE.split(text)
+        ids = list(map(self.known.get, parts))
+        ids[0] = None  # the first word has no space before it
+        missing, at = [0], 0
+        for _ in range(ids.count(None) - 1):
+            at = ids.index(None, at + 1)
+            missing.append(at)
+        found = self._encoded([parts[0], *[" " + parts[i] for i in missing[1:]]])
+        for i, x in zip(missing, found, strict=True):
+            ids[i] = x
+            if i and self.room > 0 and len(parts[i]) <= _KNOWN_LENGTH:
+                self.known[parts[i]] = x
                 self.room -= 1
-        known = self.known
-        return b"".join([known[u] if u in known else found[u] for u in units])
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
