@@ -87,6 +87,7 @@ def test_stages_take_empty_and_odd_tables(spark, no_docs, odd_docs):
     for docs in (no_docs, odd_docs):
         for name, stage in corpus_pipeline.STAGES:
             after = stage(spark, docs, SMALL)
-            assert after.count() <= 2 * docs.count() + 100
-            if name != "packing":
-                assert after.columns == [c for c in docs.columns]
+            if name == "packing":
+                assert after.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+            else:
+                assert after.count() <= 2 * docs.count() and after.columns == docs.columns
