@@ -29,7 +29,7 @@ def _text(name: str) -> Column:
 
 
 def _hashed(df: DataFrame, doc_id: str, text: str, content_hash: Callable[[Column], Column]) -> DataFrame:
-    """One slim row per row of ``df``: id, content hash, and the text itself where a hash has several texts."""
+    """One slim row per row of ``df``: id, hashes, and as ``variant`` the text where a content hash has several texts."""
     slim = df.select(
         F.col(doc_id).alias("id"), content_hash(_text(text)).alias("hash"),
         F.sha2(_text(text).cast("binary"), 256).alias("sha"),
@@ -37,16 +37,19 @@ def _hashed(df: DataFrame, doc_id: str, text: str, content_hash: Callable[[Colum
     rows = written(slim, "hashes")
     repeated = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     texts = df.select(content_hash(_text(text)).alias("hash"), _text(text).alias("text"))
-    ends = texts.join(repeated, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("a"), F.max("text").alias("z"))
-    colliding = written(ends.where("a <> z").select("hash"), "colliding")
+    # Grouped by another form of the hash, so that the join's partitioning isn't reused: a hot group may be split for the
+    # join and is combined before the next shuffle.
+    ends = texts.join(repeated, "hash", "left_semi").groupBy(F.hex("hash").alias("hex")).agg(
+        F.min("text").alias("a"), F.max("text").alias("z"))
+    colliding = written(ends.where("a <> z").select(F.unhex("hex").alias("hash")), "colliding")
     if colliding.isEmpty():
-        return rows.withColumn("variant", F.lit(""))
+        return rows.withColumn("variant", F.lit(None).cast("string"))
     tagged = colliding.withColumn("collides", F.lit(True))
     again = df.select(
         F.col(doc_id).alias("id"), content_hash(_text(text)).alias("hash"),
         F.sha2(_text(text).cast("binary"), 256).alias("sha"), _text(text).alias("text"),
     )
-    variant = F.when(F.col("collides"), F.col("text")).otherwise("")
+    variant = F.when(F.col("collides"), F.col("text"))
     return again.join(tagged, "hash", "left").select("id", "hash", "sha", variant.alias("variant"))
 
 
@@ -72,7 +75,9 @@ def mark_copies(
     """One row per row of ``df``: id, id of the row that stays, group size, whether it stays, SHA-256 of the text."""
     _checked(keep)
     counted, groups = _groups(_hashed(df, doc_id, text, content_hash), keep)
-    copies = counted.join(groups, ["hash", "variant"]).select(
+    group = groups.select(F.col("hash").alias("_hash"), F.col("variant").alias("_variant"), "keep_id", "group_size")
+    same = (F.col("hash") == F.col("_hash")) & F.col("variant").eqNullSafe(F.col("_variant"))
+    copies = counted.join(group, same).select(
         "id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "sha",
     )
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
@@ -92,17 +97,20 @@ def drop_copies(
     """
     _checked(keep)
     _, groups = _groups(_hashed(df, doc_id, text, content_hash), keep)
-    stays = groups.select(*[F.col(c).alias(f"_{c}") for c in groups.columns])
+    stays = written(groups.select(*[F.col(c).alias(f"_{c}") for c in groups.columns]), "groups")
     rows = df.withColumn("_content_hash", content_hash(_text(text)))
 
     def joined(side: DataFrame) -> DataFrame:
         same = (
             (rows["_content_hash"] == side["_hash"]) & rows[doc_id].eqNullSafe(side["_keep_id"])
-            & ((side["_variant"] == "") | (side["_variant"] == _text(text)))
+            & (side["_variant"].isNull() | (side["_variant"] == _text(text)))
         )
         return rows.join(side, same)
 
     names = [F.col(f"`{c}`") for c in df.columns]
     single = joined(stays.where("_n_keep = 1")).select(*names)
-    tied = joined(stays.where("_n_keep > 1")).groupBy("_content_hash", "_variant")
+    several = stays.where("_n_keep > 1")
+    if several.isEmpty():  # saves a second shuffle of the texts
+        return single
+    tied = joined(several).groupBy("_content_hash", "_variant")
     return single.unionByName(tied.agg(F.min(F.struct(*names)).alias("row")).select("row.*"))
