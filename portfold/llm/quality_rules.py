@@ -153,9 +153,10 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", *, lea
 
     def level(k: int, *keys: str) -> DataFrame:
         packed = F.struct("rows", *names).alias(f"level{k}")
-        return fences.where(F.col("level") == k).select(*keys, packed)
+        return fences.where(F.col("level") == k).select(*keys, F.lit(2).alias("table"), packed)
 
-    groups = level(0, "lang_key", "source_key").join(level(1, "lang_key"), "lang_key", "left").crossJoin(level(2))
+    languages = level(1, "lang_key").drop("table")
+    groups = level(0, "lang_key", "source_key").join(languages, "lang_key", "left").join(level(2), "table", "left")
     chosen = F.when(F.col("level0.rows") >= least_rows, F.col("level0")).when(
         F.col("level1.rows") >= least_rows, F.col("level1")).otherwise(F.col("level2"))
     return groups.select("lang_key", "source_key", F.col("level0.rows").alias("group_rows"), chosen.alias("fence"))
