@@ -227,9 +227,14 @@ def train(background: list[str], *, seed: int = 0) -> Model:
 
 
 def background_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """At most ``BACKGROUND_LINES`` lines of the ``BACKGROUND_DOCS`` documents with the smallest hash."""
+    """At most ``BACKGROUND_LINES`` lines of the ``BACKGROUND_DOCS`` documents with the smallest hash.
+
+    Hashes are spread evenly, so a bound on them leaves about twice the documents wanted, before any text is moved.
+    """
+    rows = df.count()
+    bound = -(2**63) + min(2**64 - 1, 2**64 * 2 * BACKGROUND_DOCS // max(1, rows))
     docs = df.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text")).where(
-        F.col(text).isNotNull()).orderBy("h", "text").limit(BACKGROUND_DOCS)
+        F.col(text).isNotNull() & (F.col("h") <= F.lit(bound))).orderBy("h", "text").limit(BACKGROUND_DOCS)
     lines = docs.select("h", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.length("line") > 0)
     return [r["line"] for r in lines.orderBy(F.xxhash64("h", "place"), "line").limit(BACKGROUND_LINES).collect()]
 
