@@ -227,11 +227,20 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     names = [f"`{c}`" for c in df.columns]
     packed = df.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = written(fingerprints(packed), "fingerprints").drop("text")
-    classed = rows.join(_components_of(rows.select("id", "fp")), "fp")
-    best = classed.where(F.col("id").eqNullSafe(F.col("component_id")))
+    slim = rows.select("id", "fp")
     # Without an id, only equal fingerprints and links are left to tell classes apart; they get the fingerprint's.
     key = F.coalesce(F.concat(F.lit("="), F.col("component_id").cast("string")), F.hex("fp"))
-    counts = best.groupBy(key.alias("_class")).agg(F.count("*").alias("_n"))
-    keyed = best.withColumn("_class", key).join(counts, "_class")
-    tied = keyed.where("_n > 1").groupBy("_class").agg(F.min("_row").alias("_row"))
-    return keyed.where("_n = 1").select("_row.*").unionByName(tied.select("_row.*"))
+    best = slim.join(_components_of(slim), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    found = best.groupBy(key.alias("_class"), F.col("fp").alias("_fp"), F.col("id").alias("_id")).agg(F.count("*").alias("n"))
+    total = found.groupBy("_class").agg(F.sum("n").alias("_rows"))
+    stays = written(found.join(total, "_class").drop("n"), "stays")
+
+    def same(side: DataFrame) -> Column:
+        return (rows["fp"] == side["_fp"]) & rows["id"].eqNullSafe(side["_id"])
+
+    alone, several = stays.where("_rows = 1"), stays.where("_rows > 1")
+    single = rows.join(alone, same(alone), "left_semi").select("_row.*")
+    if several.isEmpty():  # saves a second shuffle of the texts
+        return single
+    tied = rows.join(several, same(several)).groupBy("_class").agg(F.min("_row").alias("_row"))
+    return single.unionByName(tied.select("_row.*"))
