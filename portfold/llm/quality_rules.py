@@ -153,7 +153,8 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", *, lea
 
     def level(k: int, *keys: str) -> DataFrame:
         packed = F.struct("rows", *names).alias(f"level{k}")
-        return fences.where(F.col("level") == k).select(*keys, F.lit(2).alias("table"), packed)
+        # "table" is 2 on every level; as it is computed from the rows, Spark keeps it as a join key.
+        return fences.where(F.col("level") == k).select(*keys, (F.col("level") + (2 - k)).alias("table"), packed)
 
     languages = level(1, "lang_key").drop("table")
     groups = level(0, "lang_key", "source_key").join(languages, "lang_key", "left").join(level(2), "table", "left")
