@@ -37,11 +37,12 @@ def _hashed(df: DataFrame, doc_id: str, text: str, content_hash: Callable[[Colum
     rows = written(slim, "hashes")
     repeated = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     texts = df.select(content_hash(_text(text)).alias("hash"), _text(text).alias("text"))
-    # Grouped by another form of the hash, so that the join's partitioning isn't reused: a hot group may be split for the
+    # Joined and grouped by other forms of the hash, so that no partitioning is reused: a hot group may be split for the
     # join and is combined before the next shuffle.
-    ends = texts.join(repeated, "hash", "left_semi").groupBy(F.hex("hash").alias("hex")).agg(
+    again = repeated.select(F.hex("hash").alias("hex"))
+    ends = texts.withColumn("hex", F.hex("hash")).join(again, "hex", "left_semi").groupBy(F.reverse("hex").alias("hex")).agg(
         F.min("text").alias("a"), F.max("text").alias("z"))
-    colliding = written(ends.where("a <> z").select(F.unhex("hex").alias("hash")), "colliding")
+    colliding = written(ends.where("a <> z").select(F.unhex(F.reverse("hex")).alias("hash")), "colliding")
     if colliding.isEmpty():
         return rows.withColumn("variant", F.lit(None).cast("string"))
     tagged = colliding.withColumn("collides", F.lit(True))
