@@ -13,7 +13,7 @@ half, so that a notice within a long line is not outvoted. Windows without any w
 intercepts alone, and are skipped without being scored. Scanning is one narrow pass; only the model, bounded by the
 templates, is sent to the tasks.
 
-Defined results: null and empty texts have no notices; null ids are passed on; repeated rows and lines give a row each; an empty
+Defined results: null and empty texts have no notices; null ids are passed on; repeated rows, lines and notices give a row each; an empty
 table gives an empty result; other input columns are ignored, whatever their names.
 """
 
@@ -121,25 +121,70 @@ class Model:
         own = set(zip(parts, parts[1:], strict=False))
         return max(len(template & own) / len(template) for template in self.templates[family])
 
+    def stretch(self, family: str, parts: list[str]) -> tuple[int, int]:
+        """First word and end of the words that match a template of the family best, all words if none do."""
+        pairs = list(zip(parts, parts[1:], strict=False))
+        best = (0.0, 0, 0, len(parts))  # share, two-grams, first word, end
+        for template in self.templates[family]:
+            at = [i for i, pair in enumerate(pairs) if pair in template]
+            for start in at:
+                inside = [i for i in at if start <= i < start + len(template)]
+                met = len({pairs[i] for i in inside})
+                if (met / len(template), met) > best[:2]:
+                    best = (met / len(template), met, start, inside[-1] + 2)
+        return best[2:]
+
     def notices(self, parts: list[str]) -> tuple[str, float, float, int] | None:
         """Family, probability, similarity and first word of the paragraph's surest notice."""
-        best = None
+        return max((found[:4] for found in self.all_notices(parts)), key=lambda found: found[1:3], default=None)
+
+    def all_notices(self, parts: list[str]) -> list[tuple[str, float, float, int, int]]:
+        """Family, probability, similarity, first word and end of every notice of the paragraph, in order.
+
+        The words of a confirmed notice are taken out of its window and the rest is judged again, so that a window may hold several.
+        """
         hits = [i for i, part in enumerate(parts) if part in self.starts]
         if not hits:
-            return None
+            return []
         half = WINDOW // 2
         last = max(0, math.ceil((len(parts) - WINDOW) / half))
         windows = {w for i in hits for w in (i // half - 1, i // half) if 0 <= w <= last} | {last for i in hits if i >= last * half}
+        made = []
         for w in sorted(windows):
             window = parts[w * half:w * half + WINDOW]
-            odds = self.probabilities(window)
-            k = int(odds.argmax())
-            if self.classes[k] == UNKNOWN or odds[k] < LEAST_PROBABILITY:
-                continue
-            found = (self.classes[k], float(odds[k]), self.similarity(self.classes[k], window), w * half)
-            if best is None or found[1:3] > best[1:3]:
-                best = found
-        return best
+            places = list(range(w * half, w * half + len(window)))
+            while window:
+                odds = self.probabilities(window)
+                k = int(odds.argmax())
+                if self.classes[k] == UNKNOWN:
+                    break
+                family, similarity = self.classes[k], self.similarity(self.classes[k], window)
+                if odds[k] < LEAST_PROBABILITY and similarity < LEAST_SIMILARITY:
+                    break
+                start, end = self.stretch(family, window)
+                made.append((family, float(odds[k]), similarity, places[start], places[end - 1] + 1))
+                if similarity < LEAST_SIMILARITY:
+                    break
+                window = [*window[:start], "", *window[end:]]  # no word, so that its neighbours make no two-gram
+                places = [*places[:start], places[start], *places[end:]]
+        return merged(made)
+
+
+def merged(found: list[tuple[str, float, float, int, int]]) -> list[tuple[str, float, float, int, int]]:
+    """Notices of one family whose words overlap become one: that of the largest similarity, then probability."""
+    made: list[tuple[str, float, float, int, int]] = []
+    reach: dict[str, tuple[int, int]] = {}  # by family the end of its last notice and the notice's place
+    for notice in sorted(found, key=lambda n: n[3:]):
+        family, _, _, first, end = notice
+        if family in reach and first < reach[family][0]:
+            end, place = max(end, reach[family][0]), reach[family][1]
+            if (notice[2], notice[1]) > (made[place][2], made[place][1]):
+                made[place] = notice
+        else:
+            place = len(made)
+            made.append(notice)
+        reach[family] = (end, place)
+    return made
 
 
 def variants(template: list[str], background: list[list[str]], rng: np.random.Generator, count: int) -> list[list[str]]:
@@ -240,14 +285,13 @@ def background_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line with a notice: id, line number, first word of the window, family, probability, similarity, confirmed."""
+    """One row per notice: id, line number, first word of the notice, family, probability, similarity, confirmed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 for number, line in enumerate((value or "").split("\n")):
-                    notice = model.notices(tokens(line))
-                    if notice:
+                    for notice in model.all_notices(tokens(line)):
                         rows.append(i)
                         found.append((number, notice[3], notice[0], notice[1], notice[2], notice[2] >= LEAST_SIMILARITY))
             columns = list(zip(*found, strict=True)) if found else [[]] * 6

@@ -235,3 +235,14 @@ def test_scan_of_whole_and_odd_texts(spark, odd_docs, no_docs, notices):
         (0, 0, "GPL", True), (1, 2, "MIT", True), (2, 0, "Apache", True), (2, 0, "Apache", True)]
     assert all(abs(r["first_word"] - 30_000) <= license_scan.WINDOW for r in found if r["doc_id"] == 2)
     assert license_scan.scan(odd_docs, notices).count() == 0 and license_scan.scan_documents(no_docs).count() == 0
+
+
+def test_every_notice_of_a_line(spark, notices):
+    mixed = "Copyright 2020. All rights reserved. Licensed under the Apache License, Version 2.0."
+    far = "Released under the MIT License. " + "word " * 10_000 + license_scan.TEMPLATES["GPL"][1]
+    found = license_scan.scan(spark.createDataFrame([(1, mixed), (2, far)], "doc_id long, text string"), notices).collect()
+    assert sorted((r["doc_id"], r["family"], r["first_word"]) for r in found if r["confirmed"]) == [
+        (1, "Apache", 5), (1, "Proprietary", 0), (2, "GPL", 10_005), (2, "MIT", 0)]
+    for family, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            assert [n[0] for n in notices.all_notices(license_scan.tokens(text))] == [family]
