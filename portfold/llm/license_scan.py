@@ -8,7 +8,8 @@ calibrates the probabilities is chosen on variants and lines held out from train
 class is unknown, or whose probability stays below ``LEAST_PROBABILITY``, is no notice. A found family is confirmed if
 enough of the two-grams of one of its templates stand in the paragraph.
 
-Every line of every whole text is a paragraph; longer ones are read in windows of ``WINDOW`` words that overlap by
+Every line of every whole text is a paragraph, and so is every block of consecutive non-blank lines, so that a wrapped notice
+is seen whole; a notice found in both is one row. Longer ones are read in windows of ``WINDOW`` words that overlap by
 half, so that a notice within a long line is not outvoted. Windows without any weighted word are unknown by the
 intercepts alone, and are skipped without being scored. Scanning is one narrow pass; only the model, bounded by the
 templates, is sent to the tasks.
@@ -19,6 +20,7 @@ table gives an empty result; other input columns are ignored, whatever their nam
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -284,16 +286,42 @@ def background_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return [r["line"] for r in lines.orderBy(F.xxhash64("h", "place"), "line").limit(BACKGROUND_LINES).collect()]
 
 
+def notices_of_text(model: Model, text: str) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """Line and first word within it, and the notice, for every notice of the lines and of the blocks of non-blank lines."""
+    block: list[tuple[int, list[str]]] = []
+
+    def result() -> Iterator[tuple[tuple[int, int], tuple]]:
+        if not any(part in model.starts for _, parts in block for part in parts):
+            return
+        found, begins, whole = [], [], []
+        for _, parts in block:
+            begins.append(len(whole))
+            found += [(*n[:3], n[3] + len(whole), n[4] + len(whole)) for n in model.all_notices(parts)]
+            whole += parts
+        if len(block) > 1:
+            found = merged(found + model.all_notices(whole))
+        for notice in found:
+            at = bisect_right(begins, notice[3]) - 1
+            yield (block[at][0], notice[3] - begins[at]), notice
+
+    for number, line in enumerate(text.split("\n")):
+        if line and not line.isspace():
+            block.append((number, tokens(line)))
+        else:
+            yield from result()
+            block = []
+    yield from result()
+
+
 def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per notice: id, line number, first word of the notice, family, probability, similarity, confirmed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                for number, line in enumerate((value or "").split("\n")):
-                    for notice in model.all_notices(tokens(line)):
-                        rows.append(i)
-                        found.append((number, notice[3], notice[0], notice[1], notice[2], notice[2] >= LEAST_SIMILARITY))
+                for number, notice in notices_of_text(model, value or ""):
+                    rows.append(i)
+                    found.append((*number, *notice[:3], notice[2] >= LEAST_SIMILARITY))
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),

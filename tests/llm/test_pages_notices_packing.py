@@ -246,3 +246,13 @@ def test_every_notice_of_a_line(spark, notices):
     for family, texts in license_scan.TEMPLATES.items():
         for text in texts:
             assert [n[0] for n in notices.all_notices(license_scan.tokens(text))] == [family]
+
+
+@pytest.mark.parametrize("width", [60, 70, 80])
+def test_wrapped_notices(notices, width):
+    import textwrap
+    for family, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            wrapped = "Some words ahead.\n\n" + "\n".join(textwrap.wrap(text, width)) + "\n\nMore words."
+            found = list(license_scan.notices_of_text(notices, wrapped))
+            assert [(at[0], n[0], n[2]) for at, n in found if n[2] >= 0.5] == [(2, family, 1.0)], (text, found)
