@@ -256,3 +256,14 @@ def test_wrapped_notices(notices, width):
             wrapped = "Some words ahead.\n\n" + "\n".join(textwrap.wrap(text, width)) + "\n\nMore words."
             found = list(license_scan.notices_of_text(notices, wrapped))
             assert [(at[0], n[0], n[2]) for at, n in found if n[2] >= 0.5] == [(2, family, 1.0)], (text, found)
+
+
+@pytest.mark.parametrize("main", [
+    "<article class='post category-social tag-share'><p>whole</p></article>", "<main class='has-sidebar'><p>whole</p></main>",
+    "<div id='page' class='header-fixed no-comments'><article><p>whole</p></article></div>", "<div class='has-sidebar'><p>whole</p></div>",
+    "<div class='widget' role='main'><p>whole</p></div>", "<article class='share'><p>whole</p></article>",
+    "<article><p>whole</p></article><div id='comments'><article class='comment'>nice</article></div>",
+    "<div class='ad-slot'>buy</div><main><p>whole</p><div class='x share'>tweet</div></main>",
+])
+def test_class_words_lose_no_article(main):
+    assert html_extraction.main_text(html_extraction.lines(PAGE.format(main=main)), None) == "whole"
