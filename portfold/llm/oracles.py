@@ -87,4 +87,96 @@ from judged
 """
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _rules(), "op4_exact_dedup": _EXACT}
+_WARC = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+r as (select *, strlen(t) >= 1000 and page_id < max(page_id) over (partition by t) as again, max(page_id) over (partition by t) as largest from p)
+select page_id, strlen(t) as payload_bytes, sha1(t) as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+       case when again then largest end as refers_to
+from r
+"""
+
+# The CRC-32 of the text column s of the table {rows}, as {rows}_crc(s, h): the table of remainders from its rule, then byte by byte.
+_CRC = """
+remainders as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) bytes(i))
+), {rows}_crc as (
+  select s, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(s)),
+           lambda k: cast('0x' || substr(hex(encode(s)), 2 * k + 1, 2) as bigint))),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::bigint) as h
+  from (select distinct s from {rows}), remainders
+)"""
+
+_RUNS = f"""
+with ids as (select cast(doc_id as varchar) as s from documents where doc_id is not null), {_CRC.format(rows="ids")},
+split as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, coalesce(h, 1) as h, coalesce(h, 1) // 10 as g
+  from documents left join ids_crc on s = cast(doc_id as varchar)
+), planned as (
+  select *, g % greatest(len(ws), 1) as a, 1 + (len(ws) - g % greatest(len(ws), 1)) // (3 + g % 8) as p from split
+), docs as (
+  select rid, doc_id, case when h % 10 = 0 then list_transform(range(len(ws)), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end])
+                           else ws end as ws
+  from planned
+), windows as (
+  select rid, i, array_to_string(ws[i + 1:i + 6], ' ') as w from (select rid, ws, unnest(range(greatest(len(ws) - 5, 0))) as i from docs)
+), islands as (
+  select rid, q, i - row_number() over (partition by rid, q order by i) as island, i
+  from (select x.rid, x.i, y.i - x.i as q from windows x join windows y on x.rid = y.rid and x.w = y.w and x.i < y.i)
+), stretched as (
+  select rid, min(i) as start, count(*) + 5 + q as length, q as period from islands group by rid, q, island
+), runs as (
+  select rid, start, length, min(period) as period from stretched where length >= greatest(12, 2 * period) group by all
+), listed as (
+  select rid, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines,
+         first(struct_pack(start, length, period) order by length desc, start, period) as best
+  from runs group by rid
+), gone as (
+  select distinct rid, unnest(range(start + period, start + length)) as i from runs
+), kept as (
+  select w.rid, string_agg(w.word, ' ' order by w.i) as t
+  from (select rid, unnest(ws) as word, unnest(range(len(ws))) as i from docs) w anti join gone g on w.rid = g.rid and w.i = g.i
+  group by w.rid
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period,
+       1000 * best.length // best.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from docs d left join listed l on d.rid = l.rid left join kept k on d.rid = k.rid
+"""
+
+_VARIANTS = f"""
+with recursive found as (
+  select cast(doc_id as varchar) as id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run
+  from documents
+), named as (
+  select coalesce(id, '') || ':' || run as s, run, count(*) as times from found where length(run) >= 5 group by all
+), {_CRC.format(rows="named")}, spelled as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times
+  from named join named_crc using (s)
+), words as (
+  select word, cast(sum(times) as bigint) as n from spelled where length(word) >= 5 group by word having sum(times) >= 3
+), cut as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+), pairs as (
+  select x.word as u, y.word as v, y.n as vn from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+  union select x.word, y.word, y.n from cut x join words y on x.rest = y.word
+  union select y.word, x.word, x.n from cut x join words y on x.rest = y.word
+), near as (
+  select u, count(*) as n_near, max(vn) as form_n, first(v order by vn desc, encode(v)) as form from pairs group by u
+), formed as (
+  select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n
+  from words left join near on u = word
+), chain as (
+  select word, word as at from formed
+  union all select c.word, f.form from chain c join formed f on f.word = c.at where f.form is not null
+), ends as (
+  select c.word, c.at as root from chain c join formed f on f.word = c.at where f.form is null
+)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": _rules(), "op4_exact_dedup": _EXACT, "op11_warc": _WARC, "op12_periodic_runs": _RUNS, "op13_spelling_variants": _VARIANTS,
+}
