@@ -5,7 +5,7 @@ Every stage takes all rows that the one before returned, and all but the last re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portfold.llm import exact_dedup, mixing, near_copies, packing, quality_rules
+from portfold.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from portfold.llm.queries import vocabulary
 from portfold.llm.support import read, written
 
@@ -21,8 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each class of near duplicates (three-word shingles, two bits): the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
