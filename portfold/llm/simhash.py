@@ -3,14 +3,15 @@
 A fingerprint has a bit for each of the 64 bits of the XXH64 values (seed 42) of a document's three-word shingles: one if
 more than half of the values have it. Equal fingerprints are one point, so copies cost nothing further.
 
-Points meet in shards: a point is put under every pair of the four 16-bit blocks of its fingerprint. Two
-points that differ in two bits or fewer agree in at least two blocks, so they share a shard. A shard of more than
-``SHARD_POINTS`` points is split again by three blocks of the 32 bits that its points may differ in, one of which any two linked
-points share; what is left differs in 22 bits at most, so no shard exceeds 2^22 points, however alike the documents are.
+Points meet in shards of some thousands: three groups of bits are set apart, each as wide as the number of points asks for, and a
+point is put under the value of each group. Two points that differ in two bits or fewer agree in at least one of three
+groups, so they share a shard. A shard of more than ``SHARD_POINTS`` points is split again, by thirds of the bits that its points may still
+differ in, and so on until no shard is larger; with ``LEAST_OPEN`` open bits left none can be.
 
 Every shard is searched by its own BK-tree: children are keyed by the Hamming distance to the parent, and a search
 follows only edges within the radius of its distance. Points are visited breadth first, so each is searched for once
-and a shard yields one link per point to the first of its component, never all pairs. The links of all shards are joined
+and a shard yields one link per point to the first of its component, never all pairs. Trees are built where their points
+were shuffled to: all of them together grow with the data, so none is broadcast. The links of all shards are joined
 to components by Spark; no fingerprints, links or components come to the driver.
 
 Defined results: ASCII letters are lower-cased; words are parted by ASCII white space; a text of one or two words is one
@@ -19,7 +20,6 @@ aside (null if it has none but nulls); repeated rows give repeated result rows;
 """
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold.llm.components import components
-from portfold.llm.support import without, written
+from portfold.llm.support import written
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
-SHARD_POINTS = 4096
-LEAF_POINTS = 64
+SHARD_POINTS = 1 << 14
+LEAF_POINTS = 32
+LEAST_OPEN = 14
 _SUM_ROWS = 1 << 15
 _QUERY_ROWS = 1 << 14
 
@@ -67,14 +68,6 @@ def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a last column ``fp``, the fingerprint as a signed long. Every text is read whole."""
-    kept = without(df, ["fp"])
-    rows = kept.withColumn("_bytes", F.coalesce(df[text], F.lit("")).cast("binary"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(_with_fingerprints, schema)
-
-
 class BKTree:
     """Points in a tree whose children are keyed by the Hamming distance to their parent; small subtrees are leaves."""
 
@@ -139,7 +132,7 @@ def _links_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (combo, value, part, part_value, fp), sorted by shard, to links. One shard is held at a time."""
+    """Rows (mask, value, fp), sorted by shard, to links. One shard is held at a time."""
     held_key, held = None, []
 
     def result() -> Iterator[pa.RecordBatch]:
@@ -152,8 +145,8 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-        points = batch.column(4).to_numpy(zero_copy_only=False)
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], axis=1)
+        points = batch.column(2).to_numpy(zero_copy_only=False)
         ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for start, end in zip([0, *ends], [*ends, len(points)], strict=True):
             key = tuple(keys[start])
@@ -164,38 +157,48 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from result()
 
 
-def _bits(fp: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def _mask(bits: list[int]) -> int:
+    """These bits as a signed long."""
+    value = sum(1 << b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _pair_value(fp: Column, i: int, j: int) -> Column:
-    return F.shiftleft(_bits(fp, 16 * i, 16), 16).bitwiseOR(_bits(fp, 16 * j, 16))
+def _thirds(mask: int, width: int | None = None) -> list[int]:
+    """``mask`` with a third of its open bits each, or ``width`` of them: points within two bits agree under one of the three."""
+    opened = [b for b in range(64) if not mask >> b & 1]
+    width = len(opened) // 3 if width is None else width
+    fixed = [b for b in range(64) if mask >> b & 1]
+    return [_mask(fixed + opened[k * width:(k + 1) * width]) for k in range(3)]
 
 
 def links(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
     """Links ``u``, ``v`` between the distinct fingerprints ``fp``: the same components as all pairs within the radius."""
-    fp = F.col("fp")
-    pairs = list(combinations(range(4), 2))
-    shards = F.array(*[
-        F.struct(
-            F.lit(c).alias("combo"), _pair_value(fp, i, j).alias("value"),
-            # the 32 bits in which the points of the shard may differ
-            _pair_value(fp, *[k for k in range(4) if k not in (i, j)]).alias("open"),
-        ) for c, (i, j) in enumerate(pairs)
-    ])
-    keyed = points.select("fp", F.inline(shards))
-    sizes = keyed.groupBy("combo", "value").agg(F.count("*").alias("n")).where("n > 1")
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("part_value")))
-    split = F.array(*[
-        F.struct(F.lit(k).alias("part"), _bits(F.col("open"), low, width).alias("part_value"))
-        for k, (low, width) in enumerate([(0, 11), (11, 11), (22, 10)])
-    ])
-    shard = ["combo", "value", "part", "part_value"]
-    members = keyed.join(sizes, ["combo", "value"]).select(
-        "fp", "combo", "value", F.inline(F.when(F.col("n") <= shard_points, whole).otherwise(split)),
-    )
-    dealt = members.select(*shard, "fp").repartition(*shard).sortWithinPartitions(*shard)
-    return dealt.mapInArrow(_shard_links, "u long, v long").distinct()
+    width = min(21, max(0, (points.count() * 4 // shard_points).bit_length() - 1))
+    masks = _thirds(0, width) if width else [0]
+    rows = points.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    found = None
+    while True:
+        rows = written(rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "keyed")
+        sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
+        # Another form of the key, so that no partitioning is reused and Spark may split a hot shard's points.
+        sizes = sizes.select(F.concat_ws(" ", "mask", "value").alias("shard"), (F.col("n") > shard_points).alias("large"))
+        sized = written(rows.withColumn("shard", F.concat_ws(" ", "mask", "value")).join(sizes, "shard").drop("shard"), "shards")
+        dealt = sized.where("not large").select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value")
+        part = dealt.mapInArrow(_shard_links, "u long, v long")
+        found = part if found is None else found.unionByName(part)
+        large = sized.where("large")
+        masks = [m for m in masks if 64 - (m & (1 << 64) - 1).bit_count() > LEAST_OPEN]
+        if not masks or large.isEmpty():
+            return found.distinct()
+        below = {m: _thirds(m) for m in masks}
+        children = F.create_map(*[x for m, ms in below.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(c).cast("long") for c in ms]))])
+        rows = large.select("fp", F.explode(F.element_at(children, F.col("mask"))).alias("mask"))
+        masks = sorted({c for ms in below.values() for c in ms})
+
+
+def _other_form(name: str) -> Column:
+    """The key as text: joined by it, no partitioning of an aggregate is reused, and Spark may split a hot key."""
+    return F.col(name).cast("string")
 
 
 def _components_of(rows: DataFrame) -> DataFrame:
@@ -203,7 +206,8 @@ def _components_of(rows: DataFrame) -> DataFrame:
     points = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "points")
     roots = components(links(points)).withColumnRenamed("node", "fp")
     rooted = points.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = roots.join(rooted, "root").select("fp", "component_id", F.lit(True).alias("tied"))
+    rooted = rooted.select(_other_form("root").alias("_root"), "component_id")
+    tied = roots.join(rooted, _other_form("root") == F.col("_root")).select("fp", "component_id", F.lit(True).alias("tied"))
     of_point = F.when(F.col("tied"), F.col("component_id")).otherwise(F.col("least"))
     return written(points.join(tied, "fp", "left").select("fp", of_point.alias("component_id")), "components")
 
@@ -221,26 +225,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component with all its columns: the one with the smallest id.
 
-    Rows without an id are dropped beside rows with one. Of several rows with that id the one with the smallest
-    columns, in their order, stays.
+    A row without an id stays only if its component has none with one. Of several rows with that id one stays. Rows are told apart by
+    their place and components by their root, so different texts that share an id stay apart.
     """
     names = [f"`{c}`" for c in df.columns]
-    packed = df.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = written(fingerprints(packed), "fingerprints").drop("text")
-    slim = rows.select("id", "fp")
-    # Without an id, only equal fingerprints and links are left to tell classes apart; they get the fingerprint's.
-    key = F.coalesce(F.concat(F.lit("="), F.col("component_id").cast("string")), F.hex("fp"))
-    best = slim.join(_components_of(slim), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    found = best.groupBy(key.alias("_class"), F.col("fp").alias("_fp"), F.col("id").alias("_id")).agg(F.count("*").alias("n"))
-    total = found.groupBy("_class").agg(F.sum("n").alias("_rows"))
-    stays = written(found.join(total, "_class").drop("n"), "stays")
-
-    def same(side: DataFrame) -> Column:
-        return (rows["fp"] == side["_fp"]) & rows["id"].eqNullSafe(side["_id"])
-
-    alone, several = stays.where("_rows = 1"), stays.where("_rows > 1")
-    single = rows.join(alone, same(alone), "left_semi").select("_row.*")
-    if several.isEmpty():  # saves a second shuffle of the texts
-        return single
-    tied = rows.join(several, same(several)).groupBy("_class").agg(F.min("_row").alias("_row"))
-    return single.unionByName(tied.select("_row.*"))
+    packed = df.select(F.struct(*names).alias("_row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("_bytes"))
+    schema = T.StructType([*packed.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    rows = packed.mapInArrow(_with_fingerprints, schema).withColumn("node", F.monotonically_increasing_id())
+    rows = written(rows, "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "node"))
+    points = written(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "points")
+    roots = components(links(points.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = written(points.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
+    stays = stays.select(_other_form("root").alias("_root"), "stays")
+    # Only rows of components with several rows are named, so that Spark can send this side to the texts where it is small.
+    several = rooted.join(stays, _other_form("root") == F.col("_root")).select(F.col("fp").alias("_fp"), F.col("stays.node").alias("_stays"))
+    dropped = written(rows.select("node", "fp").join(several, F.col("fp") == F.col("_fp")).where("node <> _stays").select("node"), "dropped")
+    return rows.join(dropped, "node", "left_anti").select("_row.*")

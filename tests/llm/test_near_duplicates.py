@@ -7,6 +7,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from portfold.llm import simhash
 from portfold.llm.components import components
@@ -84,14 +85,38 @@ def test_tree_follows_few_edges():
     assert reached < 0.2 * 50 * len(points)
 
 
-def test_shards_lose_no_link_even_when_split(spark):
-    points = cluster(5, 1500, 6)
-    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in points], "fp long")
-    by_hand = classes_by_hand(points)
-    for bound in (4096, 10):
-        found = {r["node"]: r["root"] for r in components(simhash.links(frame, bound)).collect()}
-        labels = [found.get(int(np.uint64(p).astype(np.int64)), int(np.uint64(p).astype(np.int64))) for p in points]
-        assert len(set(zip(labels, by_hand, strict=True))) == len(set(labels)) == len(set(by_hand))
+def signed(point):
+    return int(np.uint64(point).astype(np.int64))
+
+
+def test_shards_lose_no_link_however_small(spark):
+    alike = [p & ~0xFFFFFFF | 0x5A5A for p in range(0, 3000 << 28, 1 << 28)]  # 28 bits in common: shards are split several times
+    for points in (cluster(5, 1500, 6), sorted({*alike, *[p ^ 1 << 40 for p in alike[::3]]})):
+        frame = spark.createDataFrame([(signed(p),) for p in points], "fp long")
+        first = simhash.linked(np.array(points, dtype=np.uint64))
+        for bound in (1 << 14, 1000, 40):
+            found = {r["node"]: r["root"] for r in components(simhash.links(frame, bound)).collect()}
+            labels = [found.get(signed(p), signed(p)) for p in points]
+            assert len(set(zip(labels, first.tolist(), strict=True))) == len(set(labels)) == len(set(first.tolist()))
+
+
+def test_links_of_the_documents_come_from_trees_with_edges(spark):
+    """On sf0.1 every shard holds thousands of points, and most links join points of different nodes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    slim = docs.select(F.col("text").cast("binary").alias("t"))
+    points = np.array([r["fp"] for r in slim.mapInArrow(simhash._with_fingerprints, "fp long").distinct().collect()], dtype=np.int64)
+    tree = simhash.BKTree(points.view(np.uint64))
+    edges = sum(len(children) for _, children in tree.nodes)
+    node_of = np.empty(len(points), dtype=np.int64)
+    for i, (own, _) in enumerate(tree.nodes):
+        node_of[own] = i
+    across = within = compared = 0
+    for own, asked, near in tree.matches(np.arange(len(points)), simhash.RADIUS):
+        a, b = np.nonzero(near)
+        compared += near.size
+        across += int((node_of[own[a]] != node_of[asked[b]]).sum())
+        within += int(((node_of[own[a]] == node_of[asked[b]]) & (own[a] != asked[b])).sum())
+    assert edges > 500 and across > within and compared < 0.5 * len(points) ** 2
 
 
 def test_components_of_chains_and_stars(spark):
@@ -105,6 +130,17 @@ def test_one_of_each_class_stays(odd_docs, small_docs, no_docs):
     for frame in (odd_docs, small_docs):
         left = simhash.drop_near_duplicates(frame)
         assert left.columns == frame.columns
-        classes = {r["component_id"] for r in simhash.near_duplicates(frame).collect()}
-        assert Counter(r["doc_id"] for r in left.collect()) == Counter(classes)
+        rows = frame.select("doc_id", "text").collect()
+        points = [simhash.fingerprint((r["text"] or "").encode()) for r in rows]
+        least = {}
+        for root, r in zip(classes_by_hand(points), rows, strict=True):
+            least.setdefault(root, []).append(r["doc_id"])
+        expected = Counter(min((i for i in ids if i is not None), default=None) for ids in least.values())
+        assert Counter(r["doc_id"] for r in left.collect()) == expected
     assert simhash.drop_near_duplicates(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_different_texts_under_one_id_and_map_columns_stay(spark):
+    rows = [(5, "one text of its own", {"a": 1}), (5, "something else entirely here", {"b": 2}), (5, "one text of its own", {"a": 1}), (9, "one text of its own", {})]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>"))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(5, "one text of its own"), (5, "something else entirely here")]

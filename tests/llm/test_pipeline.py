@@ -50,6 +50,7 @@ def test_smallest_near_copy_stays(stages):
     before, after = stages["simhash_near_dedup"]
     rows = sorted(before.collect(), key=lambda r: r["doc_id"])
     roots = classes_by_hand([fingerprint_by_hand(r["text"]) for r in rows])
+    assert Counter(rows[root]["text"] for root in set(roots)) == Counter(r["text"] for r in after.collect())
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({rows[root]["doc_id"] for root in roots})
     assert simhash.near_duplicates(after).select("component_id").distinct().count() == after.count()
 
