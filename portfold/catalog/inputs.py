@@ -59,6 +59,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def paid_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions whose lines repeat the contribution of their order; some orders have none, some zero."""
+    order = F.col("l_orderkey")
+    paid = F.when(order % 5 == 1, 0.0).when(order % 5 > 1, order % 1000 + 0.25)
+    return positions(spark, sf_dir).withColumn("contribution", paid)
+
+
 def stock_name() -> Column:
     """The asset a form answer names for a brand: a few real ones, one of them in lower case."""
     brand = F.col("p_brand")
@@ -68,17 +75,17 @@ def stock_name() -> Column:
     )
 
 
-def form(spark: SparkSession, sf_dir: str) -> DataFrame:
+def form(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
     """Form answers, one per order line: a stock without a current price and a fund with one.
 
-    The two lines are parted by either kind of line end.
+    The two lines are parted by either kind of line end. ``around`` stands on both sides of the numerals.
     """
     def ptbr(amount: str) -> Column:
-        return F.translate(F.format_number(F.col(amount), 2), ",.", ".,")
+        return F.concat(F.lit(around), F.translate(F.format_number(F.col(amount), 2), ",.", ".,"), F.lit(around))
 
     stock = F.concat(
-        F.lit("Stock  | "), stock_name(), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"),
-        F.lit(" | "), ptbr("l_extendedprice"), F.lit(" | "),
+        F.lit("Stock  | "), stock_name(), F.lit(" | " + around), F.col("l_quantity").cast("int").cast("string"),
+        F.lit(around + " | "), ptbr("l_extendedprice"), F.lit(" | "),
     )
     fund = F.concat(
         F.lit("Renda Fixa | "), F.col("p_name"), F.lit(" | 1 | "), ptbr("p_retailprice"), F.lit(" | "),
@@ -133,6 +140,17 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a position: a quarter of them funds, some without an asset, a third with a price of their own."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("holding_id"),
+        F.when(F.col("event_id") % 4 == 0, "fund").otherwise("stock").alias("asset_class"),
+        F.when(F.col("event_type") != "click", F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("asset"),
+        F.col("ts").cast("date").alias("as_of_date"), F.col("value").alias("quantity"),
+        F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("current_price"),
+    )
+
+
 def view_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views as prices: several a day for the same ticker."""
     return ticks(spark, sf_dir).where(F.col("event_type") == "view")

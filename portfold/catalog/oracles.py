@@ -575,3 +575,84 @@ ORACLES["page_institution"] = f"""
     from labels {_MINE} and asset = 'ALL'
     union all select 'holdings', null, asset, null, market_value, pct_change, null
     from labels {_MINE} and asset <> 'ALL'"""
+
+_EVENT_POSITIONS = """
+    held as (
+        select event_id as holding_id, case when event_id % 4 = 0 then 'fund' else 'stock' end as asset_class,
+               case when event_type <> 'click' then 'T' || cast(user_id as varchar) end as asset,
+               cast(ts as date) as as_of_date, value as quantity, case when event_id % 3 = 0 then value end as current_price
+        from events
+    )"""
+
+ORACLES["attach_price_asof"] = f"""
+    with {_TICKS}, {_EVENT_POSITIONS}, prices as (
+        select * from ticks where event_type = 'view' and close > 0
+        qualify row_number() over (partition by ticker, price_date order by fetched_at desc, close desc) = 1
+    )
+    select holding_id, asset_class, asset, h.as_of_date, quantity,
+           coalesce(current_price, case when h.as_of_date - p.price_date <= 3 then p.close end) as current_price,
+           case when current_price is null and h.as_of_date - p.price_date <= 3 then p.price_date end as price_date
+    from held h asof left join prices p on h.asset = p.ticker and h.as_of_date >= p.price_date"""
+
+_MISSING = f"""
+    {_TICKS}, {_EVENT_POSITIONS}, needed as (
+        select distinct asset as ticker, cast(as_of_date - cast(back as integer) as date) as price_date
+        from held, range(1, 8) days(back) where asset_class = 'stock' and asset <> ''
+    ), missing as (
+        select ticker, price_date from needed where isodow(price_date) < 6
+        except select ticker, price_date from ticks where event_type = 'view' and close > 0
+    )"""
+
+ORACLES["missing_prices"] = f"with {_MISSING} select * from missing"
+ORACLES["price_fetch_plan"] = f"""
+    with {_MISSING}, numbered as (
+        select *, cast(floor((price_date - date '1970-01-05') / 7.0) * 5 as bigint) + isodow(price_date)
+                  - row_number() over (partition by ticker order by price_date) as run
+        from missing
+    )
+    select ticker, min(price_date) as first_day, max(price_date) as last_day, count(*) as days from numbered group by ticker, run"""
+
+_PAID = "case l_orderkey % 5 when 0 then null when 1 then 0 else (l_orderkey % 1000) * 100 + 25 end"
+
+ORACLES["contributions_by_exposure"] = f"""
+    with {_POSITIONS}, parts as (
+        select l_orderkey, as_of_date, institution, exposure, sum(cents) as worth, max({_PAID}) as paid from positions group by all
+    ), shares as (
+        select *, {_half_up('coalesce(paid, 0) * sum(worth) over so_far', 'sum(worth) over of_order')} as share
+        from parts window of_order as (partition by l_orderkey, as_of_date, institution),
+                          so_far as (partition by l_orderkey, as_of_date, institution order by exposure rows unbounded preceding)
+    ), parted as (
+        select *, share - lag(share, 1, 0) over (partition by l_orderkey, as_of_date, institution order by exposure) as part from shares
+    ), scoped as (
+        select as_of_date, institution, exposure, sum(part) as cents from parted group by all
+        union all select as_of_date, 'ALL', exposure, sum(part) from parted group by 1, 2, 3
+    )
+    select as_of_date, institution, exposure, cents / 100 as contribution,
+           sum(cents) over (partition by institution, exposure order by as_of_date) / 100 as to_date
+    from scoped"""
+
+ORACLES["time_weighted_return"] = f"""
+    with {_POSITIONS}, answers as (
+        select l_orderkey, as_of_date, institution, sum(cents) as cents, coalesce(max({_PAID}), 0) as paid from positions group by 1, 2, 3
+    ), scoped as (
+        select as_of_date, institution, sum(cents) as cents, sum(paid) as paid from answers group by 1, 2
+        union all select as_of_date, 'ALL', sum(cents), sum(paid) from answers group by 1
+    ), grown as (
+        select *, cents - paid as kept, lag(cents) over (partition by institution order by as_of_date) as before from scoped
+    )
+    select as_of_date, institution, {_euros('cents')} as market_value, {_euros('paid')} as contribution,
+           {_percent('kept', 'before')} as period_return,
+           round((product(case when before <> 0 then kept::double / before::double else 1.0 end)
+                  over (partition by institution order by as_of_date rows unbounded preceding) - 1) * 100, 4) as chained_return
+    from grown"""
+
+ORACLES["mart_home_ytd"] = f"""
+    with {_HOME}, kept as (select * from home_totals where month(as_of_date) % 3 <> 1), based as (
+        select *, coalesce(
+            arg_max(cents, as_of_date) over (partition by institution order by year range between unbounded preceding and 1 preceding),
+            arg_min(cents, as_of_date) over (partition by institution, year)) as base
+        from kept
+    )
+    select as_of_date, year, month_label, scope, institution, {_euros('cents')} as market_value, {_euros('base')} as base_value,
+           {_percent('cents', 'base')} as ytd_pct
+    from based"""

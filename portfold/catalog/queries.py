@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from portfold import schemas
 from portfold.catalog import inputs
 from portfold.functions import dates, numbers, text
-from portfold.operators import prices, statements, totals, views, windows
+from portfold.operators import contributions, prices, statements, totals, views, windows
 from portfold.plans import pages, reports, runs
 from portfold.plans.snapshot import position_lines, price_lines
 from portfold.sources import csv_files, store
@@ -165,8 +165,7 @@ def explode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trimmed fields of every statement line, numbers as numbers although tabs stand around them."""
-    padded = F.regexp_replace("statement", r"\| ([0-9.,]+) \|", "| \t$1\t |")
-    lines = statements.explode_lines(inputs.form(spark, sf_dir).select("as_of_date", "institution", padded.alias("statement")))
+    lines = statements.explode_lines(inputs.form(spark, sf_dir, around="\t").select("as_of_date", "institution", "statement"))
     fields = statements.normalize_fields(statements.parse_fields(lines))
     numeric = ("quantity", "avg_price", "current_price")
     return fields.withColumns({name: numbers.to_number(F.col(name)) for name in numeric}).drop("line")
@@ -529,6 +528,23 @@ def attach_price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.attach_price(events, prices.valid_closes(inputs.ticks(spark, sf_dir)))
 
 
+@query
+def attach_price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a position, priced by the newest view of the three days before it and its own day."""
+    return prices.attach_price_asof(inputs.event_positions(spark, sf_dir), inputs.view_prices(spark, sf_dir), lookback_days=3)
+
+
+@query
+def missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closes that the events held as stock need and the views lack."""
+    return prices.missing_prices(inputs.event_positions(spark, sf_dir), inputs.view_prices(spark, sf_dir))
+
+
+@query
+def price_fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.fetch_plan(missing_prices(spark, sf_dir))
+
+
 def _valid_ticks(spark: SparkSession, sf_dir: str, *, views_only: bool) -> DataFrame:
     valid = prices.valid_closes(inputs.ticks(spark, sf_dir))
     is_view = F.col("event_type") == "view"
@@ -572,12 +588,10 @@ def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mart_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form answers to snapshot, missing prices filled from a history merged from older and newer quotes."""
-    quotes = materialize(prices.valid_closes(inputs.stock_quotes(spark, sf_dir)), scratch_path(spark, "quotes"))
+    quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
     older = quotes.where(F.col("as_of_date") < F.lit(SPLIT_DAY))
     newer = quotes.where(F.col("as_of_date") >= F.lit(SPLIT_DAY))
-    history = prices.merge_prices(older, newer)
-    lines = materialize(position_lines(inputs.form(spark, sf_dir)), scratch_path(spark, "lines"))
-    snapshot = price_lines(lines, materialize(history, scratch_path(spark, "history")))
+    snapshot = price_lines(position_lines(inputs.form(spark, sf_dir)), prices.merge_prices(older, newer))
     return doubles(snapshot).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 
@@ -625,13 +639,35 @@ def mart_asset_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.asset_annual(mart_asset_line(spark, sf_dir))
 
 
+@query
+def mart_home_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the months is left out, so years begin and end with gaps."""
+    line = reports.home_line(inputs.positions(spark, sf_dir).where(F.col("month_num") % 3 != 1))
+    return doubles(reports.home_ytd(line))
+
+
+# --- contributions -------------------------------------------------------------------------------------
+
+PAID_BY = ("l_orderkey",)
+
+
+@query
+def contributions_by_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(contributions.contributions_by(inputs.paid_positions(spark, sf_dir), answer=PAID_BY))
+
+
+@query
+def time_weighted_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(contributions.time_weighted_return(inputs.paid_positions(spark, sf_dir), answer=PAID_BY))
+
+
 # --- pages ---------------------------------------------------------------------------------------------
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """A whole report run in a fresh store: its root and month."""
     root = scratch_path(spark, "store")
-    lots = inputs.positions(spark, sf_dir)
+    lots = materialize(inputs.positions(spark, sf_dir), scratch_path(spark, "lots"))
     runs.run_reports(spark, lots, root, inputs.LOT_ORDER)
     return root, store.list_months(spark, root, "home_line").first()[0]
 

@@ -29,20 +29,23 @@ def pct_change(
 
 
 def latest_per_key(
-    df: DataFrame, keys: list[str], period: str = "as_of_date", *, tiebreak: tuple[str, ...] = (),
+    df: DataFrame, keys: list[str], period: str = "as_of_date", *, tiebreak: tuple[str, ...] = (), once: bool = False,
 ) -> DataFrame:
     """The newest row of each key, ties decided by the largest ``tiebreak`` columns.
 
-    First the newest period of each key is found by a hash aggregate over those columns alone, combined on the map side;
-    then only rows of that period are ranked. The input is read twice, but never sorted as a whole, and a key that holds much
+    ``once`` reads ``df`` a single time, for frames that cost something to derive: every task ranks its own rows, and only its best row
+    of each key is shuffled and ranked again. Else ``df`` should be a stored table, and is read twice. First the newest period of each key is found by a hash aggregate over those columns alone, combined on the map side;
+    then only rows of that period are ranked. The input is never sorted as a whole, and a key that holds much
     of it sends one row per task to the aggregate. Which join brings the two together is up to Spark.
     """
+    order = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if once:
+        return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
     newest = df.groupBy(*keys).agg(F.max(period).alias(period)).select(*[F.col(c).alias(f"_{c}") for c in (*keys, period)])
     same = F.lit(True)
     for name in (*keys, period):
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    order = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.join(newest, same, "left_semi").withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -84,3 +87,21 @@ def last_points(
     newest = [F.col(name).desc_nulls_last() for name in (period, *tiebreak)]
     rank = F.row_number().over(Window.partitionBy(series).orderBy(*newest))
     return df.withColumn("_rank", rank).withColumn(into, F.when(F.col("_rank") == 1, label).otherwise(F.lit(""))).drop("_rank")
+
+
+def since_year_start(
+    df: DataFrame, keys: list[str], value: str = "market_value", day: str = "as_of_date", year: str = "year", *,
+    base: str = "base_value", into: str = "ytd_pct",
+) -> DataFrame:
+    """Percent change of ``value`` since the year began: ``base``, what the year began with, and ``into``.
+
+    A year begins with the last value of any year before; the first year of a key begins with its own first value. Meant for
+    aggregated input with one row per key and day, where a window is as long as the calendar.
+    """
+    now = exact(df, value)
+    by_year = Window.partitionBy(*keys).orderBy(year)
+    before = F.max(F.struct(F.col(day).alias("day"), now.alias("value"))).over(by_year.rangeBetween(Window.unboundedPreceding, -1))
+    first = F.first(now).over(Window.partitionBy(*keys, year).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    based = df.withColumn("_before", before).withColumn("_first", first)
+    based = based.withColumn(base, F.when(F.col("_before").isNotNull(), F.col("_before.value")).otherwise(F.col("_first")))
+    return based.withColumn(into, percent_over(now, F.col(base))).drop("_before", "_first")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from portfold.operators.statements import conform
 from portfold.operators.totals import allocation, cost_basis, label_positions, scoped_totals, total_by
-from portfold.operators.windows import latest_per_key, pct_change
+from portfold.operators.windows import latest_per_key, pct_change, since_year_start
 from portfold import schemas
 
 DAY = ["as_of_date", "year", "month_label"]
@@ -43,7 +43,13 @@ def home_line(totals: DataFrame) -> DataFrame:
 
 def home_latest(line: DataFrame) -> DataFrame:
     """The newest row of ``home_line`` per institution."""
-    return latest_per_key(line, ["institution"], tiebreak=("scope",))
+    return latest_per_key(line, ["institution"], tiebreak=("scope",), once=True)
+
+
+def home_ytd(line: DataFrame) -> DataFrame:
+    """``home_line`` with what each year began with and the change since."""
+    changed = since_year_start(line, ["institution"])
+    return changed.select("as_of_date", "year", "month_label", "scope", "institution", "market_value", "base_value", "ytd_pct")
 
 
 def home_annual(line: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def asset_line(totals: DataFrame) -> DataFrame:
 def asset_label(line: DataFrame, current: DataFrame) -> DataFrame:
     """The newest row of ``asset_line`` per asset with quantity, cost basis and return on cost."""
     keys = ["as_of_date", "institution", "asset"]
-    latest = latest_per_key(line, ["institution", "asset"], tiebreak=("market_value",))
+    latest = latest_per_key(line, ["institution", "asset"], tiebreak=("market_value",), once=True)
     labelled = label_positions(latest, cost_basis(current, keys), keys)
     return conform(labelled, schemas.ASSET_LABEL)
 

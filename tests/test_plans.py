@@ -16,7 +16,7 @@ from tests.conftest import SMALL
 
 EAGER = {  # these write files when called, so their plan says little about the query
     "scan_bronze_csv", "scan_snapshot", "scan_snapshot_quoted", "sql_stored_tables", "list_months", "read_month", "sink_full_refresh", "sink_month_overwrite",
-    "price_history_store", "price_refresh", "mart_snapshot", "page_home", "page_institution",
+    "price_history_store", "price_refresh", "page_home", "page_institution",
 }
 
 
@@ -86,7 +86,7 @@ def test_a_run_scans_the_form_once(spark, tmp_path):
     assert seen.value == 300
 
 
-WRITTEN = ["scan_bronze_csv", "list_months", "read_month", "mart_snapshot", "page_home"]
+WRITTEN = ["scan_bronze_csv", "list_months", "read_month", "sink_full_refresh", "page_home"]
 
 
 @pytest.mark.parametrize("name", WRITTEN)
