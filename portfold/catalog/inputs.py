@@ -101,6 +101,27 @@ def form(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
     )
 
 
+def damaged_form(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A form per thousand orders as a CSV file: some rows lack fields or have too many, and some files end in open quotes.
+
+    No more than a thousand lines meet in a file.
+    """
+    order = F.col("o_orderkey")
+    moment = F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss")
+    answer = F.concat(F.lit('"Stock | BERK34 | '), order.cast("string"), F.lit(' | 1,50 |\nFund ""A"" | X"'))
+    line = F.when(order % 7 == 0, F.concat(order.cast("string"), F.lit(",only"))).when(
+        order % 11 == 0, F.concat_ws(",", F.lit("x"), F.lit("y"), F.lit("XP"), answer, F.lit("1"), order.cast("string"))).otherwise(
+        F.concat_ws(",", moment, F.lit("14/03/2026"), F.lit("XP"), answer, order.cast("string")))
+    bucket = F.floor(order / 1000).cast("long")
+    files = table(spark, sf_dir, "orders").select(bucket.alias("bucket"), F.struct(order.alias("order"), line.alias("line")).alias("row"))
+    last = F.when(F.col("bucket") % 3 == 0, F.concat(F.lit('2,3,XP,"open in ""the"" middle,'), F.col("bucket").cast("string"), F.lit("\n9,9,9,9,9"))).when(
+        F.col("bucket") % 3 == 1, F.concat(F.lit("4,5,NU,answer,\"open "), F.col("bucket").cast("string"), F.lit("\n8,8,8,8,8")))
+    header = "timestamp,data_apuracao,instituicao_fin,resumo,aporte"
+    texts = files.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(
+        F.concat_ws("\n", F.lit(header), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), last).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+
+
 def stock_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of the stocks in ``form``, on the one to seven days before each month, fetched on its first."""
     lines = order_lines(spark, sf_dir)

@@ -656,3 +656,51 @@ ORACLES["mart_home_ytd"] = f"""
     select as_of_date, year, month_label, scope, institution, {_euros('cents')} as market_value, {_euros('base')} as base_value,
            {_percent('cents', 'base')} as ytd_pct
     from based"""
+
+ORACLES["scan_form_quarantine"] = r"""
+    with answers as (
+        select o_orderkey as k, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') as moment, cast(o_orderkey // 1000 as bigint) as bucket from orders
+    )
+    select case when k % 7 = 0 or k % 11 = 0 then 'ragged' else 'fits' end as reason,
+           case when k % 7 = 0 then k || ',only'
+                when k % 11 = 0 then 'x,y,XP,"Stock | BERK34 | ' || k || ' | 1,50 |' || chr(10) || 'Fund ""A"" | X",1,' || k
+                else moment || '#14/03/2026#XP#Stock | BERK34 | ' || k || ' | 1,50 |' || chr(10) || 'Fund "A" | X#' || k end as record
+    from answers
+    union all
+    select 'ragged', '2,3,XP,"open in ""the"" middle,' || bucket || chr(10) || '9,9,9,9,9' from answers where bucket % 3 = 0 group by bucket
+    union all
+    select 'unclosed', '{"timestamp":"4","data_apuracao":"5","instituicao_fin":"NU","resumo":"answer","aporte":"open ' || bucket || '\n8,8,8,8,8\n"}'
+    from answers where bucket % 3 = 1 group by bucket"""
+
+_BEFORE_SPLIT = "as_of_date < date '1998-01-01'"
+ORACLES["gated_refresh"] = f"""
+    with {_POSITIONS}
+    select attempt, published, rows, newest, worth
+    from (values ('same', true), ('grown', false)) tried(attempt, published),
+         (select count(*) as rows, max(as_of_date) as newest, {_euros('sum(cents)')} as worth from positions where {_BEFORE_SPLIT})"""
+
+ORACLES["price_history_versions"] = f"""
+    with {_TICKS}, read_by as (
+        select 1 as version, * from ticks where close > 0 and event_type = 'view'
+        union all select 2, * from ticks where close > 0
+    )
+    select price_date, ticker, close, fetched_at, as_of_date, version from read_by
+    qualify row_number() over (partition by version, ticker, price_date order by fetched_at desc, close desc) = 1"""
+
+ORACLES["incremental_reports"] = f"""
+    with line as ({ORACLES['mart_home_line']}), classes as ({ORACLES['mart_alloc_class']}), labels as ({ORACLES['mart_asset_label']})
+    select as_of_date, institution, scope as name, market_value, pct_change as detail from line
+    union all select as_of_date, institution, asset_class, market_value, null from classes
+    union all select as_of_date, institution, asset, market_value, entry_cost from labels"""
+
+ORACLES["sql_functions"] = f"""
+    with {_FORM}, {_STOCK_QUOTES}, priced as (
+        select f.month_start as as_of_date, upper(c_mktsegment) as institution, lower(typed_class) as asset_class,
+               case when typed_class = 'Stock' then upper(typed_asset) else lower(typed_asset) end as asset, quantity, avg_price,
+               coalesce(stated_price, q.close) as current_price
+        from form_lines f left join newest_quotes q on typed_class = 'Stock' and q.ticker = upper({_STOCK}) and q.priced_on = f.month_start
+    )
+    select as_of_date, institution, asset_class, asset, quantity, current_price,
+           {_percent('cast(round(current_price * 100) as bigint)', 'cast(round(avg_price * 100) as bigint)')} as gain,
+           {_brl(_euros('cast(round(current_price * 100) as bigint) * cast(quantity as bigint)'))} as worth
+    from priced"""

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from portfold import schemas
 from portfold.catalog import inputs
-from portfold.functions import dates, numbers, text
-from portfold.operators import contributions, prices, statements, totals, views, windows
+from portfold.functions import dates, numbers, sql, text
+from portfold.operators import contributions, gates, prices, statements, totals, views, windows
 from portfold.plans import pages, reports, runs
 from portfold.plans.snapshot import position_lines, price_lines
-from portfold.sources import csv_files, store
+from portfold.sources import csv_files, store, versions
 from portfold.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,16 @@ def scan_snapshot_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_files.scan_snapshot(spark, path).select("institution", "asset", "quantity")
 
 
+@query
+def scan_form_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged form files scanned once: the statements that fit, and the records that don't, with the reason."""
+    path = scratch_path(spark, "form")
+    inputs.damaged_form(spark, sf_dir, path)
+    checked = csv_files.scan_checked(spark, path, scratch_path(spark, "checked"))
+    good = checked.good.select(F.lit("fits").alias("reason"), F.concat_ws("#", *schemas.FORM.names).alias("record"))
+    return good.unionByName(checked.bad.select("reason", "record"))
+
+
 def _monthly_store(spark: SparkSession, sf_dir: str) -> str:
     """A store whose home_line table has one partition per month of data."""
     root = scratch_path(spark, "store")
@@ -134,6 +144,32 @@ def sink_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(spark.read.schema(reduced.schema).parquet(store.write_full(reduced, path)))
 
 
+@query
+def gated_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publish the positions up to a day through gates, then try all of them, whose value has grown too much: the first stay.
+
+    One row per attempt: whether it was published, and what the gates measured; and the rows that are in force at the end.
+    """
+    path = scratch_path(spark, "snapshot")
+    lots = inputs.positions(spark, sf_dir).select("as_of_date", "institution", "market_value")
+    checks = gates.snapshot_gates(least_rows=10, newest=SPLIT_DAY - dt.timedelta(days=31), unpriced=0.0)
+    store.write_full(lots.where(F.col("as_of_date") < F.lit(SPLIT_DAY)), path, checks)
+    first = spark.read.schema(lots.schema).parquet(store.full_path(spark, path))
+    worth = first.agg(F.sum("market_value")).first()[0]
+    bound = gates.Gate("worth", F.sum("market_value"), greatest=worth)
+    attempts = []
+    for name, rows in (("same", first), ("grown", lots)):
+        try:
+            store.write_full(rows, path, [*checks, bound])
+            attempts.append((name, True))
+        except gates.GateError:
+            attempts.append((name, False))
+    current = spark.read.schema(lots.schema).parquet(store.full_path(spark, path))
+    held = current.agg(F.count(F.lit(1)).alias("rows"), F.max("as_of_date").alias("newest"), F.sum("market_value").cast("double").alias("worth"))
+    tried = spark.createDataFrame(attempts, "attempt string, published boolean")
+    return tried.join(held)
+
+
 @query
 def sink_month_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write two runs of a table, write the first again with other values, and read both."""
@@ -569,6 +605,17 @@ def price_history_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
+@query
+def price_history_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of the first version and one of the second find, after both were merged."""
+    path = scratch_path(spark, "prices")
+    for views_only in (True, False):
+        store.upsert_prices(spark, path, _as_stored(_valid_ticks(spark, sf_dir, views_only=views_only)))
+    found = [versions.read(spark, path, schemas.PRICES, versions.manifest(spark, path, n)).withColumn("version", F.lit(n)) for n in (1, 2)]
+    both = found[0].unionByName(found[1])
+    return both.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
 def _as_stored(quotes: DataFrame) -> DataFrame:
     return quotes.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
 
@@ -646,6 +693,26 @@ def mart_home_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(reports.home_ytd(line))
 
 
+@query
+def incremental_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months added in three runs, the last of them delivering a month in the middle again: lines, allocation and labels."""
+    lots = materialize(inputs.positions(spark, sf_dir), scratch_path(spark, "lots"))
+    root, day = scratch_path(spark, "store"), F.col("as_of_date")
+    again = day == F.lit(SPLIT_DAY)
+    wrong = lots.where(again).withColumn("market_value", (F.col("market_value") * 2).cast(inputs.MONEY))
+    for part in (lots.where(day < F.lit(SPLIT_DAY)).unionByName(wrong), lots.where(day > F.lit(SPLIT_DAY)), lots.where(again)):
+        runs.add_months(spark, part, root, inputs.LOT_ORDER)
+    month = store.list_months(spark, root, "home_line").first()[0]
+    stored = {name: store.read_month(spark, root, name, schemas.REPORTS[name], month) for name in ("home_line", "alloc_class", "asset_label")}
+    shape = ("as_of_date", "institution", "name", "market_value", "detail")
+    parts = [
+        stored["home_line"].select("as_of_date", "institution", F.col("scope").alias("name"), "market_value", F.col("pct_change").alias("detail")),
+        stored["alloc_class"].select("as_of_date", "institution", F.col("asset_class").alias("name"), "market_value", F.lit(None).cast("double").alias("detail")),
+        stored["asset_label"].select("as_of_date", "institution", F.col("asset").alias("name"), "market_value", F.col("entry_cost").alias("detail")),
+    ]
+    return parts[0].select(*shape).union(parts[1].select(*shape)).union(parts[2].select(*shape))
+
+
 # --- contributions -------------------------------------------------------------------------------------
 
 PAID_BY = ("l_orderkey",)
@@ -686,6 +753,36 @@ def sql_stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+@query
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements parsed, priced and formatted in SQL alone."""
+    sql.register(spark)
+    quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
+    return spark.sql("""
+        WITH lines AS (
+            SELECT to_date(as_of_date, 'dd/MM/yyyy') AS as_of_date, institution,
+                   explode(split(replace(replace(statement, '\\r\\n', '\\n'), '\\r', '\\n'), '\\n')) AS line
+            FROM {form}
+        ), fields AS (
+            SELECT as_of_date, upper(institution) AS institution, split(line, '[|]') AS f FROM lines
+        ), typed AS (
+            SELECT as_of_date, institution, lower(ptbr_decimal(get(f, 0))) AS asset_class, asset_name(ptbr_decimal(get(f, 1)), ptbr_decimal(get(f, 0))) AS asset,
+                   lenient_number(ptbr_decimal(get(f, 2))) AS quantity, lenient_number(ptbr_decimal(get(f, 3))) AS avg_price,
+                   lenient_number(ptbr_decimal(get(f, 4))) AS stated
+            FROM fields
+        ), newest AS (
+            SELECT market_symbol(ticker) AS symbol, as_of_date, max_by(close, struct(price_date, fetched_at, close)) AS close
+            FROM {quotes} GROUP BY ALL
+        ), priced AS (
+            SELECT t.*, coalesce(stated, close) AS current_price
+            FROM typed t LEFT JOIN newest q ON market_symbol(t.asset) = q.symbol AND t.as_of_date = q.as_of_date
+        )
+        SELECT as_of_date, institution, asset_class, asset, quantity, current_price, percent_over(current_price, avg_price) AS gain,
+               brl(CAST(round(CAST(current_price AS DECIMAL(18,4)) * CAST(quantity AS DECIMAL(18,4)), 2) AS DOUBLE)) AS worth
+        FROM priced
+    """, form=inputs.form(spark, sf_dir), quotes=quotes)
+
+
 def _section(section: str, df: DataFrame, **columns: str) -> DataFrame:
     """A page part in the common shape (section, day, name, detail, value, pct, label)."""
     shape = {"day": "date", "name": "string", "detail": "string", "value": "double", "pct": "double", "label": "string"}

@@ -1,20 +1,24 @@
 """The store: one folder per table, report tables partitioned by the month of their run.
 
     <root>/snapshot/v<time>/              full refresh, the newest complete version counts
-    <root>/prices/price_month=YYYYMM/     merged, only the months a batch touches are rewritten
+    <root>/prices/                        months in versions, only the months a batch touches are rewritten
+    <root>/state/                         partial sums by month, for runs that add months
     <root>/<report>/yyyymm=YYYYMM/        one run; other months stay untouched
 """
 
 import re
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portfold.functions.dates import yyyymm
+from portfold.operators.gates import Gate, GateError, check, observed
 from portfold.operators.prices import merge_prices
 from portfold.schemas import PRICES, REPORTS, SNAPSHOT
+from portfold.sources import versions
 from portfold.sources.scratch import materialize, scratch_folder
 
 MONTH = "yyyymm"
@@ -66,17 +70,27 @@ def full_path(spark: SparkSession, path: str) -> str:
     return versions[-1]
 
 
-def write_full(df: DataFrame, path: str) -> str:
+def write_full(df: DataFrame, path: str, gates: Sequence[Gate] = ()) -> str:
     """Full refresh: write a new version of the table under ``path`` and return where it is.
 
-    Nothing is renamed. The new version takes over when Spark puts its success mark, the last step of the write, so a
+    Nothing is renamed. The new version takes over when its success mark is put, the last step of the write, so a
     job that fails or dies at any point leaves the old version in force, and ``df`` may read from it. The version before stays
     for readers that still have it open; older ones, and what failed writes left behind, are deleted.
+
+    ``gates`` are measured by the write itself. If one breaks, the new version gets no mark and is deleted, and ``GateError`` is raised.
     """
     spark = df.sparkSession
     before = _versions(spark, path)
     new = f"{path}/v{time.time_ns():020d}"
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(new)
+    rows, observation = observed(df, list(gates)) if gates else (df, None)
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(not gates).lower()).parquet(new)
+    if observation:
+        try:
+            check(list(gates), observation.get)
+        except GateError:
+            _files(spark, new).delete(spark._jvm.org.apache.hadoop.fs.Path(new), True)
+            raise
+        _files(spark, new).create(spark._jvm.org.apache.hadoop.fs.Path(f"{new}/_SUCCESS")).close()
     if not _exists(spark, f"{new}/_SUCCESS"):
         raise OSError(f"{new} was written without a success mark")
     for name in _folders(spark, path):
@@ -139,34 +153,28 @@ def register_views(spark: SparkSession, root: str, month: str | None = None) ->
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """The price history, empty if there is none yet."""
-    return _read_price_months(spark, path).drop(PRICE_MONTH)
-
-
-def _read_price_months(spark: SparkSession, path: str) -> DataFrame:
-    full = T.StructType([*PRICES.fields, T.StructField(PRICE_MONTH, T.StringType())])
-    return spark.read.schema(full).parquet(path) if _exists(spark, path) else spark.createDataFrame([], full)
+    """The price history, empty if there is none yet: the version that is newest now, whatever is merged later."""
+    return versions.read(spark, path, PRICES)
 
 
 def upsert_prices(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
     """Merge a batch into the stored price history and return the new history.
 
-    Only the price months found in the batch are read and rewritten. The merged months are first written to
-    the shared scratch folder: the step that replaces them does not read what it replaces, and can be run
-    again after a failure. Merging the same batch twice changes nothing.
+    Only the price months found in the batch are read and written anew. The new months count from the commit of their manifest, so
+    readers see the history before the merge or after it. Of two merges at once the later one builds on the earlier one.
+    Merging the same batch twice changes nothing.
     """
     with scratch_folder(spark) as scratch:
         batch = materialize(batch.select(*PRICES.names), f"{scratch}/batch")
-        months = batch.select(yyyymm(F.col("price_date")).alias(PRICE_MONTH)).distinct()
-        first, last = months.agg(F.min(PRICE_MONTH), F.max(PRICE_MONTH)).first()
-        if first is None:
+        label = versions.month_of(F.col("price_date"), yyyymm)
+        # No more rows than the calendar has months.
+        months = {row[0] for row in batch.select(label).distinct().collect()}
+        if not months:
             return read_prices(spark, path)
-        stored = _read_price_months(spark, path).where(F.col(PRICE_MONTH).between(first, last))
-        touched = stored.join(months, PRICE_MONTH, "left_semi")
-        merged = merge_prices(touched.select(*PRICES.names), batch)
-        staged = materialize(merged.withColumn(PRICE_MONTH, yyyymm(F.col("price_date"))), f"{scratch}/merged")
-        (
-            staged.hint("rebalance", PRICE_MONTH)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PRICE_MONTH).parquet(path)
-        )
-    return read_prices(spark, path)
+
+        def merged(of: versions.Manifest) -> DataFrame:
+            touched = versions.read(spark, path, PRICES, of, months)
+            return merge_prices(touched, batch).withColumn(PRICE_MONTH, label)
+
+        now = versions.update(spark, path, months, merged, PRICE_MONTH)
+    return versions.read(spark, path, PRICES, now)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portfold import schemas
-from portfold.sources import csv_files, scratch, spread, store
+from portfold.sources import csv_files, scratch, spread, store, versions
 
 MARCH, APRIL = dt.date(2026, 3, 14), dt.date(2026, 4, 14)
 
@@ -138,12 +138,13 @@ def test_price_upsert_touches_its_months_only(spark, tmp_path):
     assert store.read_prices(spark, path).count() == 0
     jan, feb, mar = dt.date(2026, 1, 30), dt.date(2026, 2, 2), dt.date(2026, 3, 2)
     store.upsert_prices(spark, path, prices_of(spark, [(jan, "A", 1.0, feb), (feb, "A", 2.0, feb), (mar, "A", 3.0, mar)]))
-    untouched = files_of(f"{path}/price_month=202602")
+    february = versions.manifest(spark, path).months["202602"]
+    untouched = files_of(f"{path}/{february}")
     batch = prices_of(spark, [(jan, "A", 9.0, mar), (jan, "B", 4.0, mar), (mar, "A", 8.0, feb)])
     expected = [("A", jan, 9.0), ("A", feb, 2.0), ("A", mar, 3.0), ("B", jan, 4.0)]
     assert history(store.upsert_prices(spark, path, batch)) == sorted(expected)
     assert history(store.upsert_prices(spark, path, batch)) == sorted(expected)
-    assert files_of(f"{path}/price_month=202602") == untouched
+    assert versions.manifest(spark, path).months["202602"] == february and files_of(f"{path}/{february}") == untouched
     assert history(store.upsert_prices(spark, path, batch.limit(0))) == sorted(expected)
 
 
