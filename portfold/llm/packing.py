@@ -10,18 +10,22 @@ each into the cheapest sequence that has room for it; one that fits nowhere is c
 are as many sequences as the tokens need, so a window leaves less than one sequence of padding.
 
 Ids are looked up per space-parted word, as no token of this vocabulary spans a space that stands between
-two other characters; a word that is not in the task's table of known words is encoded by the library. The table holds
-``KNOWN_WORDS`` words at most; the bound only decides what is encoded again.
+two other characters. Words that a task doesn't know yet are gathered over ``GROUP_CHARS`` of texts, cut as the vocabulary cuts them
+into letters, digits, marks and line ends where they hold none but plain characters, and only what is new of these pieces is encoded by
+the library, in one call. Both tables of a worker hold ``KNOWN_BYTES`` at most and are emptied beyond that; the bound only
+decides what is encoded again.
 
 Defined results: null text is empty, and a document without tokens is its end token; strings of special tokens in a text
 are ordinary text; null and repeated ids and repeated rows are packed like others; an empty table gives an empty
 result.
 """
 
+import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,16 @@ END = 1
 WINDOW_TOKENS = 1 << 21
 LINEAR = 1.0
 QUADRATIC = 1.0 / 8192
-KNOWN_WORDS = 2_000_000
-_KNOWN_LENGTH = 64
-_SLICE_CHARS = 1 << 20
+KNOWN_BYTES = 384 << 20
+GROUP_CHARS = 1 << 22
+_ENTRY_BYTES = 160
 # White space other than the plain space and the line end, ASCII and all.
 _OTHER_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# How the vocabulary cuts words of the characters of _SIMPLE, which are letters, digits, marks, spaces and line ends.
+_SIMPLE = re.compile(r"[\n -~À-ɏ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~×÷]+|\s+(?!\S)|\s+")
 
 
 def _plainly_spaced(text: str) -> bool:
@@ -58,46 +65,45 @@ def cost(tokens: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
-    def __init__(self, vocabulary: str, known_words: int = KNOWN_WORDS) -> None:
+    def __init__(self, vocabulary: str, known_bytes: int = KNOWN_BYTES) -> None:
+        # One thread per task: Spark runs as many tasks as there are cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.room = known_words
-
-    def _encoded(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
-        if len(text) <= _SLICE_CHARS:
-            return self._slice(text)
-        ids, start = [], 0
-        while len(text) - start > _SLICE_CHARS:
-            cut = _PLAIN_SPACE.search(text, start + _SLICE_CHARS)
-            if not cut:
-                break
-            ids.append(self._slice(text[start:cut.start()]))
-            start = cut.start()
-        return b"".join([*ids, self._slice(text[start:])])
-
-    def _slice(self, text: str) -> bytes:
-        """Words with the space before them are encoded alike alone and in the text; they are known by the word."""
-        parts = text.split(" ") if _plainly_spaced(text) else _PLAIN_SPACE.split(text)
-        ids = list(map(self.known.get, parts))
-        ids[0] = None  # the first word has no space before it
-        missing, at = [0], 0
-        for _ in range(ids.count(None) - 1):
-            at = ids.index(None, at + 1)
-            missing.append(at)
-        found = self._encoded([parts[0], *[" " + parts[i] for i in missing[1:]]])
-        for i, x in zip(missing, found, strict=True):
-            ids[i] = x
-            if i and self.room > 0 and len(parts[i]) <= _KNOWN_LENGTH:
-                self.known[parts[i]] = x
-                self.room -= 1
-        return b"".join(ids)
+        self.words: dict[str, bytes] = {}  # by the word, with the space before it
+        self.pieces: dict[str, bytes] = {}
+        self.room = self.known_bytes = known_bytes
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts words, each with the space before it, into the table."""
+        simple, findall = _SIMPLE.fullmatch, _PIECES.findall
+        cut = [findall(" " + w) if simple(w) else [" " + w] for w in words]
+        self._learn_pieces(set(chain.from_iterable(cut)))
+        ids_of, pieces = self.words, self.pieces
+        for w, parts in zip(words, cut, strict=True):
+            ids_of[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        self.room -= len(words) * _ENTRY_BYTES + sum(map(len, words)) + sum(len(ids_of[w]) for w in words)
+
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        new = list(wanted.difference(self.pieces))
+        ids = [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.pieces.update(zip(new, ids, strict=True))
+        self.room -= len(new) * _ENTRY_BYTES + sum(map(len, new)) + sum(map(len, ids))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text. What it needs grows with the texts' size, so pass some megabytes at a time."""
+        if not texts:
+            return []
+        if self.room < 0:
+            self.words.clear()
+            self.pieces.clear()
+            self.room = self.known_bytes
+        parted = [t.split(" ") if _plainly_spaced(t) else _PLAIN_SPACE.split(t) for t in texts]
+        self._learn(list(set(chain.from_iterable([parts[1:] for parts in parted])).difference(self.words)))
+        self._learn_pieces({parts[0] for parts in parted})  # no space stands before the first word
+        return [b"".join([self.pieces[parts[0]], *map(self.words.__getitem__, parts[1:])]) for parts in parted]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -110,6 +116,30 @@ def _encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
+def _slices(text: str) -> Iterator[str]:
+    """The text, cut at plain spaces where it is longer than a group; ids of slices follow each other as in the text."""
+    start = 0
+    while len(text) - start > GROUP_CHARS and (cut := _PLAIN_SPACE.search(text, start + GROUP_CHARS)):
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def _encoded(encoder: Encoder, texts: Iterable[str]) -> Iterator[bytes]:
+    """The ids of every text, group by group."""
+    group, chars = [], 0
+    for text in texts:
+        if chars and chars + len(text) > GROUP_CHARS:
+            yield from encoder.encode(group)
+            group, chars = [], 0
+        if len(text) > GROUP_CHARS:
+            yield b"".join([encoder.encode([part])[0] for part in _slices(text)])
+            continue
+        group.append(text)
+        chars += len(text)
+    yield from encoder.encode(group)
+
+
 def packed(lengths: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     """Pieces (document, start, tokens, sequence) of documents with these token counts; sequences from 0.
 
@@ -195,8 +225,8 @@ def pack(
 
         for batch in batches:
             begun = 0
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                docs.append(encoder.encode(value or "") + close)
+            for i, ids in enumerate(_encoded(encoder, (t.as_py() or "" for t in batch.column(1)))):
+                docs.append(ids + close)
                 waiting += len(docs[-1]) // 4
                 if waiting >= window_tokens:
                     names.append(batch.column(0).slice(begun, i + 1 - begun))

@@ -29,21 +29,26 @@ TEXTS = [
 
 
 def test_ids_are_those_of_the_library(tokenizer):
-    encoder = packing.Encoder(VOCABULARY, known_words=3)
     rng = random.Random(1)
-    pieces = [*TEXTS, " ", "\n", "  ", "word", " 's", "é", "　"]
-    texts = TEXTS + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
-    for text in texts * 2:
-        expected = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected, repr(text)
+    pieces = [*TEXTS, " ", "\n", "  ", "word", " 's", "é", "　", "\n\n", "!'s", "'ll", "×÷", "Ł1ß", "ᴀ"]
+    texts = TEXTS + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for known_bytes in (0, packing.KNOWN_BYTES):  # the tables are emptied before each call, or kept
+        encoder = packing.Encoder(VOCABULARY, known_bytes)
+        for step in (1, 7, len(texts), len(texts)):
+            found = [ids for k in range(0, len(texts), step) for ids in encoder.encode(texts[k:k + step])]
+            for text, ids, want in zip(texts, found, expected, strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
+    assert encoder.room > 0 and packing.Encoder(VOCABULARY, 0).encode([]) == []
 
 
 def test_long_texts_in_slices(tokenizer, monkeypatch):
-    text = "some words  here, and\nmore of them " * 300
-    expected = tokenizer.encode(text, add_special_tokens=False).ids
-    for size in (1, 10, 333):
-        monkeypatch.setattr(packing, "_SLICE_CHARS", size)
-        assert np.frombuffer(packing.Encoder(VOCABULARY).encode(text), "<u4").tolist() == expected
+    texts = ["short one", "some words  here, and\nmore of them " * 300, "", "x" * 500, "last"]
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for size in (1, 10, 333, 10**6):
+        monkeypatch.setattr(packing, "GROUP_CHARS", size)
+        found = list(packing._encoded(packing.Encoder(VOCABULARY), texts))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == expected
 
 
 def checked_packing(rows, docs, tokenizer, length):
