@@ -129,7 +129,7 @@ def _encoded(encoder: Encoder, texts: Iterable[str]) -> Iterator[bytes]:
     """The ids of every text, group by group."""
     group, chars = [], 0
     for text in texts:
-        if chars and chars + len(text) > GROUP_CHARS:
+        if group and chars + len(text) > GROUP_CHARS:
             yield from encoder.encode(group)
             group, chars = [], 0
         if len(text) > GROUP_CHARS:
