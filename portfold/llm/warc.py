@@ -112,7 +112,7 @@ def _until_blank(lines: Iterator[bytes]) -> bytes:
 class _Stream:
     """Records one after the other: a plain file, or what a file of any gzip members inflates to."""
 
-    def __init__(self, file: io.BufferedReader) -> None:
+    def __init__(self, file: io.BufferedReader | gzip.GzipFile) -> None:
         self.file, self.left = file, 0
 
     def next(self) -> dict[str, str] | None:
@@ -128,7 +128,7 @@ class _Stream:
         return parsed
 
     def _skip(self, size: int) -> None:
-        if size and not isinstance(self.file.raw if isinstance(self.file, io.BufferedReader) else self.file, gzip.GzipFile):
+        if size and isinstance(self.file, io.BufferedReader):
             self.file.seek(size, io.SEEK_CUR)
             return
         while size > 0:
@@ -136,9 +136,13 @@ class _Stream:
             size = size - step if step else 0
 
     def http_head(self) -> bytes:
-        head = _until_blank(self.file.readline(self.left) for _ in iter(lambda: self.left > 0, False))
-        self.left -= len(head)
-        return head
+        taken = []
+        while self.left and (not taken or taken[-1] not in (b"\r\n", b"\n")):
+            taken.append(self.file.readline(self.left))
+            if not taken[-1]:
+                raise ValueError("the file ends within a record")
+            self.left -= len(taken[-1])
+        return b"".join(taken)
 
     def rest(self) -> bytes:
         block = self.file.read(self.left)
