@@ -1,6 +1,10 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-from portfold.llm.quality_rules import FENCE, MEASURES
+# The measures of the quality rules: least spread, whether a low value fails too, whether the measure belongs to the language.
+_MEASURES = {
+    "symbols_per_1000_words": (40, False, False), "dup_lines_per_1000_lines": (120, False, False), "repeats_per_1000_words": (100, False, False),
+    "uppercase_per_1000_chars": (60, False, True), "marks_per_1000_words": (100, False, False), "chars_per_100_words": (60, True, True),
+}
 
 _EXACT = """
 select doc_id, max(doc_id) over copies as keep_id, count(*) over copies as group_size,
@@ -10,20 +14,22 @@ window copies as (partition by coalesce(text, ''))
 """
 
 
-def _rules(least_rows: int = 200) -> str:
+def _rules() -> str:
     """The rules in SQL: words and windows by position, sketches as counted buckets, fences by group, language and table."""
-    measures = list(MEASURES)
+    measures = list(_MEASURES)
     long = " union all ".join(f"select lang_key, source_key, '{m}' as measure, {m} as v from measured" for m in measures)
-    columns, inside = [], []
-    for m, (resolution, both) in MEASURES.items():
+    columns, inside, languages, chosen = [], [], [], []
+    for m, (resolution, both, of_language) in _MEASURES.items():
         q25, q75 = (f"max({q}) filter (where measure = '{m}')" for q in ("q25", "q75"))
         spread = f"greatest({q75} - {q25}, {resolution})"
-        low = f"{q25} - {FENCE} * {spread}" if both else "-1"
-        columns += [f"{low} as {m}_low", f"{q75} + {FENCE} * {spread} as {m}_high"]
+        low = f"greatest({q25} - 3 * {spread}, 0)" if both else "0"
+        columns += [f"{low} as {m}_low", f"{q75} + 3 * {spread} as {m}_high"]
         inside.append(f"{m} between f.{m}_low and f.{m}_high")
-    ends = [f"{m}_{end}" for m in measures for end in ("low", "high")]
-    chosen = ", ".join(
-        f"case when g.rows >= {least_rows} then g.{e} when l.rows >= {least_rows} then l.{e} else a.{e} end as {e}" for e in ends)
+        for e, wider in ((f"{m}_low", "least"), (f"{m}_high", "greatest")):
+            mean = f"(l.{e} * l.rows + a.{e} * 50) // (l.rows + 50)"
+            languages.append(f"{wider}({mean}, l.{e}) as {e}" if of_language else f"{mean} as {e}")
+            chosen.append(f"(g.{e} * g.rows + l.{e} * 50) // (g.rows + 50) as {e}")
+    languages, chosen = ", ".join(languages), ", ".join(chosen)
     return f"""
 with docs as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce('=' || lang, 'null') as lang_key,
@@ -73,10 +79,10 @@ with docs as (
 ), fences as (
   select level, lang_key, source_key, max(rows) as rows, {", ".join(columns)}
   from quartiles group by level, lang_key, source_key
+), languages as (
+  select l.lang_key, {languages} from fences l, fences a where l.level = 1 and a.level = 2
 ), chosen as (
-  select g.lang_key, g.source_key, {chosen}
-  from fences g left join fences l on l.level = 1 and l.lang_key = g.lang_key left join fences a on a.level = 2
-  where g.level = 0
+  select g.lang_key, g.source_key, {chosen} from fences g join languages l on l.lang_key = g.lang_key where g.level = 0
 ), judged as (
   select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {" and ".join(inside)} as inside
   from measured m join chosen f on m.lang_key = f.lang_key and m.source_key = f.source_key

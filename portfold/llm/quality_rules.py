@@ -4,7 +4,10 @@ Every document gets integer measures of its whole text. Per language, source and
 the documents in buckets whose width is 1/64 of their value or less (exact below 128). Such sketches merge by adding
 counts, in any order and with the same result, so a hot source is combined on the map side, and the sketches of all
 sources of a language merge to the sketch of the language, and those of all languages to one of the whole table.
-A group with fewer than ``least_rows`` documents borrows the thresholds of its language, or of the table.
+No group's thresholds change abruptly with its size: a source's fence is the mean of its own and its language's, weighed by the
+group's rows against ``prior_rows``, and a language's fence likewise of its own and the whole table's. Where a measure belongs to the
+language, as the length of words and the share of capitals do, no language is judged by others: the wider of its own fence
+and that mean counts.
 
 Thresholds are far-out fences around the quartiles: a document is rejected if a measure lies above
 q75 + 3 * spread, or, for the length of words, below q25 - 3 * spread. The spread is the quartile distance, but at least
@@ -24,16 +27,17 @@ from pyspark.sql import functions as F
 
 from portfold.llm.support import WHITE_SPACE, let, without, words, written
 
-# Measure: resolution (least spread), and whether small values are rejected too.
+# Measure: resolution (least spread), whether small values are rejected too, and whether it belongs to the language.
 MEASURES = {
-    "symbols_per_1000_words": (40, False),
-    "dup_lines_per_1000_lines": (120, False),
-    "repeats_per_1000_words": (100, False),
-    "uppercase_per_1000_chars": (60, False),
-    "marks_per_1000_words": (100, False),
-    "chars_per_100_words": (60, True),
+    "symbols_per_1000_words": (40, False, False),
+    "dup_lines_per_1000_lines": (120, False, False),
+    "repeats_per_1000_words": (100, False, False),
+    "uppercase_per_1000_chars": (60, False, True),
+    "marks_per_1000_words": (100, False, False),
+    "chars_per_100_words": (60, True, True),
 }
 FENCE = 3
+PRIOR_ROWS = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # The characters that count as symbols, and those that count as loud marks.
 SYMBOLS = "#*$%&|<>"
@@ -138,14 +142,14 @@ def quartiles(merged: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", *, least_rows: int = 200) -> DataFrame:
+def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", *, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row per language and source: its rows, and ``<measure>_low`` and ``<measure>_high`` for each measure."""
     found = quartiles(sketches(df, lang, source))
     columns = []
-    for measure, (resolution, both) in MEASURES.items():
+    for measure, (resolution, both, _) in MEASURES.items():
         of = lambda name, m=measure: F.max(F.when(F.col("measure") == m, F.col(name)))
         spread = F.greatest(of("q75") - of("q25"), F.lit(resolution).cast("long"))
-        low = of("q25") - FENCE * spread if both else F.lit(-1).cast("long")
+        low = F.greatest(of("q25") - FENCE * spread, F.lit(0).cast("long")) if both else F.lit(0).cast("long")
         columns += [low.alias(f"{measure}_low"), (of("q75") + FENCE * spread).alias(f"{measure}_high")]
     fences = written(
         found.groupBy("level", "lang_key", "source_key").agg(F.max("rows").alias("rows"), *columns), "fences")
@@ -156,16 +160,25 @@ def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", *, lea
         # "table" is 2 on every level; as it is computed from the rows, Spark keeps it as a join key.
         return fences.where(F.col("level") == k).select(*keys, (F.col("level") + (2 - k)).alias("table"), packed)
 
-    languages = level(1, "lang_key").drop("table")
-    groups = level(0, "lang_key", "source_key").join(languages, "lang_key", "left").join(level(2), "table", "left")
-    chosen = F.when(F.col("level0.rows") >= least_rows, F.col("level0")).when(
-        F.col("level1.rows") >= least_rows, F.col("level1")).otherwise(F.col("level2"))
+    def mean(own: str, other: Column, name: str) -> Column:
+        total = F.col(f"{own}.{name}") * F.col(f"{own}.rows") + other * prior_rows
+        return F.floor(total / (F.col(f"{own}.rows") + prior_rows)).cast("long")
+
+    languages = []
+    for measure, (_, _, of_language) in MEASURES.items():
+        for end, wider in (("low", F.least), ("high", F.greatest)):
+            name = f"{measure}_{end}"
+            borrowed = mean("level1", F.col(f"level2.{name}"), name)
+            languages.append((wider(borrowed, F.col(f"level1.{name}")) if of_language else borrowed).alias(name))
+    of_languages = level(1, "lang_key").join(level(2), "table").select("lang_key", F.struct(*languages).alias("language"))
+    groups = level(0, "lang_key", "source_key").join(of_languages, "lang_key")
+    chosen = F.struct(*[mean("level0", F.col(f"language.{name}"), name).alias(name) for name in names])
     return groups.select("lang_key", "source_key", F.col("level0.rows").alias("group_rows"), chosen.alias("fence"))
 
 
-def _judged(rows: DataFrame, least_rows: int) -> DataFrame:
+def _judged(rows: DataFrame, prior_rows: int) -> DataFrame:
     """Measured rows with ``base_failed`` and ``kept``."""
-    fences = thresholds(rows, least_rows=least_rows)
+    fences = thresholds(rows, prior_rows=prior_rows)
     keyed = rows.withColumns({"lang_key": _key("lang"), "source_key": _key("source")})
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
@@ -176,16 +189,16 @@ def _judged(rows: DataFrame, least_rows: int) -> DataFrame:
 
 def apply_rules(
     df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *, doc_id: str = "doc_id",
-    least_rows: int = 200,
+    prior_rows: int = PRIOR_ROWS,
 ) -> DataFrame:
     """Ids with counts, measures, ``base_failed`` and ``kept``; one row per row of ``df``."""
     slim = df.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    judged = _judged(written(measured(slim), "measures"), least_rows)
+    judged = _judged(written(measured(slim), "measures"), prior_rows)
     return judged.select(F.col("_id").alias(doc_id), *COUNTS, "base_failed", "kept", *MEASURES)
 
 
 def keep_good(
-    df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *, least_rows: int = 200,
+    df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *, prior_rows: int = PRIOR_ROWS,
 ) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns.
 
@@ -196,4 +209,4 @@ def keep_good(
         F.struct(*names).alias("_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"),
     )
     rows = written(measured(rows), "measures")
-    return _judged(rows, least_rows).where("kept").select("_row.*")
+    return _judged(rows, prior_rows).where("kept").select("_row.*")

@@ -60,7 +60,21 @@ def test_rules_reject_outliers_of_their_group_only(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(frame).collect()}
     assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
     assert not kept[5000]
-    assert kept[5001]  # too small a group: the whole table's fences, where half the rows are loud
+    assert kept[5001]  # too small a group: mostly the whole table's fences, where half the rows are loud
+
+
+def test_no_group_size_changes_verdicts_abruptly(spark):
+    """Clean documents of a language with long words, beside many with short ones, stay at any number."""
+    def text(word, i):
+        return " ".join(f"{word}{k}" for k in range(80)) + f" tail{i}"
+    many = [(i, text("word", i), "en", "web") for i in range(2000)]
+    for size in (1, 199, 200):
+        few = [(10_000 + i, text("langwortlangwort", i), "xx", "web") for i in range(size)]
+        junk = [(20_000 + i, " ".join(f"ab{k}###" for k in range(80)), "xx", "spam") for i in range(3 if size > 1 else 0)]
+        frame = spark.createDataFrame(many + few + junk, "doc_id long, text string, lang string, source string")
+        kept = {r["doc_id"] for r in quality_rules.apply_rules(frame).where("kept").collect()}
+        assert len(kept & {r[0] for r in few}) == size and len(kept & {r[0] for r in many}) == 2000
+        assert not kept & {r[0] for r in junk}
 
 
 def test_sketches_merge(spark, small_docs):
