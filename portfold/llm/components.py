@@ -1,11 +1,16 @@
 """Connected components of a graph of links, by alternating large and small stars."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portfold.llm.support import written
 
 
+def _text(name: str) -> Column:
+    """The node as text: joined by it, the partitioning of an aggregate is not reused, and Spark may split a hub."""
+    return F.col(name).cast("string")
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -13,15 +18,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     pairs = _both_ways(edges)
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(_text("u").alias("k"), F.least("u", "m").alias("m"))
+    return pairs.where("v > u").join(least, _text("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    keyed = least.select(_text("u").alias("k"), "m")
+    tied = down.join(keyed, _text("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v")))
 
 

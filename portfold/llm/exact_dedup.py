@@ -94,24 +94,23 @@ def drop_copies(
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Of repeated rows with the id that stays, the one with the smallest other columns is taken, column by column.
+    Of repeated rows with the id that stays, the one whose columns are smallest as JSON is taken.
     """
     _checked(keep)
     _, groups = _groups(_hashed(df, doc_id, text, content_hash), keep)
-    stays = written(groups.select(*[F.col(c).alias(f"_{c}") for c in groups.columns]), "groups")
-    rows = df.withColumn("_content_hash", content_hash(_text(text)))
+    stays = written(groups, "groups")
+    # The caller's columns travel as one struct, so that none can clash with the names used here.
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), content_hash(_text(text)).alias("hash_of_row"))
+    id_, whole = F.col("row")[doc_id], F.coalesce(F.col("row")[text], F.lit(""))
 
     def joined(side: DataFrame) -> DataFrame:
-        same = (
-            (rows["_content_hash"] == side["_hash"]) & rows[doc_id].eqNullSafe(side["_keep_id"])
-            & (side["_variant"].isNull() | (side["_variant"] == _text(text)))
-        )
+        same = (F.col("hash_of_row") == F.col("hash")) & id_.eqNullSafe(F.col("keep_id")) & (
+            F.col("variant").isNull() | (F.col("variant") == whole))
         return rows.join(side, same)
 
-    names = [F.col(f"`{c}`") for c in df.columns]
-    single = joined(stays.where("_n_keep = 1")).select(*names)
-    several = stays.where("_n_keep > 1")
+    single = joined(stays.where("n_keep = 1")).select("row.*")
+    several = stays.where("n_keep > 1")
     if several.isEmpty():  # saves a second shuffle of the texts
         return single
-    tied = joined(several).groupBy("_content_hash", "_variant")
-    return single.unionByName(tied.agg(F.min(F.struct(*names)).alias("row")).select("row.*"))
+    tied = joined(several).groupBy("hash", "variant")
+    return single.unionByName(tied.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

@@ -33,7 +33,7 @@ RESULT = ("epoch", "block_key", "order_key")
 
 
 def _source_key(source: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null"))
 
 
 def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -92,10 +92,13 @@ def _hash(seed: int, salt: str, *columns: Column) -> Column:
 
 
 def _keyed(df: DataFrame, doc_id: str, source: str, text: str, seed: int) -> DataFrame:
-    return df.withColumns({
-        "_source": _source_key(source),
-        "_key": _hash(seed, "document", F.col(doc_id).cast("string"), F.isnull(doc_id), F.coalesce(F.col(text), F.lit(""))),
-    })
+    """Every row as one struct ``_row``, so that none of its columns can clash, with ``_source``, ``_key`` and ``_words``."""
+    id_, whole = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return df.select(
+        F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"), _source_key(source).alias("_source"),
+        _hash(seed, "document", id_.cast("string"), id_.isNull(), whole).alias("_key"),
+        F.size(words(whole)).cast("long").alias("tokens"),
+    )
 
 
 def _block(seed: int) -> Column:
@@ -110,8 +113,7 @@ def plan(
 
     ``budget`` is in tokens; as many as there are if none is given.
     """
-    rows = _keyed(df, doc_id, source, text, seed).select(
-        "_source", "_key", F.size(words(F.col(text))).cast("long").alias("tokens"))
+    rows = _keyed(df, doc_id, source, text, seed).select("_source", "_key", "tokens")
     rows = written(rows, "documents")
     totals = written(rows.groupBy("_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     all_tokens = totals.agg(F.sum("tokens")).first()[0] or 0
@@ -167,9 +169,9 @@ def mix(
 ) -> DataFrame:
     """The rows of ``df``, each once per epoch that takes it, with ``epoch`` (int, from 0), ``block_key`` and ``order_key``."""
     sources = plan(df, doc_id, source, text, budget=budget, entropy_share=entropy_share, max_repeat=max_repeat, seed=seed)
-    columns = [f"`{c}`" for c in without(df, RESULT).columns]
+    columns = [F.col("_row")[c].alias(c) for c in without(df, RESULT).columns]
     decided = sources.select("_source", "_blocks", "epochs", "rest", "cut_key", "cut_block", "cut_order")
-    rows = _keyed(df, doc_id, source, text, seed).select(*columns, "_source", "_key").join(decided, "_source")
+    rows = _keyed(df, doc_id, source, text, seed).select("_row", "_source", "_key").join(decided, "_source")
     rows = rows.withColumn("block", _block(seed)).withColumn("_last", _block_key(seed, F.col("epochs")))
     cut, at = F.col("cut_key"), F.col("_last")
     earlier = cut.isNull() | (at < cut) | ((at == cut) & (F.col("block") < F.col("cut_block")))

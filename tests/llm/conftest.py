@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -27,12 +28,21 @@ def odd_docs(spark, tmp_path_factory):
     ]
     frame = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], DOCS)
     names = ["score", "kept", "fp", "shard", "slot", "epoch", "id", "hash", "n", "chunk", "learn", "label", "html", "block", "tokens", "Stats",
-             "KEEP_ID", "measure", "bucket", "level", "rows", "fence", "component_id", "sequence_id", "block_key", "order_key"]
+             "KEEP_ID", "measure", "bucket", "level", "rows", "fence", "component_id", "sequence_id", "block_key", "order_key",
+             "_row", "_source", "_key", "_blocks", "rest", "epochs", "cut_key", "cut_block", "cut_order", "_content_hash", "_hash", "_part", "_place",
+             "_range", "_bytes", "_fp", "_stays", "node", "root", "hash_of_row", "variant", "sha", "copy", "row", "tied", "runs", "collapsed", "word", "largest"]
     path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
+    frame = frame.withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id")))
     frame.withColumns({name: F.lit(None).cast("string") if i % 2 else F.lit("x") for i, name in enumerate(names)}).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def values_of(frame, columns=None):
+    """The rows of a frame, with all values of the named columns, to be counted."""
+    names = [c for c in (columns or frame.columns)]
+    return Counter(str([(c, r[c]) for c in names]) for r in frame.collect())
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none") / "documents.parquet")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portfold.llm import mixing, sharding
+from tests.llm.conftest import values_of
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +102,9 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert [c for c in mixed.columns if c not in mixing.RESULT] == [c for c in odd_docs.columns if c.lower() not in mixing.RESULT]
     assert mixed.count() > 0
     natural = mixing.mix(odd_docs, entropy_share=None, max_repeat=None)
-    assert natural.count() == odd_docs.count()
+    own = [c for c in odd_docs.columns if c.lower() not in mixing.RESULT]
+    assert values_of(natural, own) == values_of(odd_docs, own)
+    assert set(values_of(mixed, own)) <= set(values_of(odd_docs, own))
     assert mixing.mix(no_docs).count() == 0
 
 
@@ -134,7 +137,29 @@ def test_sizes_and_checksums(odd_docs):
 def test_shards_keep_columns(odd_docs):
     dealt = sharding.shuffle_into_shards(odd_docs, 3)
     assert dealt.columns == [*[c for c in odd_docs.columns if c not in ("shard", "slot")], "shard", "slot"]
-    assert dealt.count() == odd_docs.count()
+    own = [c for c in odd_docs.columns if c not in ("shard", "slot")]
+    assert values_of(dealt, own) == values_of(odd_docs, own)
+
+
+@pytest.mark.parametrize(("good", "bad", "drawn"), [(40, 60, 30), (60, 40, 30), (40, 60, 80), (3, 500, 400), (500, 3, 100), (1, 1, 1)])
+def test_rejection_draws_by_the_exact_law(good, bad, drawn):
+    rng = np.random.default_rng(good + drawn)
+    seen = Counter(sharding.by_rejection(rng, good, bad, drawn) for _ in range(20_000))
+    law = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+    assert set(seen) <= set(law)
+    chi = sum((seen[k] - 20_000 * p) ** 2 / (20_000 * p) for k, p in law.items() if 20_000 * p >= 5)
+    assert chi < 3 * sum(20_000 * p >= 5 for p in law.values()) + 15
+
+
+def test_urns_beyond_a_billion_rows():
+    rng = np.random.default_rng(1)
+    good, bad, drawn = 3 * 10**10, 9 * 10**10, 10**9
+    draws = np.array([sharding._hypergeometric(rng, good, bad, drawn) for _ in range(4000)], dtype=float)
+    spread = math.sqrt(drawn * 0.25 * 0.75 * (1 - drawn / 12e10))
+    assert abs(draws.mean() - drawn / 4) < 4 * spread / math.sqrt(4000) and abs(draws.std() / spread - 1) < 0.05
+    sent = sharding.communication_matrix([10**9 + 1, 0, 2 * 10**10], 7, rng)
+    assert sent.sum(axis=1).tolist() == [10**9 + 1, 0, 2 * 10**10] and np.ptp(sent.sum(axis=0)) <= 1
+    assert sharding._hypergeometric(rng, 10**10, 0, 5) == 5 and sharding._hypergeometric(rng, 0, 10**10, 5) == 0
 
 
 def test_matrix_sums_and_law():

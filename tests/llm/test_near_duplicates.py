@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from portfold.llm import simhash
 from portfold.llm.components import components
+from tests.llm.conftest import values_of
 
 
 def fingerprint_by_hand(text):
@@ -129,7 +130,7 @@ def test_components_of_chains_and_stars(spark):
 def test_one_of_each_class_stays(odd_docs, small_docs, no_docs):
     for frame in (odd_docs, small_docs):
         left = simhash.drop_near_duplicates(frame)
-        assert left.columns == frame.columns
+        assert left.columns == frame.columns and set(values_of(left)) <= set(values_of(frame))
         rows = frame.select("doc_id", "text").collect()
         points = [simhash.fingerprint((r["text"] or "").encode()) for r in rows]
         least = {}

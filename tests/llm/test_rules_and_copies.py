@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portfold.llm import exact_dedup, oracles, quality_rules, queries
+from tests.llm.conftest import values_of
 from tests.compare import rows_of
 from tests.conftest import SMALL
 
@@ -101,7 +102,7 @@ def test_keep_good_returns_the_kept_rows(small_docs, odd_docs, no_docs):
     for frame in (small_docs, odd_docs):
         kept = Counter(r["doc_id"] for r in quality_rules.apply_rules(frame).where("kept").collect())
         got = quality_rules.keep_good(frame)
-        assert got.columns == frame.columns
+        assert got.columns == frame.columns and set(values_of(got)) <= set(values_of(frame))
         assert Counter(r["doc_id"] for r in got.collect()) == kept
     assert quality_rules.keep_good(no_docs).count() == 0 and quality_rules.apply_rules(no_docs).count() == 0
 
@@ -131,7 +132,7 @@ def test_copies_by_hand(odd_docs, small_docs, keep, weak):
         got = exact_dedup.mark_copies(frame, keep=keep, **options)
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()) == copies_by_hand(rows, keep)
         left = exact_dedup.drop_copies(frame, keep=keep, **options)
-        assert left.columns == frame.columns
+        assert left.columns == frame.columns and set(values_of(left)) <= set(values_of(frame))
         assert Counter(r["text"] or "" for r in left.collect()) == Counter({r["text"] or "" for r in rows})
         assert Counter(r["doc_id"] for r in left.collect()) == Counter(k[0] for k in copies_by_hand(rows, keep).elements() if k[3])
 
