@@ -63,7 +63,7 @@ def scan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "snapshot")
     lines = statements.value_positions(position_lines(inputs.form(spark, sf_dir)))
     csv_files.export_csv(lines.select(*schemas.SNAPSHOT.names), path, portuguese=True)
-    scanned = csv_files.scan_snapshot(spark, path)
+    scanned = csv_files.scan_snapshot(spark, path, line_ends=False)
     return doubles(scanned).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 

@@ -16,6 +16,7 @@ _DENOMINATOR = T.DecimalType(20, 10)
 
 # Pairs of factors whose product is exact in ``PRODUCT``: many decimals on one side, many digits on the other, or eight and eight.
 PRODUCT = T.DecimalType(38, 16)
+_PLAIN = T.DecimalType(17, 4)
 _FACTORS = (
     (T.DecimalType(20, 12), T.DecimalType(17, 4)),
     (T.DecimalType(17, 4), T.DecimalType(20, 12)),
@@ -56,9 +57,18 @@ def _kept(value: Column, kind: T.DecimalType) -> Column:
     return F.when(F.abs(cast.cast("double") - double) <= F.abs(double) * F.lit(1e-15), cast)
 
 
+def _apart(value: Column) -> Column:
+    """The value, computed outside the generated code and only where it is asked for: keeps rare cases out of the hot method."""
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: value), F.lit(0))
+
+
 def exact_product(left: Column, right: Column) -> Column:
-    """Product as ``PRODUCT`` with all its digits, or null where the factors have too many."""
-    return F.coalesce(*[_kept(left, a) * _kept(right, b) for a, b in _FACTORS])
+    """Product as ``PRODUCT`` with all its digits, or null where the factors have too many.
+
+    Amounts with four decimals, as nearly all are, need one pair of decimals; the others are tried apart.
+    """
+    plain = (_kept(left, _PLAIN) * _kept(right, _PLAIN)).try_cast(PRODUCT)
+    return F.coalesce(plain, _apart(F.coalesce(*[_kept(left, a) * _kept(right, b) for a, b in _FACTORS])))
 
 
 def double_product(left: Column, right: Column) -> Column:
@@ -69,7 +79,7 @@ def product(left: Column, right: Column, digits: int, kind: T.DecimalType) -> Co
     """Product rounded half up to ``digits``: exact where the digits allow, else that of the doubles; null beyond ``kind``."""
     return F.coalesce(
         F.round(exact_product(left, right), digits).try_cast(kind),
-        F.round(double_product(left, right), digits).try_cast(kind),
+        _apart(F.round(double_product(left, right), digits).try_cast(kind)),
     )
 
 

@@ -27,9 +27,9 @@ def _named(read: DataFrame, schema: T.StructType, what: str) -> DataFrame:
     return read.select(*[found[name] for name in schema.names])
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quotes inside a quoted value are doubled, and values may hold line ends."""
-    return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
+def _scan(spark: SparkSession, path: str, line_ends: bool = True) -> DataFrame:
+    """All columns as text; quotes inside a quoted value are doubled."""
+    return spark.read.options(header=True, multiLine=line_ends, escape='"', inferSchema=False).csv(path)
 
 
 def scan_form(spark: SparkSession, path: str) -> DataFrame:
@@ -80,13 +80,16 @@ def scan_checked(spark: SparkSession, path: str, target: str, schema: T.StructTy
     return Checked(_named(good, schema, "form"), bad)
 
 
-def scan_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A typed CSV table; a value that does not fit its type becomes null, the row stays."""
-    return conform(_named(_scan(spark, path), schema, "table"), schema)
+def scan_table(spark: SparkSession, path: str, schema: T.StructType, *, line_ends: bool = True) -> DataFrame:
+    """A typed CSV table; a value that does not fit its type becomes null, the row stays.
+
+    ``line_ends`` says that values may hold line ends. Without them files are split, so that a large one is many tasks.
+    """
+    return conform(_named(_scan(spark, path, line_ends), schema, "table"), schema)
 
 
-def scan_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return scan_table(spark, path, SNAPSHOT)
+def scan_snapshot(spark: SparkSession, path: str, *, line_ends: bool = True) -> DataFrame:
+    return scan_table(spark, path, SNAPSHOT, line_ends=line_ends)
 
 
 def export_csv(df: DataFrame, path: str, *, portuguese: bool = False) -> None:

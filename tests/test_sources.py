@@ -169,6 +169,19 @@ def test_columns_are_found_by_header(spark, tmp_path):
         csv_files.scan_form(spark, str(path))
 
 
+def test_a_snapshot_without_line_ends_is_split(spark, tmp_path):
+    rows = spark.range(20_000).select(*[F.col("id").cast("string").alias(c) for c in schemas.SNAPSHOT.names]).coalesce(1)
+    csv_files.export_csv(rows, str(tmp_path / "s"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        split = csv_files.scan_snapshot(spark, str(tmp_path / "s"), line_ends=False)
+        whole = csv_files.scan_snapshot(spark, str(tmp_path / "s"))
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_scratch_is_in_a_shared_folder(spark):
     first, second = scratch.scratch_path(spark, "x"), scratch.scratch_path(spark, "x")
     assert first != second
