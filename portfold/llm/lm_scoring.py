@@ -6,7 +6,7 @@ D / 2T to escape by, to the context shorter by a byte, where the bytes already r
 exclusion); below the empty context the remaining byte values are alike. An end symbol closes every text, so the
 probabilities of all texts add up to one.
 
-How it runs. The input is read in chunks: splits of the files, parted by a hash if a split can be large. Every chunk lists its
+How it runs. The input is read in chunks: splits of the files, parted by a hash by the bytes of their texts. Every chunk lists its
 distinct (``ORDER`` + 1)-grams and words with their training counts, as compressed arrays per bucket: requests, which grow with
 the corpus. Grams are in one bucket if their contexts end in the same two bytes, so a bucket has all longer contexts
 whole (the two lowest orders are one 256 x 256 table, and are sent along); words are by a hash. Each bucket adds up its requests
@@ -403,11 +403,26 @@ def _megabytes(setting: str) -> float:
     return float(text[:-1]) * unit if unit else float(text) / 2**20
 
 
-def _chunk(df: DataFrame, doc_id: str, text: str) -> Column:
-    """The split that a row comes from, parted by a hash where splits may be large; by the hash alone if not read from files."""
+def _chunked(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """``df`` as (id, text, chunk, row), and the bytes of all texts.
+
+    A chunk is a part, by a hash of id and text, of a split of the files. Splits are parted by the bytes that their texts have, which
+    compressed files don't tell, so that no chunk is much larger than ``CHUNK_BYTES``; a frame that isn't read from files is one split.
+    """
+    split = [F.input_file_name().alias("file"), F.input_file_block_start().alias("start")]
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    sizes = written(df.select(*split, F.octet_length(whole).alias("bytes")).groupBy("file", "start").agg(F.sum("bytes").alias("bytes")), "splits")
+    size, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
     parts = max(1, math.ceil(_megabytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")) * 2**20 / CHUNK_BYTES))
-    own = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(parts))
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start(), own)
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), *split, whole.alias("text"), F.col(f"`{doc_id}`").alias("id"))
+    number = F.lit(parts).cast("long")
+    if (most or 0) > parts * CHUNK_BYTES:
+        # Only splits whose texts are larger than usual are named, so that this side stays small.
+        large = sizes.where(F.col("bytes") > parts * CHUNK_BYTES).select("file", "start", F.ceil(F.col("bytes") / CHUNK_BYTES).alias("parts"))
+        rows = rows.join(large, ["file", "start"], "left")
+        number = F.coalesce("parts", number)
+    own = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), number)
+    return rows.select("id", "text", F.xxhash64("file", "start", own).alias("chunk"), "row"), size or 0
 
 
 def score_texts(
@@ -417,11 +432,8 @@ def score_texts(
 
     ``learn`` says which rows are learned from; null is no. ``df`` is read twice and must be a table in files.
     """
-    rows = df.select(
-        _chunk(df, doc_id, text).alias("chunk"), F.coalesce(learn, F.lit(False)).alias("learn"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(doc_id).alias("id"),
-    )
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    marked, size = _chunked(df.withColumn("_learn", F.coalesce(learn, F.lit(False))), doc_id, text)
+    rows = marked.select("chunk", F.col("row._learn").alias("learn"), "text", "id")
     chunks = math.ceil(size / CHUNK_BYTES) + 1
     buckets = math.ceil(8 * math.sqrt(chunks))
     asked = written(rows.select("chunk", "learn", "text").mapInArrow(_requested(buckets), _REQUESTS), "requests")

@@ -305,3 +305,49 @@ def test_wrapped_notices(notices, width):
 ])
 def test_class_words_lose_no_article(main):
     assert html_extraction.main_text(html_extraction.lines(PAGE.format(main=main))) == "whole"
+
+
+class _Everything(frozenset):
+    """A set that holds every word: no window is skipped."""
+
+    def __contains__(self, word):
+        return True
+
+
+def test_license_query_by_every_window(spark):
+    """The registered query against all windows of all lines and blocks, judged one by one without skipping any."""
+    from dataclasses import replace
+
+    from portfold.llm import queries
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = replace(license_scan.train(license_scan.background_lines(frame), seed=3), starts=_Everything())
+    expected = Counter()
+    for r in frame.collect():
+        for (line, first), found in license_scan.notices_of_text(model, r["text"] or ""):
+            expected[r["doc_id"], line, first, found[0], round(found[1], 9), round(found[2], 9)] += 1
+    got = Counter((r["doc_id"], r["line"], r["first_word"], r["family"], round(r["probability"], 9), round(r["similarity"], 9))
+                  for r in queries.op7_license_scan(spark, "/root/testdata/sf0.001").collect())
+    assert got == expected and sum(got.values()) > 0
+
+
+# Notices as projects word them, in forms that the templates' variants do not make.
+NOTICES_OF_OTHERS = [
+    ("Apache", "This file is part of Foo. Foo is licensed to you under the Apache License, Version 2.0; see the LICENSE file in the root of this repository."),
+    ("Apache", "you may not use this software except in compliance with the Apache License 2.0, a copy of which is in the file NOTICE"),
+    ("MIT", "Released under the MIT license. Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("GPL", "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1"),
+    ("AGPL", "Bar is licensed under the GNU Affero General Public License; if you run it on a server, you must offer its source"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license."),
+    ("Proprietary", "Confidential and proprietary. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+]
+
+
+def test_notices_that_the_generator_did_not_make(notices):
+    found = [{family for _, (family, *_) in license_scan.notices_of_text(notices, text)} for _, text in NOTICES_OF_OTHERS]
+    right = sum(family in families for (family, _), families in zip(NOTICES_OF_OTHERS, found, strict=True))
+    assert right >= 10, [(n, f) for n, f in zip(NOTICES_OF_OTHERS, found, strict=True) if n[0] not in f]

@@ -1,14 +1,16 @@
 """Quality classifier (1) and language-model scores (3)."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from portfold.llm import lm_scoring, quality_classifier
+from portfold.llm import lm_scoring, quality_classifier, queries
 from portfold.llm.support import remainder_of_id
+from tests.conftest import SMALL
 
 ORDER = lm_scoring.ORDER
 
@@ -177,3 +179,53 @@ def test_long_texts_in_pieces(monkeypatch):
         parts = list(lm_scoring._pieces([b"", text, b"x"]))
         assert (np.concatenate([c for c, _ in parts]) == whole).all()
         assert np.bincount(np.concatenate([t for _, t in parts])).tolist() == [1, 1001, 2]
+
+
+def test_chunks_are_cut_by_the_bytes_of_their_texts(spark, monkeypatch, tmp_path):
+    """Also where most texts are equal, which files hold once, and where a frame is not read from files."""
+    rows = [(i, "the same long text " * 100 if i % 3 else f"own text {i} " * 50) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 100_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        for frame in (spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(rows, "doc_id long, text string")):
+            chunked, size = lm_scoring._chunked(frame, "doc_id", "text")
+            sums = [r[1] for r in chunked.groupBy("chunk").agg(F.sum(F.octet_length("text"))).collect()]
+            assert sum(sums) == size == sum(len(t) for _, t in rows) and max(sums) < 2 * 100_000 and len(sums) >= size // 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quality_query_by_one_numpy_pass(spark):
+    """The registered query against the same features, normal equations and calibration over all rows at once."""
+    q = quality_classifier
+    rows = queries.op1_quality_classifier(spark, SMALL).collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    label_of = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    parts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(q.FOLDS)).alias("fold")).collect()
+    stats = np.array([q.statistics((r["text"] or "").encode()) for r in parts])
+    learn = np.array([r["doc_id"] in label_of and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in parts])
+    x, fold = stats[learn], np.array([r["fold"] for r in parts])[learn]
+    y = np.array([label_of[r["doc_id"]] for r, k in zip(parts, learn, strict=True) if k], dtype=float)
+    rng = np.random.default_rng(1)
+    directions = rng.normal(0, 1 / math.sqrt(q.STATISTICS), (q.STATISTICS, q.FEATURES))
+    phases = rng.uniform(0, 2 * math.pi, q.FEATURES)
+    spread = x.std(axis=0)
+    model = q.Model(x.mean(axis=0), np.where(spread > 1e-9, spread, 1.0), directions, phases)
+
+    def ridge(z, target):
+        return np.linalg.solve(z.T @ z + np.eye(z.shape[1]) * q.RIDGE * max(1.0, len(z)), z.T @ target)
+    z = model.features(x)
+    raw = np.zeros(len(x))
+    for f in range(q.FOLDS):
+        raw[fold == f] = z[fold == f] @ ridge(z[fold != f], y[fold != f])
+    at = np.clip(((raw + 0.5) / 2 * q.BINS).astype(int), 0, q.BINS - 1)
+    used = np.unique(at)
+    mean = np.array([y[at == b].mean() for b in used])
+    model.weights = ridge(z, y)
+    model.knots, model.values = q.isotonic(-0.5 + (used + 0.5) * 2 / q.BINS, mean, np.array([(at == b).sum() for b in used], dtype=float))
+    expected = dict(zip([r["doc_id"] for r in parts], model.score(stats), strict=True))
+    assert len(rows) == len(parts)
+    for r in rows:
+        assert r["score"] == pytest.approx(expected[r["doc_id"]], abs=1e-6) and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
