@@ -11,7 +11,7 @@ documents likewise. A source whose share of the budget is 2.4 times its size giv
 first 40 % of a third, cut between documents, never above the budget. The cut of a source is one block and one key in it, so
 each document is decided by one joined row per source. Sorting by (source, epoch, block_key, order_key) gives the order.
 
-Only table rows of one boundary block, and one row per block, ever meet in a window. Texts are never shuffled for a
+Only table rows of one boundary block, or rows of some ten thousand blocks, ever meet in a window. Texts are never shuffled for a
 decision; a hot source is one side of a plain join whose other side has one row per source.
 
 Defined results: tokens are words; null sources are a source of their own; documents without words weigh nothing and
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from portfold.llm.support import without, words, written
 
 BLOCK_DOCS = 1024
+RANGE_BLOCKS = 65_536
 _PARTS = 16
 _STEPS = 5
 RESULT = ("epoch", "block_key", "order_key")
@@ -139,9 +140,17 @@ def plan(
     blocks = placed.groupBy("_source", "block").agg(
         F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("block_key", _block_key(seed, F.col("epochs")))
-    order = Window.partitionBy("_source").orderBy("block_key", "block")
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = blocks.withColumn("before", before).where("before + tokens > rest").groupBy("_source").agg(
+    # Blocks are added up in ranges of their keys, and ranges among each other, so no window holds more than some of a source.
+    most = sources.agg(F.max("_blocks")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, most / RANGE_BLOCKS))))
+    blocks = written(blocks.withColumn("_range", F.shiftright("block_key", 64 - bits) if bits else F.lit(0).cast("long")), "blocks")
+    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.groupBy("_source", "_range").agg(F.sum("tokens").alias("n")).select(
+        "_source", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("_source", "_range").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    summed = blocks.withColumn("_within", before).join(offsets, ["_source", "_range"]).withColumn("before", F.col("offset") + F.col("_within"))
+    cuts = summed.where("before + tokens > rest").groupBy("_source").agg(
         F.min(F.struct("block_key", "block", F.col("rest") - F.col("before"))).alias("cut"))
     cuts = cuts.select("_source", F.col("cut.block_key").alias("cut_key"), F.col("cut.block").alias("cut_block"),
                        F.col("cut.col3").alias("room"))

@@ -97,6 +97,16 @@ def test_the_last_epoch_is_a_prefix_of_its_permutation(uneven, monkeypatch):
     assert len(set(blocks)) > 30
 
 
+def test_blocks_in_ranges_are_cut_at_the_same_place(uneven, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    cuts = []
+    for blocks in (65_536, 3):
+        monkeypatch.setattr(mixing, "RANGE_BLOCKS", blocks)
+        plan = mixing.plan(uneven, budget=5000, max_repeat=None, entropy_share=0.9, seed=4).collect()
+        cuts.append({r["_source"]: (r["cut_key"], r["cut_block"], r["cut_order"], r["target"]) for r in plan})
+    assert cuts[0] == cuts[1] and len(cuts[0]) > 2
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     mixed = mixing.mix(odd_docs, seed=2)
     assert [c for c in mixed.columns if c not in mixing.RESULT] == [c for c in odd_docs.columns if c.lower() not in mixing.RESULT]
