@@ -166,8 +166,8 @@ def gated_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
             attempts.append((name, False))
     current = spark.read.schema(lots.schema).parquet(store.full_path(spark, path))
     held = current.agg(F.count(F.lit(1)).alias("rows"), F.max("as_of_date").alias("newest"), F.sum("market_value").cast("double").alias("worth"))
-    tried = spark.createDataFrame(attempts, "attempt string, published boolean")
-    return tried.join(held)
+    each = [held.select(F.lit(name).alias("attempt"), F.lit(published).alias("published"), "*") for name, published in attempts]
+    return each[0].unionByName(each[1])
 
 
 @query
