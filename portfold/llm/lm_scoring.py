@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from portfold.llm.support import written
 
 ORDER = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 SMOOTHING = 0.1
 _BEGIN, _END, _VALUES = 0xFF, 0xFE, 255  # neither byte occurs in UTF-8; _BEGIN is never predicted
 _END_WORD = b" "  # no word has white space
