@@ -185,6 +185,20 @@ def test_a_short_story_under_a_long_template(spark):
     assert "copied story" in got[11] or got[11] == ""
 
 
+def test_differences_decide_on_marked_pages_too(spark):
+    """An element that both neighbours have line for line is template, marked or not; a repeated passage in an article of its own stays."""
+    def page(i):
+        return (f"<body><article><h1>story {i}</h1><p>a passage that all repeat</p><p>end of {i}</p></article>"
+                "<article><h2>The card of the week</h2><p>on every page</p></article></body>")
+    rows = [(i, f"http://h.example/{i:02d}", page(i)) for i in range(40)] + [(90, "http://one.example/1", page(90))]
+    rows += [(100 + i, f"http://copies.example/{i}", "<body><article><p>copied</p></article></body>") for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for pages in (frame, frame.repartition(7)):
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()}
+        assert [got[i] for i in range(40)] == [f"story {i}\n\na passage that all repeat\n\nend of {i}" for i in range(40)]
+        assert got[90].endswith("The card of the week\n\non every page") and {got[100], got[101], got[102]} == {"copied"}
+
+
 def test_neighbours_do_not_depend_on_partitions(spark):
     rng = random.Random(5)
     rows = []
