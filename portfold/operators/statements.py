@@ -63,12 +63,14 @@ def _lenient(name: str, kind: T.DataType, source: T.DataType) -> Column:
     if not isinstance(source, T.StringType) or isinstance(kind, T.StringType):
         return value.try_cast(kind)
     if isinstance(kind, T.DecimalType):
-        return F.when(numbers.to_number(value).isNotNull(), numbers.bare(value).try_cast(kind))
+        return F.when(numbers.to_number(value).isNotNull(), numbers.castable(value).try_cast(kind))
     if isinstance(kind, T.IntegerType):
         # "2026.0" is a whole number too: tools that know no null integers write it that way.
         return numbers.to_number(value).try_cast(kind)
     if isinstance(kind, T.DoubleType):
         return numbers.to_number(value)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return numbers.castable(value).try_cast(kind)
     return numbers.bare(value).try_cast(kind)
 
 

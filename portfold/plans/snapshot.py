@@ -11,19 +11,16 @@ from portfold.schemas import SNAPSHOT
 
 def position_lines(form: DataFrame) -> DataFrame:
     """Typed statement lines with their prices as stated. No shuffle."""
-    lines = statements.explode_lines(form)
-    fields = statements.normalize_fields(statements.parse_fields(lines))
-    classified = statements.normalize_case(statements.classify_exposure(fields))
-    typed = classified.withColumns({
+    # What an answer says once is parsed once, before its lines are parted.
+    answers = statements.calendar_columns(form.withColumns({
         "submitted_at": dates.to_moment(F.col("submitted_at"), dates.FORM_TIMESTAMP),
         "as_of_date": dates.to_day(F.col("as_of_date"), dates.FORM_DATE),
-        **{
-            name: numbers.to_number(F.col(name))
-            for name in ("quantity", "avg_price", "current_price", "contribution")
-        },
-    })
-    dated = statements.calendar_columns(typed)
-    return dated.select(*[name for name in SNAPSHOT.names if name != "market_value"])
+        "contribution": numbers.to_number(F.col("contribution")),
+    }))
+    fields = statements.normalize_fields(statements.parse_fields(statements.explode_lines(answers)))
+    classified = statements.normalize_case(statements.classify_exposure(fields))
+    typed = classified.withColumns({name: numbers.to_number(F.col(name)) for name in ("quantity", "avg_price", "current_price")})
+    return typed.select(*[name for name in SNAPSHOT.names if name != "market_value"])
 
 
 def price_lines(lines: DataFrame, prices: DataFrame, *, mode: str = "latest") -> DataFrame:

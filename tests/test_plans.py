@@ -176,3 +176,16 @@ def test_a_hot_institution_is_combined_before_the_shuffle(spark):
     assert got["ALL"] == 100_000 and got["HOT"] == 66_666
     text = scoped._jdf.queryExecution().executedPlan().toString()
     assert text.rindex("partial_try_sum") > text.rindex("Exchange hashpartitioning")
+
+
+def test_answers_are_parsed_before_their_lines_are_parted(spark):
+    """Moments, dates and contributions once per answer; numerals without a search for blanks at every character."""
+    form = spark.createDataFrame(
+        [("24/02/2026 10:21:10", "14/03/2026", "XP", "Stock | A | 1,50 | 2 |\nFund | B | \t3\x7f | x | 4", "7")],
+        "submitted_at string, as_of_date string, institution string, statement string, contribution string")
+    lines = position_lines(form)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    parted = plan.index("Generate explode")
+    assert plan.index("dd/MM/yyyy HH:mm:ss") > parted and plan.index("dd/MM/yyyy,") > parted
+    rows = [(r["quantity"], r["avg_price"], r["current_price"], r["contribution"], r["month_num"]) for r in lines.collect()]
+    assert rows == [(1.5, 2.0, None, 7.0, 3), (3.0, None, 4.0, 7.0, 3)]
