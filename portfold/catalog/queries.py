@@ -53,7 +53,7 @@ def scan_bronze_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the form answers as multi-line CSV, with the columns in another order and one more, scan them, and split the cells."""
     path = scratch_path(spark, "form")
     answers = schemas.with_csv_headers(inputs.form(spark, sf_dir).withColumn("extra", F.lit("not asked for")))
-    answers.select(*reversed(answers.columns)).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    csv_files.export_form(answers.select(*reversed(answers.columns)), path)
     return statements.explode_lines(csv_files.scan_form(spark, path))
 
 
@@ -720,7 +720,7 @@ PAID_BY = ("l_orderkey",)
 
 @query
 def contributions_by_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(contributions.contributions_by(inputs.paid_positions(spark, sf_dir), answer=PAID_BY))
+    return doubles(contributions.contributions_by(inputs.paid_positions(spark, sf_dir), answer=PAID_BY, dealt=True))
 
 
 @query

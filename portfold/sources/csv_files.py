@@ -11,6 +11,9 @@ from portfold.schemas import CSV_HEADERS, FORM, SNAPSHOT, require_columns, with_
 from portfold.sources.scratch import materialize
 from portfold.sources.spread import spread
 
+# Answers of a file that is written: one task reads the whole file.
+FORM_ROWS = 200_000
+
 _CORRUPT = "_corrupt_record"
 _FITS = "fits"
 
@@ -99,3 +102,11 @@ def export_csv(df: DataFrame, path: str, *, portuguese: bool = False) -> None:
         header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"',
         timestampFormat="yyyy-MM-dd HH:mm:ss",
     ).csv(path)
+
+
+def export_form(answers: DataFrame, path: str, rows: int = FORM_ROWS) -> None:
+    """Write form answers as CSV, whose statements hold line ends, in files of ``rows`` answers at most.
+
+    Such files can't be split, so the number of answers in a file, not the size of the table, bounds what a task reads.
+    """
+    answers.write.options(header=True, quoteAll=True, escape='"', maxRecordsPerFile=rows).csv(path)

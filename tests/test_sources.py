@@ -205,3 +205,11 @@ def test_spread_deals_few_files_out_and_leaves_many_alone(spark, tmp_path):
         return "REBALANCE" in df._jdf.queryExecution().executedPlan().toString()
     assert shuffled(spread.spread(spark.read.parquet(few))) and not shuffled(spread.spread(spark.read.parquet(many)))
     assert spread.spread(spark.read.parquet(few), "id").count() == 100
+
+
+def test_form_files_hold_so_many_answers_at_most(spark, tmp_path):
+    """One task reads a whole file of answers, so files must not grow with the table."""
+    answers = spark.range(1000, numPartitions=1).select(*[F.concat(F.lit("a\n"), F.col("id")).alias(n) for n in schemas.FORM.names])
+    csv_files.export_form(schemas.with_csv_headers(answers), str(tmp_path / "form"), rows=300)
+    assert sum(name.endswith(".csv") for name in files_of(tmp_path / "form")) == 4
+    assert sorted(map(tuple, csv_files.scan_form(spark, str(tmp_path / "form")).collect())) == sorted(map(tuple, answers.collect()))
