@@ -50,13 +50,19 @@ def latest_per_key(
 
 
 def latest_per_key_sql(df: DataFrame, keys: list[str], period: str, tiebreak: tuple[str, ...] = ()) -> DataFrame:
-    """``latest_per_key`` written as a SQL statement over the frame."""
+    """``latest_per_key`` written as a SQL statement over the frame.
+
+    Only rows of a key's newest period are sorted. The frame is read twice, so no task sorts all of its rows.
+    """
     newest = ", ".join(f"{name} DESC NULLS LAST" for name in (period, *tiebreak))
+    same = " AND ".join(f"r.{name} <=> n.{name}" for name in (*keys, period))
     statement = f"""
         SELECT * EXCEPT (newest_first)
         FROM (
             SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)} ORDER BY {newest}) AS newest_first
-            FROM {{rows}}
+            FROM {{rows}} r LEFT SEMI JOIN (
+                SELECT {", ".join(keys)}, max({period}) AS {period} FROM {{rows}} GROUP BY {", ".join(keys)}
+            ) n ON {same}
         )
         WHERE newest_first = 1
     """
