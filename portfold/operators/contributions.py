@@ -19,7 +19,7 @@ def _paid(df: DataFrame, contribution: str):
 
 
 def contributions_by(
-    positions: DataFrame, dim: str = "exposure", answer: tuple[str, ...] = ANSWER, contribution: str = "contribution",
+    positions: DataFrame, dim: str = "exposure", answer: tuple[str, ...] = ANSWER, contribution: str = "contribution", *, dealt: bool = False,
 ) -> DataFrame:
     """Contributions per day, institution and ``dim``, over all institutions too, with their running total ``to_date``.
 
@@ -27,12 +27,14 @@ def contributions_by(
     none is worth anything. Parts are differences of rounded running shares, in the order of ``dim``, so they add up to the cent.
     Answers without a contribution count as zero.
 
-    Lines are shuffled once, by answer; no answer is larger than a form's cell.
+    Lines are shuffled once, by answer; no answer is larger than a form's cell. ``dealt`` says that they lie by (some columns of)
+    their answer already, and in small enough partitions: then they are not shuffled again. It changes no result.
     """
     keys = list(dict.fromkeys([*answer, "as_of_date", "institution"]))
     worth = F.greatest(exact(positions, "market_value"), F.lit(0))
     lines = positions.select(*keys, dim, worth.alias("_worth"), _paid(positions, contribution).alias("_paid"))
-    parts = lines.repartition(*[F.col(k) for k in keys]).groupBy(*keys, dim).agg(
+    by_answer = lines if dealt else lines.repartition(*[F.col(k) for k in keys])
+    parts = by_answer.groupBy(*keys, dim).agg(
         F.coalesce(F.try_sum("_worth"), F.lit(0)).alias("_worth"), F.count("*").alias("_lines"), F.max("_paid").alias("_paid"))
     of_answer = Window.partitionBy(*keys)
     so_far = of_answer.orderBy(F.col(dim).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,6 +12,7 @@ from portfold.catalog.queries import QUERIES
 from portfold.operators import prices, totals, windows
 from portfold.plans import reports
 from portfold.plans.snapshot import position_lines
+from portfold.sources import spread
 from tests.conftest import SMALL
 
 EAGER = {  # these write files when called, so their plan says little about the query
@@ -189,3 +190,30 @@ def test_answers_are_parsed_before_their_lines_are_parted(spark):
     assert plan.index("dd/MM/yyyy HH:mm:ss") > parted and plan.index("dd/MM/yyyy,") > parted
     rows = [(r["quantity"], r["avg_price"], r["current_price"], r["contribution"], r["month_num"]) for r in lines.collect()]
     assert rows == [(1.5, 2.0, None, 7.0, 3), (3.0, None, 4.0, 7.0, 3)]
+
+
+@pytest.mark.parametrize("name", ["contributions_by_exposure", "sql_latest_positions"])
+def test_many_lines_are_dealt_out_by_their_number(spark, monkeypatch, name):
+    """Lines beyond the session's partitions get more of them, with the same result; grouping by order shuffles no lines again."""
+    few = QUERIES[name](spark, SMALL).collect()
+    monkeypatch.setattr(spread, "PIECE_ROWS", 700)
+    monkeypatch.setattr(inputs, "MANY_PARTS", 10)
+    lines, before = inputs.table(spark, SMALL, "lineitem").count(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        dealt = inputs.order_lines(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {-(-lines // 700)}\)", dealt)
+        many = QUERIES[name](spark, SMALL)
+        assert sorted(map(str, many.collect())) == sorted(map(str, few))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    if name == "contributions_by_exposure":
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plan and not re.search(r"hashpartitioning\(l_orderkey#\d+L?, as_of_date", plan)
+
+
+def test_the_newest_rows_alone_are_sorted_in_sql(spark):
+    frame = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), (None, 3, 5), (None, 3, 6)], "k string, day int, n int")
+    latest = windows.latest_per_key_sql(frame, ["k"], "day", ("n",))
+    assert sorted(map(tuple, latest.collect()), key=str) == sorted([("a", 2, 1), (None, 3, 6)], key=str)
+    assert "LeftSemi" in latest._jdf.queryExecution().optimizedPlan().toString()
