@@ -217,3 +217,9 @@ def test_the_newest_rows_alone_are_sorted_in_sql(spark):
     latest = windows.latest_per_key_sql(frame, ["k"], "day", ("n",))
     assert sorted(map(tuple, latest.collect()), key=str) == sorted([("a", 2, 1), (None, 3, 6)], key=str)
     assert "LeftSemi" in latest._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_orders_are_made_before_their_lines_join(spark):
+    plan = inputs.form(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("Join Inner")
+    assert plan.index("date_format(") > joined and plan.index("initcap(") > joined and plan.index("format_number(p_retailprice") > joined
