@@ -638,7 +638,9 @@ def mart_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
     older = quotes.where(F.col("as_of_date") < F.lit(SPLIT_DAY))
     newer = quotes.where(F.col("as_of_date") >= F.lit(SPLIT_DAY))
-    snapshot = price_lines(position_lines(inputs.form(spark, sf_dir)), prices.merge_prices(older, newer))
+    # Stored, as a history is: its size is known when the join is planned, so the lines are not shuffled to meet a few prices.
+    history = materialize(prices.merge_prices(older, newer), scratch_path(spark, "history"))
+    snapshot = price_lines(position_lines(inputs.form(spark, sf_dir)), history)
     return doubles(snapshot).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 
 

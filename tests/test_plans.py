@@ -223,3 +223,9 @@ def test_texts_of_orders_are_made_before_their_lines_join(spark):
     plan = inputs.form(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan.index("Join Inner")
     assert plan.index("date_format(") > joined and plan.index("initcap(") > joined and plan.index("format_number(p_retailprice") > joined
+
+
+def test_lines_of_a_snapshot_are_not_shuffled_to_meet_their_prices(spark):
+    """The history is stored, so its size is known when the join is planned."""
+    text = plan(QUERIES["mart_snapshot"](spark, SMALL))
+    assert "hashpartitioning(_asks" not in text and "BroadcastHashJoin [_asks" in text
