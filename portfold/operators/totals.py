@@ -7,13 +7,15 @@ from portfold.functions.numbers import double_product, exact, exact_product, per
 from portfold.schemas import ALL, MONEY
 
 
-def total_by(df: DataFrame, keys: list[str], value: str = "market_value", digits: int | None = 2) -> DataFrame:
+def total_by(
+    df: DataFrame, keys: list[str], value: str = "market_value", digits: int | None = 2, *, also: tuple[Column, ...] = (),
+) -> DataFrame:
     """Sum of ``value`` per ``keys``. Nulls are skipped; a group of nothing but nulls sums to null.
 
-    With ``digits=None`` the sum stays unrounded, so that it can be summed further.
+    With ``digits=None`` the sum stays unrounded, so that it can be summed further. ``also`` are aggregates taken in the same pass.
     """
     total = F.try_sum(exact(df, value))
-    return df.groupBy(*keys).agg((total if digits is None else F.round(total, digits)).alias(value))
+    return df.groupBy(*keys).agg((total if digits is None else F.round(total, digits)).alias(value), *also)
 
 
 def scoped_totals(

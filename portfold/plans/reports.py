@@ -4,7 +4,7 @@ Each is built from one of two reductions of the snapshot, ``daily_totals`` and `
 are far smaller than the snapshot. A run materializes both, so the snapshot is read twice, not once per table.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portfold.operators.statements import conform
@@ -19,9 +19,9 @@ HOLDING = ["institution", "asset_class", "asset"]
 LOT_ORDER = ("submitted_at", "quantity", "avg_price", "market_value", "line")
 
 
-def daily_totals(snapshot: DataFrame) -> DataFrame:
-    """Unrounded value per day, institution, class and asset: what all totals roll up from."""
-    return total_by(snapshot, [*DAY, *HOLDING], digits=None)
+def daily_totals(snapshot: DataFrame, *also: Column) -> DataFrame:
+    """Unrounded value per day, institution, class and asset: what all totals roll up from. ``also`` are further aggregates."""
+    return total_by(snapshot, [*DAY, *HOLDING], digits=None, also=also)
 
 
 def current_positions(snapshot: DataFrame, tiebreak: tuple[str, ...] = LOT_ORDER) -> DataFrame:

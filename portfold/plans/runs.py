@@ -18,6 +18,7 @@ from portfold.sources import store, versions
 from portfold.sources.scratch import materialize, scratch_folder
 
 MONTH_KEY = "state_month"
+FIRST = "_first"
 
 
 def refresh_prices(
@@ -92,6 +93,27 @@ def run_reports(
             spark, totals, lambda: materialize(reports.current_positions(snapshot, lot_order), f"{scratch}/current"), root)
 
 
+def _first_of(lot_order: tuple[str, ...]) -> str:
+    return lot_order[0] if lot_order else "as_of_date"
+
+
+def _newest_lots(dated: DataFrame, totals: DataFrame, lot_order: tuple[str, ...], path: str) -> DataFrame:
+    """The newest lot of each holding within each month.
+
+    ``totals`` say for every holding and day what its greatest first column of ``lot_order`` is. From them comes, by month, which
+    rows can be the newest: so of ``dated`` only those few are sorted. What is sought is stored under ``path`` first, so that
+    Spark knows its size when it plans the join, and broadcasts it if it is small.
+    """
+    keys = [*reports.HOLDING, MONTH_KEY]
+    newest = latest_per_key(totals.select(*keys, "as_of_date", FIRST), keys, tiebreak=(FIRST,), once=True)
+    names = {name: f"_{name}" for name in (*keys, "as_of_date")}
+    sought = materialize(newest.withColumnsRenamed(names), path)
+    same = F.col(_first_of(lot_order)).eqNullSafe(F.col(FIRST))
+    for name, other in names.items():
+        same = same & F.col(name).eqNullSafe(F.col(other))
+    return latest_per_key(dated.join(sought, same, "left_semi"), keys, tiebreak=lot_order, once=True)
+
+
 def add_months(
     spark: SparkSession, lines: DataFrame, root: str, lot_order: tuple[str, ...] = reports.LOT_ORDER,
 ) -> dict[str, str]:
@@ -104,9 +126,10 @@ def add_months(
     """
     month = versions.month_of(F.col("as_of_date"), yyyymm)
     with scratch_folder(spark) as scratch:
-        dated = lines.withColumn(MONTH_KEY, month)
-        totals = materialize(reports.daily_totals(lines).withColumn(MONTH_KEY, month), f"{scratch}/totals")
-        lots = materialize(latest_per_key(dated, [*reports.HOLDING, MONTH_KEY], tiebreak=lot_order, once=True), f"{scratch}/lots")
+        reduced = reports.daily_totals(lines, F.max(_first_of(lot_order)).alias(FIRST))
+        totals = materialize(reduced.withColumn(MONTH_KEY, month), f"{scratch}/totals")
+        lots = materialize(_newest_lots(lines.withColumn(MONTH_KEY, month), totals, lot_order, f"{scratch}/newest"), f"{scratch}/lots")
+        totals = totals.drop(FIRST)
         # No more rows than the calendar has months.
         months = {row[0] for row in totals.select(MONTH_KEY).distinct().collect()}
         paths = {"totals": f"{root}/state/totals", "lots": f"{root}/state/lots"}

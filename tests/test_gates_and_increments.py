@@ -144,3 +144,24 @@ def test_reports_of_state_and_snapshot_share_their_reductions(spark):
     month = F.month("as_of_date")
     by_month = reports.latest_per_key(both.withColumn("m", month), [*reports.HOLDING, "m"], tiebreak=reports.LOT_ORDER).drop("m")
     assert sorted(map(str, reports.current_positions(by_month).collect())) == sorted(map(str, reports.current_positions(both).collect()))
+
+
+def test_added_months_sort_only_lots_that_can_be_the_newest(spark, tmp_path, monkeypatch):
+    """The totals say which they are, by a hash aggregate. Lots without a submission or a date, and ties, change nothing."""
+    plans, write = {}, runs.materialize
+
+    def kept(df, path):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, path)
+    monkeypatch.setattr(runs, "materialize", kept)
+    k = F.substring("line", 2, 9).cast("int")
+    odd = lots(spark, 1, 7).unionByName(lots(spark, 2, 8)).withColumns({
+        "submitted_at": F.when(k % 3 > 0, F.date_trunc("hour", F.col("submitted_at"))),
+        "as_of_date": F.when(k % 7 > 0, F.col("as_of_date")),
+    })
+    root, whole = str(tmp_path / "added"), str(tmp_path / "whole")
+    runs.add_months(spark, odd, root)
+    sorted_rows = plans["lots"]
+    assert sorted_rows.index("WindowGroupLimit") < sorted_rows.index("LeftSemi") and "SortAggregate" not in plans["totals"]
+    runs.run_reports(spark, odd, whole)
+    assert tables(spark, root, "202602") == tables(spark, whole, "202602")
