@@ -757,9 +757,10 @@ def sql_stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements parsed, priced and formatted in SQL alone."""
+    """Statements parsed, priced and formatted in SQL alone, with prices from a stored table: one per ticker and day."""
     sql.register(spark)
-    quotes = prices.valid_closes(inputs.stock_quotes(spark, sf_dir))
+    quotes = prices.newest_prices(prices.valid_closes(inputs.stock_quotes(spark, sf_dir)))
+    quotes = materialize(quotes, scratch_path(spark, "quotes"))
     return spark.sql("""
         WITH lines AS (
             SELECT to_date(as_of_date, 'dd/MM/yyyy') AS as_of_date, institution,

@@ -11,8 +11,8 @@ FUNCTIONS = (
     ("ptbr_decimal(t STRING)", "STRING", """
         CASE WHEN contains(trim(t), ',') THEN replace(replace(trim(t), '.', ''), ',', '.') WHEN trim(t) <> '' THEN trim(t) END"""),
     ("lenient_number(t STRING)", "DOUBLE", r"""
-        CASE WHEN rlike(regexp_replace(t, '^[\\x00-\\x20\\x7F]+|[\\x00-\\x20\\x7F]+$', ''), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')
-             THEN try_cast(regexp_replace(t, '^[\\x00-\\x20\\x7F]+|[\\x00-\\x20\\x7F]+$', '') AS DOUBLE) END"""),
+        CASE WHEN rlike(t, '^[\\x00-\\x20\\x7F]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[\\x00-\\x20\\x7F]*$')
+             THEN try_cast(CASE WHEN contains(t, chr(127)) THEN regexp_replace(t, '^[\\x00-\\x20\\x7F]+|[\\x00-\\x20\\x7F]+$', '') ELSE t END AS DOUBLE) END"""),
     ("asset_name(asset STRING, asset_class STRING)", "STRING", "CASE WHEN lower(asset_class) = 'stock' THEN upper(asset) ELSE lower(asset) END"),
     ("market_symbol(ticker STRING)", "STRING", "CASE WHEN contains(ticker, '.') THEN ticker ELSE concat(ticker, '.SA') END"),
     ("brl(amount DOUBLE)", "STRING", "concat('R$ ', translate(format_number(amount, 2), ',.', '.,'))"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from portfold import schemas
 from portfold.catalog import inputs
 from portfold.catalog.queries import QUERIES
+from portfold.functions import numbers
 from portfold.operators import prices, totals, windows
 from portfold.plans import reports
 from portfold.plans.snapshot import position_lines
@@ -229,3 +230,13 @@ def test_lines_of_a_snapshot_are_not_shuffled_to_meet_their_prices(spark):
     """The history is stored, so its size is known when the join is planned."""
     text = plan(QUERIES["mart_snapshot"](spark, SMALL))
     assert "hashpartitioning(_asks" not in text and "BroadcastHashJoin [_asks" in text
+
+
+def test_lines_parsed_in_sql_are_not_shuffled_to_meet_their_prices(spark):
+    """The prices are stored, one per ticker and day; blanks around numerals are matched, and cut only where a cast would not."""
+    text = plan(QUERIES["sql_functions"](spark, SMALL))
+    assert re.search(r"BroadcastHashJoin \[CASE WHEN Contains\(asset", text) and "hashpartitioning(CASE WHEN Contains(asset" not in text
+    assert "RLIKE(regexp_replace" not in text
+    blanks = spark.createDataFrame([("\x7f12.5 \x7f",), (" \x7f\t-3\n",), ("\x7f",), ("1\x7f2",), ("\x7f5d",)], "t string")
+    got = blanks.selectExpr("lenient_number(t)").collect()
+    assert [r[0] for r in got] == [r[0] for r in blanks.select(numbers.to_number(F.col("t"))).collect()] == [12.5, -3.0, None, None, None]
