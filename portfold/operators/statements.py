@@ -15,11 +15,15 @@ FIELDS = ("asset_class", "asset", "quantity", "avg_price", "current_price")
 def explode_lines(df: DataFrame, cell: str = "statement", into: str = "line") -> DataFrame:
     """One row per line of ``cell``, whatever its line ends are. A blank line stays a row, a null cell gives none.
 
-    Plain replacements and a one-character split: several times faster than one regular expression.
+    Plain replacements and a one-character split: several times faster than one regular expression. A replacement compares at every
+    character even where it finds nothing, so it is asked for only where there is a carriage return, which is a cheap search.
     """
     others = [name for name in df.columns if name != cell]
-    unified = F.replace(F.replace(cell, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return df.select(*others, F.explode(F.split(unified, "\n")).alias(into))
+
+    def without(sign: str) -> Column:
+        return F.when(F.contains(F.col(cell), F.lit("\r")), F.replace(F.col(cell), F.lit(sign), F.lit("\n"))).otherwise(F.col(cell))
+
+    return df.withColumn(cell, without("\r\n")).select(*others, F.explode(F.split(without("\r"), "\n")).alias(into))
 
 
 def parse_fields(df: DataFrame, line: str = "line", names: tuple[str, ...] = FIELDS, mark: str = "|") -> DataFrame:

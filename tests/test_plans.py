@@ -10,7 +10,7 @@ from portfold import schemas
 from portfold.catalog import inputs
 from portfold.catalog.queries import QUERIES
 from portfold.functions import numbers
-from portfold.operators import prices, totals, windows
+from portfold.operators import prices, statements, totals, windows
 from portfold.plans import reports
 from portfold.plans.snapshot import position_lines
 from portfold.sources import spread
@@ -240,3 +240,13 @@ def test_lines_parsed_in_sql_are_not_shuffled_to_meet_their_prices(spark):
     blanks = spark.createDataFrame([("\x7f12.5 \x7f",), (" \x7f\t-3\n",), ("\x7f",), ("1\x7f2",), ("\x7f5d",)], "t string")
     got = blanks.selectExpr("lenient_number(t)").collect()
     assert [r[0] for r in got] == [r[0] for r in blanks.select(numbers.to_number(F.col("t"))).collect()] == [12.5, -3.0, None, None, None]
+
+
+def test_line_ends_are_replaced_only_where_there_are_any(spark):
+    cells = ["a\nb", "a\r\nb\r\n", "\ra\r\r\nb", "", "plain", None, "\n\r\n\r"]
+    lines = statements.explode_lines(spark.createDataFrame(list(enumerate(cells)), "n int, statement string"))
+    got = sorted(map(tuple, lines.collect()), key=lambda row: row[0])
+    assert sorted(got) == sorted((n, line) for n, cell in enumerate(cells) if cell is not None
+                                 for line in cell.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+    text = plan(lines)
+    assert text.count("CASE WHEN Contains(statement") == text.count(" THEN replace(statement") == 2
