@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from portfold.functions import text
 from portfold.operators.statements import calendar_columns
+from portfold.sources.scratch import settle
 from portfold.sources.spread import pieces_of, spread
 
 # The money of the test tables.
@@ -92,10 +93,11 @@ def stock_name() -> Column:
     )
 
 
-def form(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
+def form(spark: SparkSession, sf_dir: str, around: str = "", joined: str | None = None) -> DataFrame:
     """Form answers, one per order line: a stock without a current price and a fund with one.
 
-    The two lines are parted by either kind of line end. ``around`` stands on both sides of the numerals.
+    The two lines are parted by either kind of line end. ``around`` stands on both sides of the numerals. What the answers are made of is
+    stored under the path ``joined``, if one is given, so that the shuffles of the joins are done with before the answers are.
     """
     def within(amount: Column) -> Column:
         return F.concat(F.lit(around), amount, F.lit(around))
@@ -109,7 +111,12 @@ def form(spark: SparkSession, sf_dir: str, around: str = "") -> DataFrame:
         within(ptbr("l_extendedprice")),
     )
     line_end = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\n")).otherwise(F.lit("\r\n"))
-    return order_lines(spark, sf_dir).select(
+    lines = order_lines(spark, sf_dir).select(
+        "submitted_text", "month_text", "holder", "p_brand", "p_name", "retail_text", "l_quantity", "l_extendedprice", "l_linenumber",
+    )
+    if joined:
+        lines = settle(lines, joined)
+    return lines.select(
         F.col("submitted_text").alias("submitted_at"),
         F.col("month_text").alias("as_of_date"),
         F.col("holder").alias("institution"),

@@ -17,7 +17,7 @@ from portfold.operators import contributions, gates, prices, statements, totals,
 from portfold.plans import pages, reports, runs
 from portfold.plans.snapshot import position_lines, price_lines
 from portfold.sources import csv_files, store, versions
-from portfold.sources.scratch import materialize, scratch_path
+from portfold.sources.scratch import materialize, scratch_folder, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,8 +61,9 @@ def scan_bronze_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write typed position lines as CSV and scan them back."""
     path = scratch_path(spark, "snapshot")
-    lines = statements.value_positions(position_lines(inputs.form(spark, sf_dir)))
-    csv_files.export_csv(lines.select(*schemas.SNAPSHOT.names), path, portuguese=True)
+    with scratch_folder(spark) as folder:
+        lines = statements.value_positions(position_lines(inputs.form(spark, sf_dir, joined=f"{folder}/joined")))
+        csv_files.export_csv(lines.select(*schemas.SNAPSHOT.names), path, portuguese=True, packed=csv_files.PACKED_ROWS)
     scanned = csv_files.scan_snapshot(spark, path, line_ends=False)
     return doubles(scanned).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
 

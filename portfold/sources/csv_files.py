@@ -14,6 +14,9 @@ from portfold.sources.spread import spread
 # Answers of a file that is written: one task reads the whole file.
 FORM_ROWS = 200_000
 
+# Rows of a packed file: one task reads the whole file.
+PACKED_ROWS = 500_000
+
 _CORRUPT = "_corrupt_record"
 _FITS = "fits"
 
@@ -95,12 +98,17 @@ def scan_snapshot(spark: SparkSession, path: str, *, line_ends: bool = True) ->
     return scan_table(spark, path, SNAPSHOT, line_ends=line_ends)
 
 
-def export_csv(df: DataFrame, path: str, *, portuguese: bool = False) -> None:
-    """Write a table as CSV, on request under the Portuguese headers. Text keeps its outer spaces and line ends."""
+def export_csv(df: DataFrame, path: str, *, portuguese: bool = False, packed: int = 0) -> None:
+    """Write a table as CSV, on request under the Portuguese headers. Text keeps its outer spaces and line ends.
+
+    With ``packed`` the files are gzipped, fast rather than closely, and hold so many rows at most: such files can't be split, so
+    their number of rows, not the size of the table, bounds what a task reads. Scans unpack them by their ending.
+    """
     rows = with_csv_headers(df) if portuguese else df
+    packing = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": packed} if packed else {}
     rows.write.mode("overwrite").options(
         header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"',
-        timestampFormat="yyyy-MM-dd HH:mm:ss",
+        timestampFormat="yyyy-MM-dd HH:mm:ss", **packing,
     ).csv(path)
 
 

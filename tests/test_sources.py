@@ -1,13 +1,18 @@
 """CSV files, the month store and the price history."""
 
 import datetime as dt
+import gzip
 import os
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from portfold import schemas
+from portfold.catalog.queries import QUERIES
 from portfold.sources import csv_files, scratch, spread, store, versions
+from tests.conftest import SMALL
 
 MARCH, APRIL = dt.date(2026, 3, 14), dt.date(2026, 4, 14)
 
@@ -213,3 +218,59 @@ def test_form_files_hold_so_many_answers_at_most(spark, tmp_path):
     csv_files.export_form(schemas.with_csv_headers(answers), str(tmp_path / "form"), rows=300)
     assert sum(name.endswith(".csv") for name in files_of(tmp_path / "form")) == 4
     assert sorted(map(tuple, csv_files.scan_form(spark, str(tmp_path / "form")).collect())) == sorted(map(tuple, answers.collect()))
+
+
+def test_packed_files_hold_so_many_rows_at_most(spark, tmp_path):
+    """One task reads a whole packed file, so files must not grow with the table."""
+    odd = F.concat(F.lit(' "a", \\ '), F.col("id") % 7, F.lit(" "))
+    rows = spark.range(1000, numPartitions=1).select(*[
+        (odd if f.name == "asset" else F.lit(None) if f.name == "line" else F.col("id")).cast(f.dataType if f.name != "as_of_date" else "string")
+        .try_cast(f.dataType).alias(f.name) for f in schemas.SNAPSHOT.fields
+    ])
+    csv_files.export_csv(rows, str(tmp_path / "plain"))
+    csv_files.export_csv(rows, str(tmp_path / "packed"), packed=300)
+    packed = [tmp_path / "packed" / name for name in files_of(tmp_path / "packed") if name.endswith(".csv.gz")]
+    assert sorted(gzip.open(path).read().count(b"\n") for path in packed) == [101, 301, 301, 301]
+    plain = csv_files.scan_snapshot(spark, str(tmp_path / "plain"), line_ends=False)
+    back = csv_files.scan_snapshot(spark, str(tmp_path / "packed"), line_ends=False)
+    assert sorted(map(str, back.collect())) == sorted(map(str, plain.collect())) and back.count() == 1000
+    csv_files.export_csv(rows.limit(0), str(tmp_path / "none"), packed=300)
+    assert csv_files.scan_snapshot(spark, str(tmp_path / "none"), line_ends=False).count() == 0
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("before", [None, "false"])
+def test_a_settled_table_leaves_no_shuffle_files(spark, tmp_path, before):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if before:
+        spark.conf.set(setting, before)
+    try:
+        had = shuffle_files(spark)
+        rows = spark.range(1000).withColumn("half", F.col("id") / 2).repartition(3, "id")
+        stored = scratch.settle(rows, str(tmp_path / "stored"))
+        assert spark.conf.get(setting, None) == before
+        until = time.time() + 20
+        while shuffle_files(spark) - had and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffle_files(spark) - had
+        assert sorted(stored.collect()) == sorted(rows.collect()) and stored.dtypes == rows.dtypes
+        assert scratch.settle(rows.where("id < 0"), str(tmp_path / "none")).count() == 0
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_the_snapshot_query_leaves_packed_files_alone(spark):
+    """Its CSV is compressed, and what the answers were joined from is gone when the rows are scanned."""
+    scratch_root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch_root.glob("portfold-*"))
+    frame = QUERIES["scan_snapshot"](spark, SMALL)
+    left = [path for folder in set(scratch_root.glob("portfold-*")) - before for path in folder.rglob("part-*")]
+    assert left and all(path.name.endswith(".csv.gz") for path in left)
+    unpacked = sum(len(gzip.open(path).read()) for path in left)
+    assert sum(path.stat().st_size for path in left) < unpacked / 4
+    assert frame.count() == 2 * spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
